@@ -1,0 +1,327 @@
+"""Values that must be these exact ones for results to agree with the monitored-feed rules.
+
+Everything here is data: word lists, weights, text patterns, labels and limits.  Patterns are
+written for Python's ``re``; ``functions.text.java_pattern`` adds the flags Spark needs.
+"""
+
+# --- Fixed values: seed dictionaries -------------------------------------------------------
+
+STACK_CORE = [
+    "python", "scraper", "web scraping", "automation", "api integration",
+    "website", "landing page", "web app", "chatbot", "ai assistant",
+    "workflow automation", "data extraction", "internal tool", "crm",
+    "dashboard",
+]
+
+STACK_PERIPH = [
+    "webhook", "postgres", "sql", "docker", "rest api", "json", "csv",
+    "integration", "server", "database", "cron", "analytics", "payment",
+    "pdf", "vector database",
+]
+
+HIRING_STRONG = [
+    "hiring a developer", "hire a developer", "need a developer",
+    "looking for a developer", "contract developer needed",
+    "need someone to build", "need someone to automate", "need someone to fix",
+    "will pay", "paid gig", "freelance gig", "my budget",
+]
+
+HIRING_WEAK = [
+    "need a bot", "need a scraper", "need a script", "need automation help",
+    "need api integration", "need a website", "need a landing page",
+    "need a web developer", "need an ai assistant", "need a chatbot",
+    "need a custom integration", "who can build", "can someone build",
+    "hire someone to build", "quote for building",
+]
+
+PAIN_POINT = [
+    "manually copying data", "tired of doing this manually", "doing this by hand",
+    "there has to be a better way", "wish there was a tool",
+    "tracking this in a spreadsheet", "spending hours on this",
+    "no api for this", "this process is broken", "manual data entry every",
+    "my site is slow", "my site is broken", "keeps breaking",
+    "losing track of leads", "re-entering the same data",
+]
+
+MONEY = [
+    "budget", "hourly rate", "per hour", "fixed price", "paid", "will pay",
+    "payment", "milestone", "usd", "invoice", "rate is", "compensation",
+]
+
+ANTI = [
+    "for hire", "offering my", "offering services", "i am a developer",
+    "im a developer", "available for work", "available for hire", "open to work",
+    "hire me", "my services", "my portfolio", "my rates", "i specialize in",
+    "looking for clients", "taking on new clients",
+]
+
+CLOSED = [
+    "position filled", "role filled", "found someone", "found a developer",
+    "no longer looking", "no longer needed", "hired someone", "solved",
+    "resolved", "got it sorted", "figured it out", "nevermind",
+    "edit: found", "update: found",
+]
+
+NOISE = [
+    "check out my", "i built", "i just launched", "just launched", "sharing my",
+    "roast my", "feedback on my", "looking for feedback", "would you use this",
+    "im building", "show hn", "free trial", "discount code", "my course",
+    "waitlist", "case study", "giveaway", "rate my", "my side project",
+    "full-time position", "for equity", "equity only",
+]
+
+OFF_NICHE = [
+    "logo design", "graphic design", "video editing", "photo editing",
+    "voice over", "transcription", "translation", "tutoring",
+    "resume writing", "social media manager", "content writer", "copywriter",
+    "proofreading", "3d model", "book cover",
+]
+
+ALIASES = {
+    "webscraping": "web scraping",
+    "web-scraping": "web scraping",
+    "chat bot": "chatbot",
+    "chat-bot": "chatbot",
+    "no code": "no-code",
+    "nocode": "no-code",
+    "freelancer": "freelance",
+    "devs": "developer",
+    "dev": "developer",
+    "programmer": "developer",
+    "engineer": "developer",
+    "automating": "automate",
+    "automations": "automation",
+    "scrapers": "scraper",
+    "scrape": "scraper",
+    "bots": "bot",
+    "scripts": "script",
+    "websites": "website",
+    "landing pages": "landing page",
+    "chatbots": "chatbot",
+    "workflows": "workflow",
+    "spreadsheets": "spreadsheet",
+    "integrations": "integration",
+    "apis": "api",
+}
+
+# --- Fixed values: seed weights of the dictionaries ----------------------------------------
+
+CORE_WEIGHT = 3
+PERIPH_WEIGHT = 1
+HIRING_STRONG_WEIGHT = 4
+HIRING_WEAK_WEIGHT = 2
+PAIN_WEIGHT = 3
+MONEY_WEIGHT = 2
+NOISE_WEIGHT = -4
+OFF_NICHE_WEIGHT = -5
+
+RULE_WEIGHTS = {
+    "has_sections": 3,
+    "has_contact": 2,
+    "has_money_pattern": 3,
+    "has_bullets": 2,
+    "long_len": 1,
+    "short_len": -3,
+    "no_body": -2,
+    "no_stack": -3,
+    "help_question": 2,
+    "many_links": -2,
+    "tag_hiring": 6,
+    "tag_task": 5,
+    "category_job_board": 3,
+    "category_ai_automation": 1,
+    "category_business_ops": 1,
+    "author_reputation_bonus": 2,
+    "noise_term_penalty": -4,
+}
+
+# Weights used for a rule that has no row in the weights table.
+FALLBACK_WEIGHTS = {
+    "has_sections": 3,
+    "has_contact": 2,
+    "has_money_pattern": 3,
+    "has_bullets": 2,
+    "long_len": 1,
+    "short_len": -3,
+    "no_body": -2,
+    "no_stack": -3,
+    "help_question": 2,
+    "tag_hiring": 6,
+    "tag_task": 6,
+    "category_job_board": 3,
+    "category_ai_automation": 1,
+    "category_business_ops": 1,
+    "author_reputation_bonus": 2,
+}
+
+# --- Fixed values: seed sources (name, category, priority) ---------------------------------
+
+SOURCES_MAIN = [
+    ("source-01", "job_board", 3),
+    ("source-02", "job_board", 0),
+    ("source-03", "webdev_business", 1),
+    ("source-04", "webdev_business", 1),
+    ("source-05", "webdev_business", 0),
+    ("source-06", "ai_automation", 2),
+    ("source-07", "ai_automation", 2),
+    ("source-08", "ai_automation", 1),
+    ("source-09", "startup_mvp", 1),
+    ("source-10", "startup_mvp", 0),
+    ("source-11", "leadgen_agency", 1),
+    ("source-12", "business_ops", 2),
+    ("source-13", "business_ops", 1),
+    ("source-14", "business_ops", 0),
+]
+
+SOURCES_BROWSE = [
+    ("browse-source-01", "browse_niche", 0),
+    ("browse-source-02", "browse_niche", 0),
+    ("browse-source-03", "browse_niche", 0),
+    ("browse-source-04", "browse_niche", 0),
+    ("browse-source-05", "browse_niche", 0),
+    ("browse-source-06", "browse_niche", 0),
+]
+
+# --- Fixed values: vocabularies of the enum-like columns -----------------------------------
+
+CATEGORIES = [
+    "job_board", "webdev_business", "ai_automation", "startup_mvp",
+    "leadgen_agency", "business_ops", "browse_niche", "other",
+]
+DICT_TYPES = [
+    "stack_core", "stack_periph", "hiring_intent", "pain_point",
+    "money", "anti", "closed", "noise", "alias",
+]
+CONTACT_STATES = ["not_contacted", "contacted", "postponed"]
+FEEDBACK_REASONS = [
+    "not_a_lead", "service_offer", "not_my_stack", "closed",
+    "no_budget", "discussion", "self_promo", "duplicate",
+]
+INTENT_LABELS = {
+    "hiring_intent": "явный найм",
+    "pain_point": "боль без запроса",
+    "both": "найм + боль",
+    "help_request": "вопрос по теме",
+    "unknown": "сигнал неясен",
+}
+TAGS_HIRING = ["hiring", "hiring us", "task", "paid", "job"]
+TAGS_SERVICE_OFFER = ["for hire", "forhire", "hire me", "offer", "offering", "selling", "service"]
+
+# --- Fixed values: text patterns -----------------------------------------------------------
+
+MARKDOWN_CHARS = "*_`~"
+WHITE_SPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+    "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
+URL_PATTERN = r"https?://\S+"
+BULLET_PATTERN = r"^\s*([-–—•*●▪]|\d+[.)])\s+"
+EMAIL_PATTERN = r"[\w.+-]+@[\w-]+\.\w+"
+TITLE_TAG_PATTERN = r"^\s*[\[(]\s*([A-Za-z /]{2,20})\s*[\])]"
+TOKEN_PATTERN = r"[a-zа-я0-9_]{3,}"
+BODY_START_PATTERN = r"<!--\s*SC_OFF\s*-->"
+BODY_END_PATTERN = r"<!--\s*SC_ON\s*-->"
+CONTACT_PATTERN = (
+    r"\bdm me\b|\bpm me\b|\bmessage me\b|\bdms? open\b|\breach out\b|"
+    r"[\w.+-]+@[\w-]+\.\w+|\bdiscord\.gg/\S+|\bt\.me/\S+"
+)
+# Every match of the contact pattern holds one of these.
+CONTACT_LITERALS = [
+    "@", "dm me", "pm me", "message me", "dm open", "dms open", "reach out", "discord.gg/", "t.me/",
+]
+MONEY_AMOUNT_PATTERN = (
+    r"\$\s?\d{2,}|\d{2,}\s?(usd|usdt|eur|gbp)\b|\d{2,}\s?(\$|usd)?\s?(/|per\s)\s?(hr|hour)\b|"
+    r"\bbudget (of|is|around|up to)\b|\b\d{1,3}k\b"
+)
+SECTION_PATTERN = (
+    r"(requirements|responsibilities|deliverables|scope|budget|timeline|"
+    r"tech stack|what i need|what we need|about the project|about the role|"
+    r"nice to have|must have)\s*:"
+)
+HELP_PATTERN = (
+    r"\bhow (do|can|would|should|did) (i|we|you)\b|\bhow to\b|"
+    r"\bany(one|body) know how\b|\bany(one|body) else\b|"
+    r"\bis there a (way|tool|service|plugin|script|bot|app|option)\b|"
+    r"\bwhats the best way\b|\bbest way to\b|\bwhat would you use\b|"
+    r"\bany (tips|advice|recommendations|suggestions|ideas)\b|"
+    r"\brecommendations for\b|\bcan (someone|anyone) help\b|"
+    r"\bneed help\b|\bhelp me\b|\blooking for advice\b|\blooking for a way\b|"
+    r"\bstruggling with\b|\bhaving trouble\b|\btrouble with\b|\bstuck (on|with)\b|"
+    r"\bdoes anyone (use|know|have)\b|\bwhat (should|would) i (do|use)\b|"
+    r"\bhow would you\b|\bnot working\b|\bwont work\b|\bkeeps failing\b|"
+    r"\bkeeps breaking\b|\bany idea why\b|\bwhat am i doing wrong\b|"
+    r"\blooking for (a|an|any|some)\b|\bwhat are my options\b|\bany options\b|"
+    r"\bwhat options\b|\bi want to\b|\bi need to\b|\bi am trying to\b|"
+    r"\bim trying to\b|\btrying to (find|figure|set up|automate|build)\b|"
+    r"\bhas anyone\b|\banyone here\b|\bis it possible\b|\bany way to\b|"
+    r"\bwhats the best\b|\bwhich (one|tool|service|option)\b|"
+    r"\bhelp with\b|\bsuggestions for\b|\bpointers\b|\bwhere do i start\b|"
+    r"\bcant figure out\b|\bcant get it to\b|\bno idea how\b"
+)
+CURRENCY_PATTERN = r"^[A-Z]{3}$"
+
+# --- Fixed values: limits and thresholds ---------------------------------------------------
+
+MIN_LENGTH = 40
+MAX_LENGTH = 20000
+LOW_INFO_LENGTH = 150
+CLOSED_HEAD_CHARS = 200
+CLOSED_NEAR_TOKENS = 6
+OFFER_HEAD_CHARS = 300
+HEADLINE_CHARS = 90
+LONG_TEXT = 500
+SHORT_TEXT = 180
+MIN_BULLETS = 3
+STACK_CAP = 9
+INTENT_CAP = 8
+NOISE_CAP = -8
+NOTIFY_THRESHOLD = 10
+CORE_MIN_WEIGHT = 3
+CORE_HITS_FOR_HELP = 2
+HELP_MIN_SCORE = 3
+VERDICT_CONFIDENCE = 0.55
+QUIET_START = "23:00"
+QUIET_END = "08:00"
+QUIET_OVERRIDE_SCORE = 15
+AUTHOR_GOOD_MIN = 3
+AUTHOR_BAD_MIN = 5
+AUTHOR_PENALTY = -5
+CLASSIFIER_INPUT_CHARS = 6000
+EXACT_LOOKBACK_DAYS = 30
+NEAR_LOOKBACK_DAYS = 14
+ITEM_ID_LOOKBACK_DAYS = 7
+NEAR_DISTANCE = 3
+MAX_ITEM_AGE_MINUTES = 360
+RETENTION_DAYS = 30
+CALLS_PER_MINUTE = 2
+CALLS_PER_DAY = 900
+SENDS_PER_MINUTE = 20
+SILENCE_SECONDS = 900
+PAGE_SIZE = 30
+MAX_PAGE_SIZE = 200
+DIGEST_SIZE = 30
+DIGEST_SUMMARY_CHARS = 200
+FAVORITES_SIZE = 20
+DRY_RUN_MAX_ITEMS = 500
+RESPONSE_MAX_CHARS = 10000
+CARD_EXCERPT_CHARS = 500
+CARD_STACK_TERMS = 8
+RULES_VERSION = "v1"
+DEFAULT_CURRENCY = "USD"
+THRESHOLD_KEY = "__notify_threshold__"
+
+# --- Fixed values: hint texts that accompany a classifier request --------------------------
+
+HINT_BROWSE = (
+    "circuit={circuit}: широкий критерий — любая боль/проблема, отдалённо "
+    "связанная с разработкой на заказ, автоматизацией, CRM и учётом для "
+    "бизнеса; балл правил не гейтит вызов"
+)
+HINT_SCORE = "балл правил {score} при пороге уведомления {threshold}"
+HINT_PAIN = "сработали только фразы про боль, явного найма нет"
+HINT_HELP = (
+    "явных фраз найма и боли нет; пост опознан только как вопрос по теме "
+    "(человек просит помощи там, где мы могли бы предложить решение)"
+)
+CLASSIFIER_ITEM_FORMAT = "Источник: {source}\nЗаголовок: {title}\n\nТекст записи:\n{body}"

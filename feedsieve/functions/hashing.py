@@ -1,0 +1,118 @@
+"""Content hashes: SHA-256 of the text, 64-bit simhash, bands and Hamming distance."""
+
+from __future__ import annotations
+
+import hashlib
+import re
+import sys
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
+from pyspark import cloudpickle
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+from feedsieve import fixed_values as fixed
+
+BANDS = 4
+BAND_BITS = 16
+
+# Batch functions travel to the workers by value, so that these need not have the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+_find_tokens = re.compile(fixed.TOKEN_PATTERN, re.IGNORECASE).findall
+
+
+def text_hash(text_norm: Column) -> Column:
+    return F.sha2(text_norm, 256)
+
+
+def _blake2b_digest(token: str) -> bytes:
+    return hashlib.blake2b(token.encode("utf-8"), digest_size=8).digest()
+
+
+def _md5_digest(token: str) -> bytes:
+    return hashlib.md5(token.encode("utf-8")).digest()[:8]
+
+
+# The first is the hash of the source rules; the second is one that any SQL engine has.
+TOKEN_DIGESTS: dict[str, Callable[[str], bytes]] = {
+    "blake2b": _blake2b_digest,
+    "md5": _md5_digest,
+}
+
+
+def _majority_bits(texts: pd.Series, digest: Callable[[str], bytes]) -> np.ndarray:
+    """Simhash of each text of one Arrow batch; every distinct token is hashed once."""
+    per_text = [_find_tokens(text) if text is not None else [] for text in texts]
+    sizes = np.fromiter(map(len, per_text), dtype=np.int64, count=len(per_text))
+    result = np.zeros(len(per_text), dtype=np.uint64)
+    if not sizes.sum():
+        return result.view(np.int64)
+    codes, vocabulary = pd.factorize(
+        np.array([token for tokens in per_text for token in tokens], dtype=object)
+    )
+    digests = b"".join(map(digest, vocabulary))
+    bits = np.unpackbits(
+        np.frombuffer(digests, dtype=np.uint8).reshape(len(vocabulary), 8), axis=1
+    )
+    weights = np.uint64(1) << np.arange(63, -1, -1, dtype=np.uint64)
+    ends = np.cumsum(sizes)
+    for row, (end, size) in enumerate(zip(ends, sizes)):
+        if size:
+            ones = bits[codes[end - size : end]].sum(axis=0, dtype=np.int64)
+            result[row] = weights[2 * ones > size].sum(dtype=np.uint64)
+    return result.view(np.int64)
+
+
+@F.pandas_udf("bigint")
+def _simhash_blake2b(text: pd.Series) -> pd.Series:
+    return pd.Series(_majority_bits(text, _blake2b_digest))
+
+
+@F.pandas_udf("bigint")
+def _simhash_md5(text: pd.Series) -> pd.Series:
+    return pd.Series(_majority_bits(text, _md5_digest))
+
+
+def simhash64(text_norm: Column, token_hash: str = "blake2b") -> Column:
+    """64-bit simhash over token occurrences as a signed long; 0 for a text without tokens.
+
+    A map-only Arrow batch function: nothing is shuffled, whatever the number of tokens.
+    """
+    if token_hash not in TOKEN_DIGESTS:
+        raise ValueError(f"unknown token hash {token_hash!r}")
+    return (_simhash_md5 if token_hash == "md5" else _simhash_blake2b)(text_norm)
+
+
+def hamming(a: Column, b: Column) -> Column:
+    return F.bit_count(a.bitwiseXOR(b))
+
+
+def band(simhash: Column, index: int) -> Column:
+    return F.shiftrightunsigned(simhash, index * BAND_BITS).bitwiseAND(
+        F.lit((1 << BAND_BITS) - 1)
+    )
+
+
+def bands(simhash: Column) -> Column:
+    """The four 16-bit bands, lowest first."""
+    return F.array(*[band(simhash, i) for i in range(BANDS)])
+
+
+def to_unsigned64(value: Column) -> Column:
+    """A signed long as the unsigned number with the same bits."""
+    wide = value.cast("decimal(20,0)")
+    return F.when(value < 0, wide + F.lit(2**64).cast("decimal(20,0)")).otherwise(wide).cast(
+        "decimal(20,0)"
+    )
+
+
+def to_signed64(value: Column) -> Column:
+    """An unsigned 64-bit number as the long with the same bits."""
+    wide = value.cast("decimal(20,0)")
+    return (
+        F.when(wide >= F.lit(2**63).cast("decimal(20,0)"), wide - F.lit(2**64).cast("decimal(20,0)"))
+        .otherwise(wide)
+        .cast("bigint")
+    )

@@ -1,0 +1,238 @@
+"""Exact and near duplicates.
+
+Every item counts as a possible original, whether it was rejected or not, so both lookups are
+joins over (id, ts, key) rows and never depend on earlier decisions.  An item's original is
+looked up among the items before it, in the order (ts, id).
+"""
+
+from __future__ import annotations
+
+from itertools import combinations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from feedsieve import fixed_values as fixed
+from feedsieve.functions.hashing import hamming
+from feedsieve.operators.ordered import earliest_at_or_after
+from feedsieve.session import cut_lineage
+
+# Six blocks of 64 bits; three flipped bits leave at least three blocks untouched, so two near
+# hashes agree on all bits of at least one of the twenty block triples (31 to 33 bits each).
+_BLOCK_BITS = (11, 11, 11, 11, 10, 10)
+_BLOCKS_KEPT = len(_BLOCK_BITS) - fixed.NEAR_DISTANCE
+
+# Triples shared by more hashes than this are not compared pair by pair; see ``_pairs_by_ball``.
+CROWDED_TRIPLE = 256
+
+
+def _signed(value: int) -> int:
+    return value - (1 << 64) if value >= 1 << 63 else value
+
+
+def _triple_masks() -> list[int]:
+    masks, shift = [], 0
+    for size in _BLOCK_BITS:
+        masks.append(((1 << size) - 1) << shift)
+        shift += size
+    return [_signed(sum(chosen)) for chosen in combinations(masks, _BLOCKS_KEPT)]
+
+
+def _ball(radius: int) -> list[int]:
+    """All 64-bit masks with at most ``radius`` bits set."""
+    return [
+        _signed(sum(1 << bit for bit in bits))
+        for count in range(radius + 1)
+        for bits in combinations(range(64), count)
+    ]
+
+
+def _originals_by_key(
+    items: DataFrame, key: str, days: int, asked: DataFrame | None = None
+) -> DataFrame:
+    """(id, original) of items with an earlier item of the same key within ``days``."""
+    repeated = items.groupBy(key).agg(F.count("*").alias("_n")).filter("_n > 1").select(key)
+    if asked is not None:
+        repeated = repeated.join(asked.select(key), key, "left_semi")
+    kept = items.join(repeated, key, "left_semi").select(key, "ts", "id")
+    span = F.make_dt_interval(days=F.lit(days))
+    wanted = kept if asked is None else asked.join(repeated, key, "left_semi")
+    wanted = wanted.select(key, "ts", "id", (F.col("ts") - span).alias("at"))
+    firsts = earliest_at_or_after(kept, wanted.select(key, "at"), [key])
+    found = wanted.join(firsts, [key, "at"])
+    return found.filter(F.col("hit") < F.struct("ts", "id")).select(
+        "id", F.col("hit.id").alias("original")
+    )
+
+
+def exact_originals(
+    items: DataFrame, days: int = fixed.EXACT_LOOKBACK_DAYS, asked: DataFrame | None = None
+) -> DataFrame:
+    """(id, original): the earliest earlier item with the same text hash within ``days``.
+
+    ``items`` needs id, ts and text_hash.  ``asked`` restricts the answer to some of the items.
+    Items without an original are left out.
+    """
+    return _originals_by_key(items, "text_hash", days, asked)
+
+
+def _period(ts: Column, days: int) -> Column:
+    return F.floor(F.unix_micros(ts) / F.lit(days * 86_400_000_000)).cast("bigint")
+
+
+def _triple_keys(hashes: DataFrame, simhash: str) -> DataFrame:
+    keys = F.array(*[F.col(simhash).bitwiseAND(F.lit(mask)) for mask in _triple_masks()])
+    return hashes.select("*", F.posexplode(keys).alias("triple", "kept"))
+
+
+def _first_shared_triple(difference: Column) -> Column:
+    """The first triple on which two hashes agree; one pair is reported under this one only."""
+    choice = F.lit(None).cast("int")
+    for number, mask in reversed(list(enumerate(_triple_masks()))):
+        choice = F.when(difference.bitwiseAND(F.lit(mask)) == 0, number).otherwise(choice)
+    return choice
+
+
+def _pairs_by_ball(probes: DataFrame, known: DataFrame) -> DataFrame:
+    """Near pairs of crowded triples, without comparing the members of a triple.
+
+    Two hashes are at most three bits apart exactly if some value lies within one bit of the one
+    and two bits of the other.  Known hashes list the 65 values around them, probes the 2081
+    around them, and both meet on equal values: the work is linear in the number of hashes.
+    """
+    around_known = known.select(
+        "period",
+        F.col("simhash").alias("neighbour"),
+        F.explode(
+            F.transform(F.array(*map(F.lit, _ball(1))), lambda m: F.col("simhash").bitwiseXOR(m))
+        ).alias("centre"),
+    )
+    around_probe = probes.select(
+        "simhash",
+        "period",
+        F.explode(
+            F.transform(F.array(*map(F.lit, _ball(2))), lambda m: F.col("simhash").bitwiseXOR(m))
+        ).alias("centre"),
+    )
+    return (
+        around_probe.join(around_known, ["period", "centre"])
+        .filter(F.col("simhash") != F.col("neighbour"))
+        .select("simhash", "period", "neighbour")
+        .distinct()
+    )
+
+
+def near_hashes(
+    probes: DataFrame, known: DataFrame, distance: int = fixed.NEAR_DISTANCE,
+    crowded: int = CROWDED_TRIPLE,
+) -> DataFrame:
+    """(simhash, period, neighbour): known hashes 1 to ``distance`` bits from a probe's hash.
+
+    Both inputs hold distinct (simhash, period) rows; only equal periods are compared.
+    """
+    keyed_known = _triple_keys(known, "simhash")
+    triple = ["triple", "kept", "period"]
+    full = (
+        keyed_known.groupBy(*triple).agg(F.count("*").alias("_n")).filter(F.col("_n") > crowded)
+        .select(*triple)
+    )
+    keyed_probes = _triple_keys(probes, "simhash")
+    sparse = keyed_known.join(full, triple, "left_anti").select(
+        *triple, F.col("simhash").alias("neighbour")
+    )
+    difference = F.col("simhash").bitwiseXOR(F.col("neighbour"))
+    few = (
+        keyed_probes.join(sparse, triple)
+        .filter(
+            F.bit_count(difference).between(1, distance)
+            & (_first_shared_triple(difference) == F.col("triple"))
+        )
+        .select("simhash", "period", "neighbour")
+    )
+    many = _pairs_by_ball(
+        keyed_probes.join(full, triple, "left_semi").select("simhash", "period").distinct(),
+        keyed_known.join(full, triple, "left_semi").select("simhash", "period").distinct(),
+    ).filter(hamming(F.col("simhash"), F.col("neighbour")) <= distance)
+    return few.unionByName(many)
+
+
+def near_originals(
+    items: DataFrame,
+    days: int = fixed.NEAR_LOOKBACK_DAYS,
+    asked: DataFrame | None = None,
+    crowded: int = CROWDED_TRIPLE,
+) -> DataFrame:
+    """(id, original) of items with an earlier item at most three simhash bits away.
+
+    ``items`` needs id, ts and simhash.  An item with the same simhash is preferred, else the
+    earliest one within the distance.  This order is what keeps the job linear: however often a
+    hash occurs, only its first occurrence per ``days`` has to be compared with other hashes.
+    """
+    slim = items.select("id", "ts", "simhash")
+    wanted = slim if asked is None else asked.select("id", "ts", "simhash")
+    # Both written once: they are small, and several branches below read them.
+    same = cut_lineage(
+        _originals_by_key(slim, "simhash", days, None if asked is None else wanted)
+    )
+    span = F.make_dt_interval(days=F.lit(days))
+    alone = wanted.join(same, "id", "left_anti")
+    known = slim.select("simhash", _period(F.col("ts"), days).alias("period")).distinct()
+    # The look-back reaches into the item's own period and the one before it.
+    this = _period(F.col("ts"), days)
+    probes = alone.select(
+        "simhash", F.explode(F.array(this, this - 1)).alias("period")
+    ).distinct()
+    pairs = cut_lineage(
+        near_hashes(probes, known, crowded=crowded).select("simhash", "neighbour").distinct()
+    )
+    questions = alone.join(pairs, "simhash").select(
+        "id", "ts", F.col("neighbour"), (F.col("ts") - span).alias("at")
+    )
+    candidates = slim.select(F.col("simhash").alias("neighbour"), "ts", "id").join(
+        pairs.select("neighbour").distinct(), "neighbour", "left_semi"
+    )
+    firsts = earliest_at_or_after(
+        candidates, questions.select("neighbour", "at"), ["neighbour"]
+    )
+    other = (
+        questions.join(firsts, ["neighbour", "at"])
+        .filter(F.col("hit") < F.struct("ts", "id"))
+        .groupBy("id")
+        .agg(F.min("hit").alias("hit"))
+        .select("id", F.col("hit.id").alias("original"))
+    )
+    return same.unionByName(other)
+
+
+def originals(items: DataFrame, asked: DataFrame | None = None) -> DataFrame:
+    """(id, duplicate_of) of all duplicates: same text first, near text second.
+
+    ``items`` (id, ts, text_hash, simhash) is read by several branches; pass a stored table.
+    """
+    exact = exact_originals(items, asked=asked)
+    near = near_originals(items, asked=asked)
+    return (
+        exact.withColumn("_rank", F.lit(0))
+        .unionByName(near.withColumn("_rank", F.lit(1)))
+        .groupBy("id")
+        .agg(F.min_by("original", "_rank").alias("duplicate_of"))
+    )
+
+
+def mark_duplicates(items: DataFrame, found: DataFrame) -> DataFrame:
+    """Add ``duplicate_of``; a duplicate's reject_rule becomes 'duplicate' before all others."""
+    marked = items.join(found.select("id", "duplicate_of"), "id", "left")
+    if "reject_rule" not in items.columns:
+        return marked
+    return marked.withColumn(
+        "reject_rule",
+        F.when(F.col("duplicate_of").isNotNull(), "duplicate").otherwise(F.col("reject_rule")),
+    )
+
+
+def duplicate_counts(found: DataFrame, matches: DataFrame) -> DataFrame:
+    """(match_id, raw_item_id, duplicate_count) of matches whose item has duplicates."""
+    counts = found.groupBy("duplicate_of").agg(F.count("*").alias("duplicate_count"))
+    return counts.join(matches, counts["duplicate_of"] == matches["raw_item_id"]).select(
+        matches["id"].alias("match_id"), "raw_item_id", counts["duplicate_count"]
+    )

@@ -1,0 +1,139 @@
+"""The whole way of an item, from the feed to its route; batch and stream share it."""
+
+from __future__ import annotations
+
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from feedsieve.functions import text
+from feedsieve.operators import dedup, items as item_ops, verdicts
+from feedsieve.rules import RuleSet
+from feedsieve.session import cut_lineage
+
+
+@dataclass(frozen=True)
+class FlowResult:
+    raw_items: DataFrame
+    matches: DataFrame
+    work: DataFrame
+    duplicates: DataFrame
+
+
+def analyse(
+    feed: DataFrame, sources: DataFrame, rules: RuleSet, now: Column, token_hash: str = "blake2b"
+) -> DataFrame:
+    """Everything that needs an item's text, in one pass without a shuffle.
+
+    Gate, normalise, hash, match, reject and score: later steps read only the results.
+    """
+    placed = item_ops.source_gate(feed, sources, now)
+    matched = item_ops.match_items(item_ops.normalize_items(placed, rules), rules)
+    rejected = item_ops.reject_items(item_ops.hash_items(matched, token_hash), rules)
+    return item_ops.score_items(rejected.withColumn("author_bonus", F.lit(0)), rules)
+
+
+def process(
+    feed: DataFrame,
+    sources: DataFrame,
+    authors: DataFrame,
+    rules: RuleSet,
+    now: Column,
+    index: DataFrame | None = None,
+    classifier_on: bool = True,
+    zone: str = "UTC",
+    token_hash: str = "blake2b",
+) -> FlowResult:
+    """Process items (id, ts and the feed columns) against earlier ones.
+
+    ``index`` has id, ts, text_hash and simhash of the items before.  Duplicates are looked up
+    over both; every item is a possible original, rejected or not.
+    """
+    facts = cut_lineage(analyse(feed, sources, rules, now, token_hash))
+    keys = facts.select("id", "ts", "text_hash", "simhash")
+    if index is None:
+        found = dedup.originals(keys)
+    else:
+        found = dedup.originals(
+            index.select("id", "ts", "text_hash", "simhash").unionByName(keys), asked=keys
+        )
+    found = cut_lineage(found)
+    marked = dedup.mark_duplicates(facts, found)
+    passed = marked.filter("reject_rule IS NULL")
+    scored = add_author_points(passed, authors, rules)
+    decided = item_ops.decide_items(scored, rules, classifier_on).select(
+        "id",
+        F.col("id").alias("raw_item_id"),
+        "ts",
+        "circuit",
+        "source",
+        "title",
+        "text",
+        "score",
+        "signals",
+        F.col("terms.stack").alias("stack_matched"),
+        "intent_tag",
+        "compensation",
+        "contact",
+        text.headline(F.col("title")).alias("headline"),
+        F.lit(rules.version).alias("rules_version"),
+        "mode",
+        "rule_hint",
+        "rules_notify",
+    )
+    waiting = F.col("mode").isNotNull()
+    routed = verdicts.route_items(
+        decided.withColumns(
+            {
+                "decided_by": F.lit("rules"),
+                "llm_status": F.when(waiting, "pending").otherwise("not_needed"),
+                "will_notify": F.col("rules_notify"),
+            }
+        ),
+        zone=zone,
+    )
+    raw = marked.select(
+        "id",
+        "source",
+        "circuit",
+        "item_id",
+        "author_handle",
+        "permalink",
+        "tag",
+        "title",
+        "posted_at",
+        "text",
+        "text_norm",
+        "text_hash",
+        "simhash",
+        "has_body",
+        "struct_features",
+        "reject_rule",
+        F.col("ts").alias("created_at"),
+        "duplicate_of",
+    )
+    return FlowResult(
+        raw_items=raw,
+        matches=routed.drop("text", "source", "title", "rule_hint").withColumn(
+            "created_at", F.col("ts")
+        ),
+        work=verdicts.work_list(decided),
+        duplicates=found,
+    )
+
+
+def add_author_points(scored: DataFrame, authors: DataFrame, rules: RuleSet) -> DataFrame:
+    """Add the author bonus to score and signals of scored items."""
+    bonus = item_ops.with_author_bonus(scored.drop("author_bonus"), authors, rules)
+    return bonus.withColumns(
+        {
+            "score": F.col("score") + F.col("author_bonus"),
+            "signals": F.when(
+                F.col("author_bonus") != 0,
+                F.map_concat(
+                    "signals", F.create_map(F.lit("author_reputation"), F.col("author_bonus"))
+                ),
+            ).otherwise(F.col("signals")),
+        }
+    )

@@ -1,0 +1,53 @@
+"""Session helper and lineage cuts."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+DEFAULTS = {
+    "spark.sql.session.timeZone": "UTC",
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    "spark.sql.execution.arrow.pyspark.enabled": "true",
+}
+
+
+def build_session(app: str = "feedsieve", master: str | None = None, **conf: str) -> SparkSession:
+    """A session with UTC timestamps and adaptive execution; extra settings as keyword pairs."""
+    builder = SparkSession.builder.appName(app)
+    if master:
+        builder = builder.master(master)
+    for key, value in {**DEFAULTS, **conf}.items():
+        builder = builder.config(key.replace("__", "."), value)
+    return builder.getOrCreate()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names in ``spark.checkpoint.dir``.
+
+    Only a local session without that setting gets a folder of its own; elsewhere the setting is
+    required, since a machine-local folder would not survive the loss of an executor.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+        folder = tempfile.mkdtemp(prefix="feedsieve-shared-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared folder once and read it back.
+
+    For tables that several branches of a plan read: the text work behind them then runs once,
+    and a lost executor costs a re-read, not a re-computation.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark).rstrip('/')}/feedsieve-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

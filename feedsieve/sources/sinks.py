@@ -1,0 +1,71 @@
+"""Parquet tables the jobs write, and JSON exports.
+
+A micro-batch owns the folder ``batch_id=N`` of a table and replaces it when it is repeated, so
+a batch that is run again after a failure leaves the same rows.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.errors import AnalysisException
+
+
+def write_batch(df: DataFrame, table: str, batch_id: int, partitions: tuple[str, ...] = ()) -> None:
+    df.write.mode("overwrite").partitionBy(*partitions).parquet(f"{table}/batch_id={batch_id}")
+
+
+def write_raw_items(items: DataFrame, table: str, batch_id: int) -> None:
+    """All items, rejected ones too, by day and circuit."""
+    dated = items.withColumn("ingest_date", F.to_date("posted_at"))
+    # Rows of a day meet in few tasks, so that the number of files stays small; the added salt
+    # splits a day that holds most of the rows.
+    salted = dated.repartition("ingest_date", "circuit", F.pmod(F.xxhash64("item_id"), F.lit(64)))
+    write_batch(salted, table, batch_id, ("ingest_date", "circuit"))
+
+
+def write_matches(matches: DataFrame, table: str, batch_id: int) -> None:
+    write_batch(matches, table, batch_id, ("circuit",))
+
+
+def usage_rows(calls: DataFrame, default_model: str) -> DataFrame:
+    """Usage-log rows of classifier calls; a call without a model gets the default."""
+    return calls.select(
+        "match_id",
+        "mode",
+        F.coalesce("circuit", F.lit("main")).alias("circuit"),
+        F.coalesce("model", F.lit(default_model)).alias("model"),
+        "outcome",
+        "prompt_tokens",
+        "output_tokens",
+        "latency_ms",
+        "error",
+        "created_at",
+    )
+
+
+def write_usage(calls: DataFrame, table: str, batch_id: int, default_model: str) -> None:
+    write_batch(usage_rows(calls, default_model), table, batch_id)
+
+
+def read_table(
+    spark: SparkSession, table: str, schema: str, before_batch: int | None = None
+) -> DataFrame:
+    """A table written by batches; empty if there is none yet.
+
+    ``before_batch`` hides the batch being written and later ones.
+    """
+    try:
+        df = spark.read.parquet(table)
+    except AnalysisException:
+        return spark.createDataFrame([], f"{schema}, batch_id BIGINT")
+    return df if before_batch is None else df.filter(F.col("batch_id") < before_batch)
+
+
+def as_json(df: DataFrame) -> DataFrame:
+    """One JSON text per row."""
+    return df.select(F.to_json(F.struct("*")).alias("value"))
+
+
+def export_json(df: DataFrame, path: str) -> None:
+    df.write.mode("overwrite").json(path)

@@ -1,0 +1,179 @@
+"""Structured Streaming jobs over the same operators as batch."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+
+from feedsieve import fixed_values as fixed
+from feedsieve import schemas
+from feedsieve.operators import flow
+from feedsieve.operators.items import drop_stale
+from feedsieve.rules import RuleSet
+from feedsieve.session import cut_lineage
+from feedsieve.sources import messages, sinks
+
+RAW_TABLE = schemas.RAW_ITEMS + ", duplicate_of BIGINT, ingest_date DATE"
+
+
+def edge(
+    items: DataFrame,
+    late_minutes: int = fixed.MAX_ITEM_AGE_MINUTES,
+    id_days: int = fixed.ITEM_ID_LOOKBACK_DAYS,
+    now: Column | None = None,
+) -> DataFrame:
+    """Items entering the stream: too old ones dropped, each item id once in ``id_days``."""
+    fresh = items if now is None else drop_stale(items, now, late_minutes)
+    return fresh.withWatermark("posted_at", f"{id_days} days").dropDuplicatesWithinWatermark(
+        ["item_id"]
+    )
+
+
+def with_ids(batch: DataFrame, batch_id: int) -> DataFrame:
+    """Add a unique ``id``; ids of a later batch are larger.
+
+    The batch is written once before it is numbered, so the numbers do not change when a task
+    runs again.  Only the row count of each task is gathered.
+    """
+    placed = cut_lineage(
+        batch.withColumns(
+            {
+                "_part": F.spark_partition_id(),
+                "_row": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)),
+            }
+        )
+    )
+    sizes = placed.groupBy("_part").agg(F.count("*").alias("_n"))
+    # One row per task of the batch.
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    return (
+        placed.join(starts, "_part")
+        .withColumn("id", F.lit(batch_id << 40) + F.col("_start") + F.col("_row"))
+        .drop("_part", "_row", "_start")
+    )
+
+
+@dataclass(frozen=True)
+class Tables:
+    """What a micro-batch reads; each entry is called once per batch, so edits take effect."""
+
+    rules: Callable[[], RuleSet]
+    sources: Callable[[], DataFrame]
+    authors: Callable[[], DataFrame]
+
+
+def store_batch(
+    batch: DataFrame,
+    batch_id: int,
+    store: str,
+    tables: Tables,
+    now: Column | None = None,
+    classifier_on: bool = True,
+    token_hash: str = "blake2b",
+) -> None:
+    """Process one micro-batch of items into the tables under ``store``."""
+    spark = batch.sparkSession
+    items = with_ids(batch, batch_id).withColumn("ts", F.col("posted_at"))
+    first = items.agg(F.min("posted_at")).first()[0]
+    if first is None:
+        return
+    stored = sinks.read_table(spark, f"{store}/raw_items", RAW_TABLE, batch_id)
+    # The index is the item table itself: slim columns of the days a look-back can reach.
+    oldest = F.to_date(F.lit(first) - F.make_dt_interval(days=F.lit(fixed.EXACT_LOOKBACK_DAYS)))
+    index = stored.filter(F.col("ingest_date") >= oldest).select(
+        "id", F.col("posted_at").alias("ts"), "text_hash", "simhash"
+    )
+    result = flow.process(
+        items,
+        tables.sources(),
+        tables.authors(),
+        tables.rules(),
+        F.current_timestamp() if now is None else now,
+        index=index,
+        classifier_on=classifier_on,
+        token_hash=token_hash,
+    )
+    # Items last: a batch without its items is not yet in the index and is simply run again.
+    sinks.write_batch(result.duplicates, f"{store}/duplicates", batch_id)
+    sinks.write_batch(result.work, f"{store}/work", batch_id)
+    sinks.write_matches(result.matches, f"{store}/matches", batch_id)
+    sinks.write_raw_items(result.raw_items, f"{store}/raw_items", batch_id)
+
+
+def run_items(
+    items: DataFrame, store: str, checkpoint: str, tables: Tables, **settings
+) -> StreamingQuery:
+    """Stream of items into the tables; processes what is there and stops."""
+    return (
+        items.writeStream.foreachBatch(
+            lambda batch, batch_id: store_batch(batch, batch_id, store, tables, **settings)
+        )
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
+def run_messages(
+    raw: DataFrame, store: str, checkpoint: str, tables: Tables, **settings
+) -> StreamingQuery:
+    """Stream of JSON messages; unusable ones go to the quarantine table."""
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        parsed = cut_lineage(messages.parse_messages(batch))
+        sinks.write_batch(messages.bad_messages(parsed), f"{store}/quarantine", batch_id)
+        store_batch(messages.good_items(parsed), batch_id, store, tables, **settings)
+
+    return (
+        raw.writeStream.foreachBatch(handle)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
+def duplicate_updates(duplicates: DataFrame) -> DataFrame:
+    """Running duplicate count per original; write it in update mode."""
+    return duplicates.groupBy(F.col("duplicate_of").alias("raw_item_id")).agg(
+        F.count("*").alias("duplicate_count")
+    )
+
+
+def call_windows(calls: DataFrame, late: str = "10 minutes") -> DataFrame:
+    """Calls per circuit and calendar minute as a stream, for the quota counters."""
+    return (
+        calls.withWatermark("ts", late)
+        .groupBy("circuit", F.window("ts", "1 minute").alias("minute"))
+        .agg(F.count("*").alias("calls"))
+        .select("circuit", F.col("minute.start").alias("minute"), "calls")
+    )
+
+
+def last_beats(beats: DataFrame) -> DataFrame:
+    """Last heartbeat per circuit as a stream in update mode; ``reports.silent_circuits`` reads
+    the table it is written to."""
+    return beats.groupBy("circuit").agg(F.max("ts").alias("ts"))
+
+
+def to_deliver(matches: DataFrame, settings: DataFrame) -> DataFrame:
+    """Matches to send now: none while the settings row ``paused`` is on; they stay queued."""
+    paused = settings.filter((F.col("key") == "paused") & F.col("value").eqNullSafe("1"))
+    is_paused = paused.agg(F.count("*") > 0).scalar()
+    return matches.filter((F.col("status") == "new") & ~is_paused)
+
+
+def digest_day(at: Column, end: str = fixed.QUIET_END, zone: str = "UTC") -> Column:
+    """The day whose digest holds an item: digests go out when quiet hours end."""
+    hours, minutes = (int(x) for x in end.split(":"))
+    local = F.from_utc_timestamp(at, zone)
+    shift = F.make_dt_interval(hours=F.lit(hours), mins=F.lit(minutes))
+    return F.date_add(F.to_date(local - shift), 1)
+
+
+def read_store(spark: SparkSession, store: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{store}/{name}")
