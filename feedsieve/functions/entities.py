@@ -9,17 +9,18 @@ import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Batch functions travel to the workers by value, so that these need not have the package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _unescape_udf(text: pd.Series) -> pd.Series:
     return text.map(html.unescape, na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _unescape_twice_udf(text: pd.Series) -> pd.Series:
     return text.map(lambda value: html.unescape(html.unescape(value)), na_action="ignore")
 

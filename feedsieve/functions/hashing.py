@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from feedsieve import fixed_values as fixed
 
@@ -65,12 +66,12 @@ def _majority_bits(texts: pd.Series, digest: Callable[[str], bytes]) -> np.ndarr
     return result.view(np.int64)
 
 
-@F.pandas_udf("bigint")
+@F.pandas_udf(LongType())
 def _simhash_blake2b(text: pd.Series) -> pd.Series:
     return pd.Series(_majority_bits(text, _blake2b_digest))
 
 
-@F.pandas_udf("bigint")
+@F.pandas_udf(LongType())
 def _simhash_md5(text: pd.Series) -> pd.Series:
     return pd.Series(_majority_bits(text, _md5_digest))
 
@@ -100,19 +101,22 @@ def bands(simhash: Column) -> Column:
     return F.array(*[band(simhash, i) for i in range(BANDS)])
 
 
+_WIDE = "decimal(20,0)"
+
+
+def _wide(value: int) -> Column:
+    return F.lit(str(value)).cast(_WIDE)
+
+
 def to_unsigned64(value: Column) -> Column:
     """A signed long as the unsigned number with the same bits."""
-    wide = value.cast("decimal(20,0)")
-    return F.when(value < 0, wide + F.lit(2**64).cast("decimal(20,0)")).otherwise(wide).cast(
-        "decimal(20,0)"
-    )
+    number = value.cast(_WIDE)
+    return F.when(value < 0, number + _wide(1 << 64)).otherwise(number).cast(_WIDE)
 
 
 def to_signed64(value: Column) -> Column:
     """An unsigned 64-bit number as the long with the same bits."""
-    wide = value.cast("decimal(20,0)")
+    number = value.cast(_WIDE)
     return (
-        F.when(wide >= F.lit(2**63).cast("decimal(20,0)"), wide - F.lit(2**64).cast("decimal(20,0)"))
-        .otherwise(wide)
-        .cast("bigint")
+        F.when(number >= _wide(1 << 63), number - _wide(1 << 64)).otherwise(number).cast("bigint")
     )

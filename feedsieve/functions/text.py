@@ -154,7 +154,7 @@ def token_index(text: Column, position: Column) -> Column:
     begun = F.regexp_count(
         F.substring(text, F.lit(1), position + 1), F.lit(java_pattern(r"\S+"))
     )
-    return F.greatest(begun - 1, F.lit(0))
+    return F.when(position.isNotNull(), F.greatest(begun - 1, F.lit(0)))
 
 
 def near(text: Column, a: Column, b: Column, window: int) -> Column:

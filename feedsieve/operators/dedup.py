@@ -38,13 +38,16 @@ def _triple_masks() -> list[int]:
     return [_signed(sum(chosen)) for chosen in combinations(masks, _BLOCKS_KEPT)]
 
 
-def _ball(radius: int) -> list[int]:
-    """All 64-bit masks with at most ``radius`` bits set."""
-    return [
-        _signed(sum(1 << bit for bit in bits))
-        for count in range(radius + 1)
-        for bits in combinations(range(64), count)
-    ]
+def _flipped(value: Column, bit: Column) -> Column:
+    """``value`` with one bit changed; bit 64 stands for none."""
+    mask = F.call_function("shiftleft", F.lit(1).cast("bigint"), bit)
+    return F.when(bit < 64, value.bitwiseXOR(mask)).otherwise(value)
+
+
+def _within_one(simhash: str) -> Column:
+    """Each of the 65 values at most one bit away, one per row."""
+    bits = F.sequence(F.lit(0), F.lit(64))
+    return F.explode(F.transform(bits, lambda bit: _flipped(F.col(simhash), bit)))
 
 
 def _originals_by_key(
@@ -101,18 +104,24 @@ def _pairs_by_ball(probes: DataFrame, known: DataFrame) -> DataFrame:
     around them, and both meet on equal values: the work is linear in the number of hashes.
     """
     around_known = known.select(
-        "period",
-        F.col("simhash").alias("neighbour"),
-        F.explode(
-            F.transform(F.array(*map(F.lit, _ball(1))), lambda m: F.col("simhash").bitwiseXOR(m))
-        ).alias("centre"),
-    )
-    around_probe = probes.select(
-        "simhash",
-        "period",
-        F.explode(
-            F.transform(F.array(*map(F.lit, _ball(2))), lambda m: F.col("simhash").bitwiseXOR(m))
-        ).alias("centre"),
+        "period", F.col("simhash").alias("neighbour"), _within_one("simhash").alias("centre")
+    )
+    around_probe = (
+        probes.select("*", F.explode(F.sequence(F.lit(0), F.lit(64))).alias("first"))
+        # Two different bits, the second possibly none; or none at all, once.
+        .select(
+            "*",
+            F.explode(
+                F.when(F.col("first") == 64, F.array(F.lit(64))).otherwise(
+                    F.sequence(F.col("first") + 1, F.lit(64))
+                )
+            ).alias("second"),
+        )
+        .select(
+            "simhash",
+            "period",
+            _flipped(_flipped(F.col("simhash"), F.col("first")), F.col("second")).alias("centre"),
+        )
     )
     return (
         around_probe.join(around_known, ["period", "centre"])

@@ -39,8 +39,8 @@ KEYWORD_ROWS = [
 ]
 
 
-def corpus_rules() -> RuleSet:
-    return rule_set(KEYWORD_ROWS, fixed.RULE_WEIGHTS.items(), help_pattern=HELP_WORDS)
+def corpus_rules(**limits) -> RuleSet:
+    return rule_set(KEYWORD_ROWS, fixed.RULE_WEIGHTS.items(), help_pattern=HELP_WORDS, **limits)
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -227,6 +227,7 @@ def heartbeats(spark: SparkSession, folder: str) -> DataFrame:
         F.concat(F.lit("c"), F.col("user_id").cast("string")).alias("circuit"),
         "ts",
         F.col("event_id").alias("id"),
+        "value",
     )
 
 

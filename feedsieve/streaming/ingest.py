@@ -76,17 +76,25 @@ def store_batch(
     classifier_on: bool = True,
     token_hash: str = "blake2b",
 ) -> None:
-    """Process one micro-batch of items into the tables under ``store``."""
+    """Process one micro-batch of items into the tables under ``store``.
+
+    An item's time is when it was posted, but never before the latest time of earlier batches:
+    whatever came in earlier counts as earlier, and a repeated batch gets the same times.
+    """
     spark = batch.sparkSession
-    items = with_ids(batch, batch_id).withColumn("ts", F.col("posted_at"))
-    first = items.agg(F.min("posted_at")).first()[0]
-    if first is None:
+    clock = sinks.read_table(spark, f"{store}/clock", "latest TIMESTAMP", batch_id)
+    latest = clock.agg(F.max("latest")).first()[0]
+    posted = F.col("posted_at")
+    arrival = posted if latest is None else F.greatest(posted, F.lit(latest))
+    items = with_ids(batch, batch_id).withColumn("ts", arrival)
+    bounds = items.agg(F.min("ts").alias("first"), F.max("ts").alias("latest")).first()
+    if bounds["first"] is None:
         return
     stored = sinks.read_table(spark, f"{store}/raw_items", RAW_TABLE, batch_id)
     # The index is the item table itself: slim columns of the days a look-back can reach.
-    oldest = F.to_date(F.lit(first) - F.make_dt_interval(days=F.lit(fixed.EXACT_LOOKBACK_DAYS)))
-    index = stored.filter(F.col("ingest_date") >= oldest).select(
-        "id", F.col("posted_at").alias("ts"), "text_hash", "simhash"
+    reach = F.make_dt_interval(days=F.lit(fixed.EXACT_LOOKBACK_DAYS))
+    index = stored.filter(F.col("ingest_date") >= F.to_date(F.lit(bounds["first"]) - reach)).select(
+        "id", F.col("created_at").alias("ts"), "text_hash", "simhash"
     )
     result = flow.process(
         items,
@@ -98,11 +106,13 @@ def store_batch(
         classifier_on=classifier_on,
         token_hash=token_hash,
     )
-    # Items last: a batch without its items is not yet in the index and is simply run again.
     sinks.write_batch(result.duplicates, f"{store}/duplicates", batch_id)
     sinks.write_batch(result.work, f"{store}/work", batch_id)
     sinks.write_matches(result.matches, f"{store}/matches", batch_id)
     sinks.write_raw_items(result.raw_items, f"{store}/raw_items", batch_id)
+    sinks.write_batch(
+        spark.createDataFrame([(bounds["latest"],)], "latest TIMESTAMP"), f"{store}/clock", batch_id
+    )
 
 
 def run_items(
