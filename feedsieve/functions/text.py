@@ -66,7 +66,7 @@ def single_blanks(text: Column) -> Column:
 
 
 def normalize_text(text: Column) -> Column:
-    plain = F.lower(F.translate(text, fixed.MARKDOWN_CHARS, ""))
+    plain = F.lower(F.regexp_replace(text, f"[{fixed.MARKDOWN_CHARS}]", ""))
     plain = single_blanks(plain)
     return strip(F.regexp_replace(plain, r"\n{3,}", "\n\n"))
 
@@ -103,7 +103,7 @@ def apply_aliases(text: Column, aliases: Mapping[str, str]) -> Column:
             gap, F.coalesce(F.try_element_at(table, term), term, F.lit(""))
         ),
     )
-    return F.when(F.size(found) == 0, text).otherwise(F.array_join(pieces, ""))
+    return F.when(text.rlike(java_pattern(pattern)), F.array_join(pieces, "")).otherwise(text)
 
 
 def matched_terms(text: Column, pattern: str | None) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from feedsieve import fixed_values as fixed
 from feedsieve.functions.text import strip
 from feedsieve.operators.ordered import HOUR, carry_last
+from feedsieve.session import cut_lineage
 
 DELIVERED = "notified"
 MONEY = "decimal(12,2)"
@@ -94,8 +95,9 @@ def command_outcomes(
     )
     reachable = valid & F.col("known").isNotNull() & F.col("deleted_before").isNull()
     replies = reachable & (kind == "response") & (F.col("state_before") == "contacted")
+    # Each look-up reads its input twice; stored in between, so that this does not multiply.
     rows = carry_last(
-        rows,
+        cut_lineage(rows),
         ["match_id"],
         "ts",
         "cmd_id",
@@ -109,7 +111,7 @@ def command_outcomes(
         reachable & (kind == "earnings") & F.coalesce(F.col("answer_before.taken"), F.lit(False))
     )
     rows = carry_last(
-        rows,
+        cut_lineage(rows),
         ["match_id"],
         "ts",
         "cmd_id",

@@ -38,6 +38,10 @@ def _triple_masks() -> list[int]:
     return [_signed(sum(chosen)) for chosen in combinations(masks, _BLOCKS_KEPT)]
 
 
+def _mask_array() -> Column:
+    return F.array(*map(F.lit, _triple_masks())).cast("array<bigint>")
+
+
 def _flipped(value: Column, bit: Column) -> Column:
     """``value`` with one bit changed; bit 64 stands for none."""
     mask = F.call_function("shiftleft", F.lit(1).cast("bigint"), bit)
@@ -84,16 +88,14 @@ def _period(ts: Column, days: int) -> Column:
 
 
 def _triple_keys(hashes: DataFrame, simhash: str) -> DataFrame:
-    keys = F.array(*[F.col(simhash).bitwiseAND(F.lit(mask)) for mask in _triple_masks()])
+    keys = F.transform(_mask_array(), lambda mask: F.col(simhash).bitwiseAND(mask))
     return hashes.select("*", F.posexplode(keys).alias("triple", "kept"))
 
 
 def _first_shared_triple(difference: Column) -> Column:
     """The first triple on which two hashes agree; one pair is reported under this one only."""
-    choice = F.lit(None).cast("int")
-    for number, mask in reversed(list(enumerate(_triple_masks()))):
-        choice = F.when(difference.bitwiseAND(F.lit(mask)) == 0, number).otherwise(choice)
-    return choice
+    agrees = F.transform(_mask_array(), lambda mask: difference.bitwiseAND(mask) == 0)
+    return F.array_position(agrees, True) - 1
 
 
 def _pairs_by_ball(probes: DataFrame, known: DataFrame) -> DataFrame:

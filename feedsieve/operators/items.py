@@ -60,12 +60,18 @@ def is_stale(posted_at: Column, now: Column, minutes: int = fixed.MAX_ITEM_AGE_M
 
 def normalize_items(items: DataFrame, rules: RuleSet) -> DataFrame:
     """Add text, text_norm and struct_features."""
-    joined = items.withColumn("text", text.raw_text(F.col("title"), F.col("body")))
-    return joined.withColumns(
-        {
-            "text_norm": text.apply_aliases(text.normalize_text(F.col("text")), rules.aliases),
-            "struct_features": text.struct_features(F.col("text"), F.col("has_body")),
-        }
+    # One column per step: an expression that is used several times below would otherwise be
+    # computed for each use.
+    return (
+        items.withColumn("text", text.raw_text(F.col("title"), F.col("body")))
+        .withColumn("_plain", text.normalize_text(F.col("text")))
+        .withColumns(
+            {
+                "text_norm": text.apply_aliases(F.col("_plain"), rules.aliases),
+                "struct_features": text.struct_features(F.col("text"), F.col("has_body")),
+            }
+        )
+        .drop("_plain")
     )
 
 
