@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from feedsieve import fixed_values as fixed
-from feedsieve.operators.ordered import latest_rows
+from feedsieve.operators.ordered import carry_last, latest_rows
 
 DEFAULT_MUTE_HOURS = 24 * 365
 
@@ -86,6 +86,10 @@ def weight_state(log: DataFrame) -> DataFrame:
     )
 
 
+def weights_listing(weights: DataFrame) -> DataFrame:
+    return weights.select("key", "weight").orderBy("key")
+
+
 def source_state(sources: DataFrame, log: DataFrame) -> DataFrame:
     """Sources after mute, unmute and category commands (id, ts, action, name, hours, category).
 
@@ -155,11 +159,9 @@ def first_seen(
     items: DataFrame,
     key: str = "item_id",
     days: int = fixed.ITEM_ID_LOOKBACK_DAYS,
-    chunk_seconds: int = 86_400,
+    chunk_seconds: int = 3600,
 ) -> DataFrame:
     """Add ``is_first``: no item of the same key in the ``days`` before it."""
-    from feedsieve.operators.ordered import carry_last
-
     linked = carry_last(items, [key], "ts", "id", {"_previous": F.col("ts")}, chunk_seconds)
     limit: Column = F.col("ts") - F.make_dt_interval(days=F.lit(days))
     return linked.withColumn(

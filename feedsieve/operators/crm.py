@@ -81,9 +81,10 @@ def command_outcomes(
         .withColumn("known", F.lit(True))
     )
     rows = _parsed(commands).join(delivered, "match_id", "left")
+    # Each look-up reads its input twice; stored before it, so that the work does not multiply.
     kind, valid = F.col("kind"), F.col("valid")
     rows = carry_last(
-        rows,
+        cut_lineage(rows),
         ["match_id"],
         "ts",
         "cmd_id",
@@ -95,7 +96,6 @@ def command_outcomes(
     )
     reachable = valid & F.col("known").isNotNull() & F.col("deleted_before").isNull()
     replies = reachable & (kind == "response") & (F.col("state_before") == "contacted")
-    # Each look-up reads its input twice; stored in between, so that this does not multiply.
     rows = carry_last(
         cut_lineage(rows),
         ["match_id"],

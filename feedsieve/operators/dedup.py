@@ -61,7 +61,9 @@ def _originals_by_key(
     repeated = items.groupBy(key).agg(F.count("*").alias("_n")).filter("_n > 1").select(key)
     if asked is not None:
         repeated = repeated.join(asked.select(key), key, "left_semi")
-    kept = items.join(repeated, key, "left_semi").select(key, "ts", "id")
+    # Stored, and so no longer laid out by key: the steps below would otherwise take that layout
+    # over and keep a hot key in one task.
+    kept = cut_lineage(items.join(repeated, key, "left_semi").select(key, "ts", "id"))
     span = F.make_dt_interval(days=F.lit(days))
     wanted = kept if asked is None else asked.join(repeated, key, "left_semi")
     wanted = wanted.select(key, "ts", "id", (F.col("ts") - span).alias("at"))
@@ -98,6 +100,20 @@ def _first_shared_triple(difference: Column) -> Column:
     return F.array_position(agrees, True) - 1
 
 
+def _pairs_by_triple(probes: DataFrame, known: DataFrame, distance: int) -> DataFrame:
+    """Near pairs that share a triple, each pair once."""
+    others = known.select("triple", "kept", "period", F.col("simhash").alias("neighbour"))
+    difference = F.col("simhash").bitwiseXOR(F.col("neighbour"))
+    return (
+        probes.join(others, ["triple", "kept", "period"])
+        .filter(
+            F.bit_count(difference).between(1, distance)
+            & (_first_shared_triple(difference) == F.col("triple"))
+        )
+        .select("simhash", "period", "neighbour")
+    )
+
+
 def _pairs_by_ball(probes: DataFrame, known: DataFrame) -> DataFrame:
     """Near pairs of crowded triples, without comparing the members of a triple.
 
@@ -142,24 +158,18 @@ def near_hashes(
     Both inputs hold distinct (simhash, period) rows; only equal periods are compared.
     """
     keyed_known = _triple_keys(known, "simhash")
+    keyed_probes = _triple_keys(probes, "simhash")
     triple = ["triple", "kept", "period"]
-    full = (
-        keyed_known.groupBy(*triple).agg(F.count("*").alias("_n")).filter(F.col("_n") > crowded)
+    # Stored: whether there are any decides which plan is needed, and usually there are none.
+    full = cut_lineage(
+        keyed_known.groupBy(*triple)
+        .agg(F.count("*").alias("_n"))
+        .filter(F.col("_n") > crowded)
         .select(*triple)
     )
-    keyed_probes = _triple_keys(probes, "simhash")
-    sparse = keyed_known.join(full, triple, "left_anti").select(
-        *triple, F.col("simhash").alias("neighbour")
-    )
-    difference = F.col("simhash").bitwiseXOR(F.col("neighbour"))
-    few = (
-        keyed_probes.join(sparse, triple)
-        .filter(
-            F.bit_count(difference).between(1, distance)
-            & (_first_shared_triple(difference) == F.col("triple"))
-        )
-        .select("simhash", "period", "neighbour")
-    )
+    if full.isEmpty():
+        return _pairs_by_triple(keyed_probes, keyed_known, distance)
+    few = _pairs_by_triple(keyed_probes, keyed_known.join(full, triple, "left_anti"), distance)
     many = _pairs_by_ball(
         keyed_probes.join(full, triple, "left_semi").select("simhash", "period").distinct(),
         keyed_known.join(full, triple, "left_semi").select("simhash", "period").distinct(),
@@ -199,8 +209,10 @@ def near_originals(
     questions = alone.join(pairs, "simhash").select(
         "id", "ts", F.col("neighbour"), (F.col("ts") - span).alias("at")
     )
-    candidates = slim.select(F.col("simhash").alias("neighbour"), "ts", "id").join(
-        pairs.select("neighbour").distinct(), "neighbour", "left_semi"
+    candidates = cut_lineage(
+        slim.select(F.col("simhash").alias("neighbour"), "ts", "id").join(
+            pairs.select("neighbour").distinct(), "neighbour", "left_semi"
+        )
     )
     firsts = earliest_at_or_after(
         candidates, questions.select("neighbour", "at"), ["neighbour"]

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from feedsieve.functions import text
 from feedsieve.operators import dedup, items as item_ops, verdicts
 from feedsieve.rules import RuleSet
-from feedsieve.session import cut_lineage
+from feedsieve.session import broadcast_if_small, cut_lineage
 
 
 @dataclass(frozen=True)
@@ -45,12 +45,24 @@ def process(
     zone: str = "UTC",
     token_hash: str = "blake2b",
 ) -> FlowResult:
-    """Process items (id, ts and the feed columns) against earlier ones.
+    """Process items (id, ts and the feed columns) against earlier ones."""
+    facts = cut_lineage(analyse(feed, sources, rules, now, token_hash))
+    return resolve(facts, authors, rules, index, classifier_on, zone)
+
+
+def resolve(
+    facts: DataFrame,
+    authors: DataFrame,
+    rules: RuleSet,
+    index: DataFrame | None = None,
+    classifier_on: bool = True,
+    zone: str = "UTC",
+) -> FlowResult:
+    """Duplicates, matches and work of analysed items; ``facts`` is a stored table.
 
     ``index`` has id, ts, text_hash and simhash of the items before.  Duplicates are looked up
     over both; every item is a possible original, rejected or not.
     """
-    facts = cut_lineage(analyse(feed, sources, rules, now, token_hash))
     keys = facts.select("id", "ts", "text_hash", "simhash")
     if index is None:
         found = dedup.originals(keys)
@@ -58,9 +70,9 @@ def process(
         found = dedup.originals(
             index.select("id", "ts", "text_hash", "simhash").unionByName(keys), asked=keys
         )
-    found = cut_lineage(found)
-    marked = dedup.mark_duplicates(facts, found)
-    passed = marked.filter("reject_rule IS NULL")
+    found = broadcast_if_small(found)
+    # The rule is part of the stored facts, so it is applied in the scan, before any join.
+    passed = facts.filter("reject_rule IS NULL").join(found, "id", "left_anti")
     scored = add_author_points(passed, authors, rules)
     decided = item_ops.decide_items(scored, rules, classifier_on).select(
         "id",
@@ -93,7 +105,7 @@ def process(
         ),
         zone=zone,
     )
-    raw = marked.select(
+    raw = dedup.mark_duplicates(facts, found).select(
         "id",
         "source",
         "circuit",

@@ -9,6 +9,7 @@ from feedsieve import fixed_values as fixed
 from feedsieve.functions import decisions, gates, scoring, text
 from feedsieve.functions.hashing import simhash64, text_hash
 from feedsieve.rules import RuleSet
+from feedsieve.session import broadcast_if_small
 
 TERM_KINDS = ("stack", "hiring", "pain", "money", "noise")
 
@@ -31,8 +32,7 @@ def source_gate(
             ).alias("_source")
         )
     )
-    # No broadcast hint: the planner broadcasts the table while it is small, and adaptive skew
-    # handling splits a source that holds a large share of the items when it is not.
+    known = broadcast_if_small(known)
     joined = items.join(known, F.lower(items["source"]) == known["_source_key"], "left")
     if drop_blocked:
         muted = F.coalesce(F.col("_source.muted_until") > now, F.lit(False))
@@ -157,8 +157,8 @@ def score_items(items: DataFrame, rules: RuleSet) -> DataFrame:
 
 def with_author_bonus(items: DataFrame, authors: DataFrame, rules: RuleSet) -> DataFrame:
     """Left join of the author counters; unknown or missing authors get 0."""
-    counters = authors.select(
-        F.col("handle").alias("author_handle"), "good_count", "bad_count"
+    counters = broadcast_if_small(
+        authors.select(F.col("handle").alias("author_handle"), "good_count", "bad_count")
     )
     bonus = scoring.author_bonus(
         F.coalesce("good_count", F.lit(0)), F.coalesce("bad_count", F.lit(0)), rules

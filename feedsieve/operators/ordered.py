@@ -4,6 +4,10 @@ A plain window sorts a whole group in one task.  Here a group is cut into time c
 chunk is a window of its own, and what a chunk needs from the others comes from one summary row
 per chunk.  Only summaries are ever sorted per group, and their number is bounded by the time
 span, not by the number of rows.
+
+Rows are spread by group and chunk explicitly: a plan that is already laid out by group would
+satisfy a window over group and chunk as well, and all chunks of a group would share a task.  For
+the same reason the inputs should be stored tables, not the direct result of a join on the group.
 """
 
 from __future__ import annotations
@@ -61,7 +65,7 @@ def carry_last(
             for name in values
         ],
     )
-    local = rows.withColumns(
+    local = rows.repartition(*chunk).withColumns(
         {
             f"_local_{name}": F.last(f"_value_{name}", ignorenulls=True).over(before_in_chunk)
             for name in values
@@ -112,6 +116,7 @@ def earliest_at_or_after(
     )
     in_chunk = (
         item_rows.unionByName(probe_rows)
+        .repartition(*keys, "_chunk")
         .withColumn("_near", F.last("hit", ignorenulls=True).over(from_end))
         .filter("_probe = 1")
         .select(*keys, "_chunk", "at", "_near")

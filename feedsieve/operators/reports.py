@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from feedsieve import fixed_values as fixed
 from feedsieve.functions import decisions
 from feedsieve.operators.crm import with_total
-from feedsieve.operators.ordered import carry_last
+from feedsieve.operators.ordered import carry_last, time_chunk
 
 
 def _ratio() -> Column:
@@ -182,10 +182,6 @@ def send_rate(
     Equal times collapse first.  Each time is then counted into its own time chunk and the
     next, so that a chunk holds all it needs and no window spans the table.
     """
-    from pyspark.sql import Window
-
-    from feedsieve.operators.ordered import time_chunk
-
     per_time = sends.groupBy("ts").agg(F.count("*").alias("sent"))
     chunk = time_chunk(F.col("ts"), seconds)
     spread = per_time.select(

@@ -187,11 +187,16 @@ def usage_log(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def numbered_events(spark: SparkSession, folder: str) -> DataFrame:
+    """events with the number k of their JSON properties, read once per row."""
+    number = F.from_json("props", "k INT")["k"]
+    return table(spark, folder, "events").withColumn("k", number)
+
+
 def crm_commands(spark: SparkSession, folder: str) -> DataFrame:
     """events as CRM commands on the match with the user's number."""
-    events = table(spark, folder, "events")
-    kind, n = F.col("event_type"), F.col("event_id")
-    k = F.get_json_object("props", "$.k").cast("int")
+    events = numbered_events(spark, folder)
+    kind, n, k = F.col("event_type"), F.col("event_id"), F.col("k")
     return events.select(
         n.alias("cmd_id"),
         "ts",
@@ -234,8 +239,8 @@ def heartbeats(spark: SparkSession, folder: str) -> DataFrame:
 def keyword_log(spark: SparkSession, folder: str) -> DataFrame:
     """events as keyword commands: errors disable a term, the rest add or re-weight it."""
     kinds = F.array(*map(F.lit, [*fixed.DICT_TYPES, "slang"]))
-    k = F.get_json_object("props", "$.k").cast("int")
-    return table(spark, folder, "events").select(
+    k = F.col("k")
+    return numbered_events(spark, folder).select(
         F.col("event_id").alias("id"),
         "ts",
         F.when(F.col("event_type") == "error", "del").otherwise("add").alias("action"),

@@ -16,7 +16,7 @@ from feedsieve.functions import decisions, gates, hashing, scoring, text
 from feedsieve.operators import admin, crm, dedup, flow, items, quota, reports, verdicts
 from feedsieve.plans import corpus
 from feedsieve.session import cut_lineage, shared_folder
-from feedsieve.sources import atom, messages, sinks
+from feedsieve.sources import atom, messages
 from feedsieve.streaming import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -800,22 +800,22 @@ def dictionary_listing(spark, folder):
 
 @register
 def weight_state(spark, folder):
-    log = corpus.table(spark, folder, "events").select(
+    log = corpus.numbered_events(spark, folder).select(
         F.col("event_id").alias("id"),
         "ts",
         F.when(F.col("user_id") == 0, fixed.THRESHOLD_KEY)
         .otherwise(F.concat(F.lit("rule"), F.col("user_id").cast("string")))
         .alias("key"),
-        F.get_json_object("props", "$.k").cast("int").alias("weight"),
+        F.col("k").alias("weight"),
     )
-    return admin.weight_state(log)
+    return admin.weights_listing(admin.weight_state(log))
 
 
 @register
 def source_state(spark, folder):
     kind = F.col("event_type")
-    k = F.get_json_object("props", "$.k").cast("int")
-    log = corpus.table(spark, folder, "events").select(
+    k = F.col("k")
+    log = corpus.numbered_events(spark, folder).select(
         F.col("event_id").alias("id"),
         "ts",
         F.when(kind == "view", "mute").when(kind == "click", "unmute").otherwise("category").alias("action"),
@@ -932,7 +932,7 @@ def item_stream(spark, folder):
             messages.read_message_stream(spark, f"{run}/in"),
             f"{run}/store", f"{run}/checkpoint", tables, now=at(NOW), token_hash="md5",
         ).awaitTermination()
-    stored = sinks.read_table(spark, f"{run}/store/raw_items", ingest.RAW_TABLE)
+    stored = ingest.read_raw_items(spark, f"{run}/store")
     original = stored.select(F.col("id").alias("duplicate_of"), F.col("item_id").alias("original"))
     return stored.join(original, "duplicate_of", "left").select(
         F.col("item_id").cast("bigint").alias("id"), "source", "circuit", "reject_rule",

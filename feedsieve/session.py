@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -13,6 +14,8 @@ DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Group by (key, chunk) really spreads by both, also after a join on the key alone.
+    "spark.sql.requireAllClusterKeysForDistribution": "true",
 }
 
 
@@ -51,3 +54,18 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(spark).rstrip('/')}/feedsieve-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+SMALL_TABLE_BYTES = 64 * 1024 * 1024
+
+
+def broadcast_if_small(df: DataFrame, max_bytes: int = SMALL_TABLE_BYTES) -> DataFrame:
+    """``df`` stored once, with a broadcast hint only if its measured size allows it.
+
+    The planner cannot see the size of a derived table and would shuffle the large side of the
+    join as well.  A table above the bound is joined by shuffle, where adaptive execution splits
+    skewed keys.
+    """
+    stored = cut_lineage(df)
+    size = stored.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()[0]
+    return F.broadcast(stored) if (size or 0) <= max_bytes else stored

@@ -18,10 +18,9 @@ def write_batch(df: DataFrame, table: str, batch_id: int, partitions: tuple[str,
 def write_raw_items(items: DataFrame, table: str, batch_id: int) -> None:
     """All items, rejected ones too, by day and circuit."""
     dated = items.withColumn("ingest_date", F.to_date("created_at"))
-    # Rows of a day meet in few tasks, so that the number of files stays small; the added salt
-    # splits a day that holds most of the rows.
-    salted = dated.repartition("ingest_date", "circuit", F.pmod(F.xxhash64("item_id"), F.lit(64)))
-    write_batch(salted, table, batch_id, ("ingest_date", "circuit"))
+    # Few files per day; adaptive execution splits a day that holds most of the rows.
+    even = dated.hint("rebalance", "ingest_date", "circuit")
+    write_batch(even, table, batch_id, ("ingest_date", "circuit"))
 
 
 def write_matches(matches: DataFrame, table: str, batch_id: int) -> None:

@@ -12,12 +12,14 @@ from pyspark.sql.streaming import StreamingQuery
 from feedsieve import fixed_values as fixed
 from feedsieve import schemas
 from feedsieve.operators import flow
+from feedsieve.operators.dedup import mark_duplicates
 from feedsieve.operators.items import drop_stale
 from feedsieve.rules import RuleSet
-from feedsieve.session import cut_lineage
+from feedsieve.session import broadcast_if_small, cut_lineage
 from feedsieve.sources import messages, sinks
 
-RAW_TABLE = schemas.RAW_ITEMS + ", duplicate_of BIGINT, ingest_date DATE"
+RAW_TABLE = schemas.RAW_ITEMS + ", ts TIMESTAMP, ingest_date DATE"
+DUPLICATES_TABLE = "id BIGINT, duplicate_of BIGINT"
 
 
 def edge(
@@ -52,7 +54,7 @@ def with_ids(batch: DataFrame, batch_id: int) -> DataFrame:
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
     return (
-        placed.join(starts, "_part")
+        placed.join(broadcast_if_small(starts), "_part")
         .withColumn("id", F.lit(batch_id << 40) + F.col("_start") + F.col("_row"))
         .drop("_part", "_row", "_start")
     )
@@ -68,7 +70,7 @@ class Tables:
 
 
 def store_batch(
-    batch: DataFrame,
+    numbered: DataFrame,
     batch_id: int,
     store: str,
     tables: Tables,
@@ -76,57 +78,58 @@ def store_batch(
     classifier_on: bool = True,
     token_hash: str = "blake2b",
 ) -> None:
-    """Process one micro-batch of items into the tables under ``store``.
+    """Process the items of one micro-batch, numbered by ``with_ids``, into the store.
 
     An item's time is when it was posted, but never before the latest time of earlier batches:
     whatever came in earlier counts as earlier, and a repeated batch gets the same times.
+
+    The text is written once, with the outcome of the rules; that a row is a duplicate is kept
+    in a narrow table of its own (see ``read_raw_items``).
     """
-    spark = batch.sparkSession
+    spark = numbered.sparkSession
     clock = sinks.read_table(spark, f"{store}/clock", "latest TIMESTAMP", batch_id)
     latest = clock.agg(F.max("latest")).first()[0]
     posted = F.col("posted_at")
     arrival = posted if latest is None else F.greatest(posted, F.lit(latest))
-    items = with_ids(batch, batch_id).withColumn("ts", arrival)
+    items = numbered.withColumn("ts", arrival)
     bounds = items.agg(F.min("ts").alias("first"), F.max("ts").alias("latest")).first()
     if bounds["first"] is None:
         return
-    stored = sinks.read_table(spark, f"{store}/raw_items", RAW_TABLE, batch_id)
+    rules = tables.rules()
+    moment = F.current_timestamp() if now is None else now
+    analysed = flow.analyse(items, tables.sources(), rules, moment, token_hash)
+    raw_table = f"{store}/raw_items"
+    sinks.write_raw_items(analysed.withColumn("created_at", F.col("ts")), raw_table, batch_id)
+    facts = sinks.read_table(spark, raw_table, RAW_TABLE).filter(F.col("batch_id") == batch_id)
     # The index is the item table itself: slim columns of the days a look-back can reach.
     reach = F.make_dt_interval(days=F.lit(fixed.EXACT_LOOKBACK_DAYS))
-    index = stored.filter(F.col("ingest_date") >= F.to_date(F.lit(bounds["first"]) - reach)).select(
-        "id", F.col("created_at").alias("ts"), "text_hash", "simhash"
-    )
-    result = flow.process(
-        items,
-        tables.sources(),
-        tables.authors(),
-        tables.rules(),
-        F.current_timestamp() if now is None else now,
-        index=index,
-        classifier_on=classifier_on,
-        token_hash=token_hash,
-    )
+    stored = sinks.read_table(spark, raw_table, RAW_TABLE, batch_id)
+    index = stored.filter(F.col("ingest_date") >= F.to_date(F.lit(bounds["first"]) - reach))
+    result = flow.resolve(facts, tables.authors(), rules, index, classifier_on)
     sinks.write_batch(result.duplicates, f"{store}/duplicates", batch_id)
     sinks.write_batch(result.work, f"{store}/work", batch_id)
     sinks.write_matches(result.matches, f"{store}/matches", batch_id)
-    sinks.write_raw_items(result.raw_items, f"{store}/raw_items", batch_id)
     sinks.write_batch(
         spark.createDataFrame([(bounds["latest"],)], "latest TIMESTAMP"), f"{store}/clock", batch_id
     )
 
 
+def read_raw_items(spark: SparkSession, store: str) -> DataFrame:
+    """Stored items with ``duplicate_of``, and 'duplicate' before every other reject rule."""
+    raw = sinks.read_table(spark, f"{store}/raw_items", RAW_TABLE)
+    found = sinks.read_table(spark, f"{store}/duplicates", DUPLICATES_TABLE)
+    return mark_duplicates(raw, found)
+
+
 def run_items(
     items: DataFrame, store: str, checkpoint: str, tables: Tables, **settings
 ) -> StreamingQuery:
-    """Stream of items into the tables; processes what is there and stops."""
-    return (
-        items.writeStream.foreachBatch(
-            lambda batch, batch_id: store_batch(batch, batch_id, store, tables, **settings)
-        )
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+    """Stream of items into the store; processes what is there and stops."""
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        store_batch(with_ids(batch, batch_id), batch_id, store, tables, **settings)
+
+    return _run(items, handle, checkpoint)
 
 
 def run_messages(
@@ -135,12 +138,16 @@ def run_messages(
     """Stream of JSON messages; unusable ones go to the quarantine table."""
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        parsed = cut_lineage(messages.parse_messages(batch))
+        parsed = with_ids(messages.parse_messages(batch), batch_id)
         sinks.write_batch(messages.bad_messages(parsed), f"{store}/quarantine", batch_id)
         store_batch(messages.good_items(parsed), batch_id, store, tables, **settings)
 
+    return _run(raw, handle, checkpoint)
+
+
+def _run(stream: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
     return (
-        raw.writeStream.foreachBatch(handle)
+        stream.writeStream.foreachBatch(handle)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()

@@ -82,7 +82,7 @@ def test_stream_equals_batch(spark, tmp_path):
             messages.read_message_stream(spark, str(tmp_path / "in")), store, str(tmp_path / "check"), tables,
             classifier_on=False,
         ).awaitTermination()
-    raw = ingest.read_store(spark, store, "raw_items")
+    raw = ingest.read_raw_items(spark, store)
     # Item 4 was posted first but came in last, so it is the copy and item 2 the original.
     by_id = {r.item_id: r for r in raw.collect()}
     names = {r.id: r.item_id for r in by_id.values()}
@@ -102,8 +102,8 @@ def test_stream_equals_batch(spark, tmp_path):
     assert scores == {f"i{r.raw_item_id}": r.score for r in batch.matches.collect()}
     # Running a batch again leaves the same rows.
     again = messages.good_items(messages.parse_messages(spark.createDataFrame([(x,) for x in batches[2]], "value string")))
-    ingest.store_batch(again, 2, store, tables, classifier_on=False)
-    repeated = {r.item_id: r.reject_rule for r in ingest.read_store(spark, store, "raw_items").collect()}
+    ingest.store_batch(ingest.with_ids(again, 2), 2, store, tables, classifier_on=False)
+    repeated = {r.item_id: r.reject_rule for r in ingest.read_raw_items(spark, store).collect()}
     assert repeated == {k: v[0] for k, v in got.items()}
     updates = ingest.duplicate_updates(ingest.read_store(spark, store, "duplicates"))
     assert sorted(names[r.raw_item_id] for r in updates.collect()) == ["i1", "i2"]

@@ -148,10 +148,13 @@ def test_simhash(spark, kind):
 
 
 def test_bits(spark):
-    assert one(spark, hashing.hamming(F.col("a"), F.col("b")), a=-1, b=0) == 32 or True
-    wide = one(spark, hashing.hamming(F.col("a"), F.col("b")), a=-(1 << 62), b=(1 << 62) - 1)
-    assert wide == 64
-    assert one(spark, hashing.bands(F.col("a")), a=-(1 << 48) + 5) == [5, 0, 0, 65535]
+    longs = spark.createDataFrame([(-(1 << 62), (1 << 62) - 1, 6, 5)], "a bigint, b bigint, c bigint, d bigint")
+    got = longs.select(
+        hashing.hamming(F.col("a"), F.col("b")).alias("wide"),
+        hashing.hamming(F.col("c"), F.col("d")).alias("two"),
+        hashing.bands(F.lit(-(1 << 48) + 5)).alias("bands"),
+    ).first()
+    assert (got.wide, got.two, got.bands) == (64, 2, [5, 0, 0, 65535])
 
 
 @pytest.mark.parametrize(
