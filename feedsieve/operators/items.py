@@ -1,4 +1,8 @@
-"""Item jobs: gate by source, normalise, match terms, reject, score, decide, dry run."""
+"""Item jobs: gate by source, normalise, match terms, reject, score, decide, dry run.
+
+A filter on a computed column moves below the projection that computes it and repeats its work
+there.  So the jobs count with conditions, and results that are to be filtered are stored first.
+"""
 
 from __future__ import annotations
 
@@ -228,8 +232,6 @@ def last_items(items: DataFrame, n: int) -> DataFrame:
 
 def reject_counts(replayed: DataFrame) -> DataFrame:
     """Items per reject rule, most frequent first."""
-    # Counted with a condition, not filtered first: a filter on a computed column moves below
-    # the projection and repeats the text work there.
     return (
         replayed.groupBy("reject_rule")
         .agg(F.count_if(F.col("reject_rule").isNotNull()).alias("items"))

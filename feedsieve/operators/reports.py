@@ -299,7 +299,11 @@ def cards(
 
 def score_explanation(matches: DataFrame) -> DataFrame:
     """(id, rule, points, label) per fired rule, the label with its sign."""
-    rows = matches.select("id", F.explode("signals").alias("rule", "points"))
+    # The outer form: the inner one adds a filter on the map, which would move below the
+    # projection that builds the map and compute it twice.
+    rows = matches.select("id", F.explode_outer("signals").alias("rule", "points")).filter(
+        F.col("rule").isNotNull()
+    )
     sign = F.when(F.col("points") >= 0, "+").otherwise("")
     return rows.withColumn("label", F.concat(sign, F.col("points").cast("string")))
 

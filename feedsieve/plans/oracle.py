@@ -388,10 +388,10 @@ ORACLE["section_headers"] = (
     f"WITH {ITEMS} SELECT id, regexp_matches(text_norm, '{fixed.SECTION_PATTERN}') AS found FROM normed"
 )
 def _unescaped(text: str) -> str:
-    """The entities that the test pages hold, the ampersand last."""
-    for entity, plain in (("&quot;", '"'), ("&middot;", "·"), ("&copy;", "©"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
+    """The entities that the test pages hold, the ampersand last and also without its end."""
+    for entity, plain in (("&quot;", '"'), ("&middot;", "·"), ("&copy;", "©"), ("&lt;", "<"), ("&gt;", ">")):
         text = f"replace({text}, '{entity}', '{plain}')"
-    return text
+    return f"regexp_replace({text}, '&amp;?', '&', 'g')"
 
 
 ORACLE["body_extract"] = f"""WITH blocks AS (

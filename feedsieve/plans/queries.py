@@ -358,8 +358,11 @@ def decision_modes(spark, folder):
 
 @register
 def classifier_worklist(spark, folder):
-    df = items.decide_items(_replayed(spark, folder), RULES)
-    work = verdicts.work_list(df).drop("rule_hint")
+    # Stored before it is filtered, as in the item flow: see the note in operators/items.py.
+    slim = _replayed(spark, folder).select(
+        "id", "circuit", "source", "title", "text", "score", "intent_tag"
+    )
+    work = verdicts.work_list(items.decide_items(cut_lineage(slim), RULES)).drop("rule_hint")
     return work.withColumn("item_text", F.md5("item_text"))
 
 
