@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +21,10 @@ DEFAULTS = {
 }
 
 
+# Paths of the tables cut_lineage has written, in order.
+_written: list[str] = []
+
+
 def build_session(app: str = "feedsieve", master: str | None = None, **conf: str) -> SparkSession:
     """A session with UTC timestamps and adaptive execution; extra settings as keyword pairs."""
     builder = SparkSession.builder.appName(app)
@@ -52,10 +58,27 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/feedsieve-{uuid.uuid4().hex}"
+    _written.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Delete at the end the tables that ``cut_lineage`` has written inside.
+
+    For long-running jobs: results must be written elsewhere before the end.
+    """
+    before = len(_written)
+    try:
+        yield
+    finally:
+        hadoop = spark._jvm.org.apache.hadoop.fs.Path
+        while len(_written) > before:
+            path = hadoop(_written.pop())
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 SMALL_TABLE_BYTES = 64 * 1024 * 1024
 
 

@@ -15,7 +15,7 @@ from feedsieve.operators import flow
 from feedsieve.operators.dedup import mark_duplicates
 from feedsieve.operators.items import drop_stale
 from feedsieve.rules import RuleSet
-from feedsieve.session import broadcast_if_small, cut_lineage
+from feedsieve.session import broadcast_if_small, cut_lineage, scratch
 from feedsieve.sources import messages, sinks
 
 RAW_TABLE = schemas.RAW_ITEMS + ", ts TIMESTAMP, ingest_date DATE"
@@ -145,9 +145,15 @@ def run_messages(
     return _run(raw, handle, checkpoint)
 
 
-def _run(stream: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
+def _run(
+    stream: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str
+) -> StreamingQuery:
+    def handle_and_clean(batch: DataFrame, batch_id: int) -> None:
+        with scratch(batch.sparkSession):
+            handle(batch, batch_id)
+
     return (
-        stream.writeStream.foreachBatch(handle)
+        stream.writeStream.foreachBatch(handle_and_clean)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
