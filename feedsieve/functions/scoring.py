@@ -69,9 +69,10 @@ def contact(text_norm: Column) -> Column:
 
 def compensation(text_norm: Column) -> Column:
     """First amount of money in the text, else null."""
-    return F.nullif(
-        F.regexp_extract(text_norm, java_pattern(fixed.MONEY_AMOUNT_PATTERN, "i"), 0), F.lit("")
-    )
+    # Every amount holds a digit or the word budget; one cheap scan rules out most texts.
+    possible = text_norm.rlike(java_pattern(r"\d|budget", "i"))
+    first = F.regexp_extract(text_norm, java_pattern(fixed.MONEY_AMOUNT_PATTERN, "i"), 0)
+    return F.when(possible, F.nullif(first, F.lit("")))
 
 
 def intent_tag(hiring: Column, pain: Column, tag: Column, helped: Column) -> Column:

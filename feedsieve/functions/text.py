@@ -53,7 +53,9 @@ def struct_features(text: Column, has_body: Column) -> Column:
         F.regexp_count(text, F.lit(java_pattern(fixed.BULLET_PATTERN, "md"))).alias(
             "bullet_line_count"
         ),
-        text.rlike(java_pattern(fixed.URL_PATTERN)).alias("has_links"),
+        (F.contains(text, F.lit("http")) & text.rlike(java_pattern(fixed.URL_PATTERN))).alias(
+            "has_links"
+        ),
         has_email(text).alias("has_email"),
         has_body.alias("has_body"),
         F.endswith(strip(first_line), F.lit("?")).alias("title_is_question"),
