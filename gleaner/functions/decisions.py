@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from feedsieve import fixed_values as fixed
-from feedsieve import schemas
-from feedsieve.functions.text import strip
-from feedsieve.rules import RuleSet
+from gleaner import fixed_values as fixed
+from gleaner import schemas
+from gleaner.functions.text import strip
+from gleaner.rules import RuleSet
 
 CLASSIFY = "classify_and_translate"
 TRANSLATE = "translate"

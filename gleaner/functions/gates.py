@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from feedsieve import fixed_values as fixed
-from feedsieve.functions.scoring import has_any, is_hiring_tag, is_offer_tag
-from feedsieve.functions.text import java_pattern, match_positions, near, starts_within
-from feedsieve.rules import RuleSet
+from gleaner import fixed_values as fixed
+from gleaner.functions.scoring import has_any, is_hiring_tag, is_offer_tag
+from gleaner.functions.text import java_pattern, match_positions, near, starts_within
+from gleaner.rules import RuleSet
 
 
 def length_gate(text_norm: Column) -> Column:

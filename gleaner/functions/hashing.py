@@ -14,7 +14,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from feedsieve import fixed_values as fixed
+from gleaner import fixed_values as fixed
 
 BANDS = 4
 BAND_BITS = 16

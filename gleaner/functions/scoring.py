@@ -9,9 +9,9 @@ from operator import or_
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from feedsieve import fixed_values as fixed
-from feedsieve.functions.text import java_pattern, literal_map
-from feedsieve.rules import RuleSet
+from gleaner import fixed_values as fixed
+from gleaner.functions.text import java_pattern, literal_map
+from gleaner.rules import RuleSet
 
 
 def has_any(terms: Column) -> Column:

@@ -11,7 +11,7 @@ from collections.abc import Iterable, Mapping
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from feedsieve import fixed_values as fixed
+from gleaner import fixed_values as fixed
 
 _META = set(r"\.^$|?*+()[]{}")
 
@@ -168,7 +168,7 @@ def extract_body(html: Column, start: str | None = None, end: str | None = None)
 
     ``start`` and ``end`` are patterns; without both sentinels the result is ('', false).
     """
-    from feedsieve.functions.entities import unescape_twice
+    from gleaner.functions.entities import unescape_twice
 
     start = fixed.BODY_START_PATTERN if start is None else start
     end = fixed.BODY_END_PATTERN if end is None else end

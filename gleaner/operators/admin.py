@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from feedsieve import fixed_values as fixed
-from feedsieve.operators.ordered import carry_last, latest_rows
+from gleaner import fixed_values as fixed
+from gleaner.operators.ordered import carry_last, latest_rows
 
 DEFAULT_MUTE_HOURS = 24 * 365
 

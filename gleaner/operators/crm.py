@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from feedsieve import fixed_values as fixed
-from feedsieve.functions.text import strip
-from feedsieve.operators.ordered import HOUR, carry_last
-from feedsieve.session import cut_lineage
+from gleaner import fixed_values as fixed
+from gleaner.functions.text import strip
+from gleaner.operators.ordered import HOUR, carry_last
+from gleaner.session import cut_lineage
 
 DELIVERED = "notified"
 MONEY = "decimal(12,2)"

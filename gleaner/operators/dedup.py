@@ -12,10 +12,10 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from feedsieve import fixed_values as fixed
-from feedsieve.functions.hashing import hamming
-from feedsieve.operators.ordered import earliest_at_or_after
-from feedsieve.session import cut_lineage
+from gleaner import fixed_values as fixed
+from gleaner.functions.hashing import hamming
+from gleaner.operators.ordered import earliest_at_or_after
+from gleaner.session import cut_lineage
 
 # Six blocks of 64 bits; three flipped bits leave at least three blocks untouched, so two near
 # hashes agree on all bits of at least one of the twenty block triples (31 to 33 bits each).

@@ -7,10 +7,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from feedsieve.functions import text
-from feedsieve.operators import dedup, items as item_ops, verdicts
-from feedsieve.rules import RuleSet
-from feedsieve.session import broadcast_if_small, cut_lineage
+from gleaner.functions import text
+from gleaner.operators import dedup, items as item_ops, verdicts
+from gleaner.rules import RuleSet
+from gleaner.session import broadcast_if_small, cut_lineage
 
 
 @dataclass(frozen=True)

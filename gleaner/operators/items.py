@@ -9,11 +9,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from feedsieve import fixed_values as fixed
-from feedsieve.functions import decisions, gates, scoring, text
-from feedsieve.functions.hashing import simhash64, text_hash
-from feedsieve.rules import RuleSet
-from feedsieve.session import broadcast_if_small
+from gleaner import fixed_values as fixed
+from gleaner.functions import decisions, gates, scoring, text
+from gleaner.functions.hashing import simhash64, text_hash
+from gleaner.rules import RuleSet
+from gleaner.session import broadcast_if_small
 
 TERM_KINDS = ("stack", "hiring", "pain", "money", "noise")
 

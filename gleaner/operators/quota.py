@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from feedsieve import fixed_values as fixed
+from gleaner import fixed_values as fixed
 
 
 def _first_per_group(calls: DataFrame, group: list[str], limit: int) -> DataFrame:

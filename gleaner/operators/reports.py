@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from feedsieve import fixed_values as fixed
-from feedsieve.functions import decisions
-from feedsieve.operators.crm import with_total
-from feedsieve.operators.ordered import carry_last, time_chunk
+from gleaner import fixed_values as fixed
+from gleaner.functions import decisions
+from gleaner.operators.crm import with_total
+from gleaner.operators.ordered import carry_last, time_chunk
 
 
 def _ratio() -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feedsieve.functions import decisions
+from gleaner.functions import decisions
 
 Classifier = Callable[[DataFrame], DataFrame]
 

@@ -9,9 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedsieve import fixed_values as fixed
-from feedsieve.functions.text import extract_tag
-from feedsieve.rules import RuleSet, rule_set
+from gleaner import fixed_values as fixed
+from gleaner.functions.text import extract_tag
+from gleaner.rules import RuleSet, rule_set
 
 START = "2024-01-01 00:00:00"
 HELP_WORDS = r"\bthan the\b|\bis there\b|\bfrom\b"

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from feedsieve import fixed_values as fixed
-from feedsieve.plans import corpus
+from gleaner import fixed_values as fixed
+from gleaner.plans import corpus
 
 ORACLE: dict[str, str] = {}
 

@@ -9,15 +9,15 @@ from functools import wraps
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedsieve import fixed_values as fixed
-from feedsieve import rules as rule_tables
-from feedsieve import schemas
-from feedsieve.functions import decisions, gates, hashing, scoring, text
-from feedsieve.operators import admin, crm, dedup, flow, items, quota, reports, verdicts
-from feedsieve.plans import corpus
-from feedsieve.session import cut_lineage, shared_folder
-from feedsieve.sources import atom, messages
-from feedsieve.streaming import ingest
+from gleaner import fixed_values as fixed
+from gleaner import rules as rule_tables
+from gleaner import schemas
+from gleaner.functions import decisions, gates, hashing, scoring, text
+from gleaner.operators import admin, crm, dedup, flow, items, quota, reports, verdicts
+from gleaner.plans import corpus
+from gleaner.session import cut_lineage, shared_folder
+from gleaner.sources import atom, messages
+from gleaner.streaming import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}

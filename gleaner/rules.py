@@ -9,9 +9,9 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedsieve import fixed_values as fixed
-from feedsieve import schemas
-from feedsieve.functions.text import alternation
+from gleaner import fixed_values as fixed
+from gleaner import schemas
+from gleaner.functions.text import alternation
 
 # A rule set is typed in by hand; it becomes literals in the plan.  More rows than this mean
 # that the wrong table was passed, so loading stops instead of pulling it to the driver.

@@ -25,7 +25,7 @@ DEFAULTS = {
 _written: list[str] = []
 
 
-def build_session(app: str = "feedsieve", master: str | None = None, **conf: str) -> SparkSession:
+def build_session(app: str = "gleaner", master: str | None = None, **conf: str) -> SparkSession:
     """A session with UTC timestamps and adaptive execution; extra settings as keyword pairs."""
     builder = SparkSession.builder.appName(app)
     if master:
@@ -45,7 +45,7 @@ def shared_folder(spark: SparkSession) -> str:
     if not folder:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        folder = tempfile.mkdtemp(prefix="feedsieve-shared-")
+        folder = tempfile.mkdtemp(prefix="gleaner-shared-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
 
@@ -57,7 +57,7 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     and a lost executor costs a re-read, not a re-computation.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/feedsieve-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark).rstrip('/')}/gleaner-{uuid.uuid4().hex}"
     _written.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedsieve.functions.entities import unescape
-from feedsieve.functions.text import extract_body, extract_tag
+from gleaner.functions.entities import unescape
+from gleaner.functions.text import extract_body, extract_tag
 
 # Repeatable elements are arrays, of which the first counts.
 ENTRY = (

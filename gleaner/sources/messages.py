@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedsieve import schemas
-from feedsieve.functions.text import extract_tag
+from gleaner import schemas
+from gleaner.functions.text import extract_tag
 
 _CORRUPT = "_corrupt"
 

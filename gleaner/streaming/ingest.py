@@ -9,14 +9,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from feedsieve import fixed_values as fixed
-from feedsieve import schemas
-from feedsieve.operators import flow
-from feedsieve.operators.dedup import mark_duplicates
-from feedsieve.operators.items import drop_stale
-from feedsieve.rules import RuleSet
-from feedsieve.session import broadcast_if_small, cut_lineage, scratch
-from feedsieve.sources import messages, sinks
+from gleaner import fixed_values as fixed
+from gleaner import schemas
+from gleaner.operators import flow
+from gleaner.operators.dedup import mark_duplicates
+from gleaner.operators.items import drop_stale
+from gleaner.rules import RuleSet
+from gleaner.session import broadcast_if_small, cut_lineage, scratch
+from gleaner.sources import messages, sinks
 
 RAW_TABLE = schemas.RAW_ITEMS + ", ts TIMESTAMP, ingest_date DATE"
 DUPLICATES_TABLE = "id BIGINT, duplicate_of BIGINT"

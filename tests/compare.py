@@ -59,7 +59,7 @@ if __name__ == "__main__":
 
     sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     from __spark_entry__ import oracle_sql, queries
-    from feedsieve.session import build_session
+    from gleaner.session import build_session
 
     folder = sys.argv[1]
     wanted = sys.argv[2:] or list(queries())

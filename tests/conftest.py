@@ -5,7 +5,7 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from feedsieve.session import build_session  # noqa: E402
+from gleaner.session import build_session  # noqa: E402
 
 DATA = "/root/testdata/sf0.001"
 

@@ -4,8 +4,8 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
-from feedsieve import schemas
-from feedsieve.operators import admin, crm
+from gleaner import schemas
+from gleaner.operators import admin, crm
 
 T0 = dt.datetime(2024, 5, 1)
 

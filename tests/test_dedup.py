@@ -4,8 +4,8 @@ import random
 from hypothesis import HealthCheck, given, settings, strategies as st
 import pytest
 
-from feedsieve.operators import dedup
-from feedsieve.operators.ordered import carry_last
+from gleaner.operators import dedup
+from gleaner.operators.ordered import carry_last
 from pyspark.sql import functions as F
 
 T0 = dt.datetime(2024, 1, 1)

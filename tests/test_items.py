@@ -3,9 +3,9 @@ import datetime as dt
 from pyspark.sql import functions as F
 import pytest
 
-from feedsieve import schemas
-from feedsieve.operators import flow, items, reports, verdicts
-from feedsieve.rules import (
+from gleaner import schemas
+from gleaner.operators import flow, items, reports, verdicts
+from gleaner.rules import (
     dictionary_listing, load_rules, rule_set, seed_keywords, seed_rule_weights, seed_rules, seed_sources,
 )
 

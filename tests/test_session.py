@@ -2,7 +2,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from feedsieve import session
+from gleaner import session
 
 
 def test_scratch_deletes_what_was_written_inside(spark):

@@ -3,11 +3,11 @@ import json
 
 from pyspark.sql import functions as F
 
-from feedsieve import schemas
-from feedsieve.operators import flow, quota
-from feedsieve.rules import seed_rules, seed_sources
-from feedsieve.sources import atom, messages, sinks
-from feedsieve.streaming import ingest
+from gleaner import schemas
+from gleaner.operators import flow, quota
+from gleaner.rules import seed_rules, seed_sources
+from gleaner.sources import atom, messages, sinks
+from gleaner.streaming import ingest
 
 FEED = """<?xml version="1.0"?><feed xmlns="http://www.w3.org/2005/Atom"><title>Feed</title>
 <entry><id>t1</id><title>[Hiring] A &amp;amp; B</title><category term="alpha" label="x"/><link href="https://example.test/1"/>

@@ -1,8 +1,8 @@
 from pyspark.sql import functions as F
 import pytest
 
-from feedsieve.functions import decisions, hashing, scoring, text
-from feedsieve.rules import seed_rules
+from gleaner.functions import decisions, hashing, scoring, text
+from gleaner.rules import seed_rules
 
 RULES = seed_rules()
 
