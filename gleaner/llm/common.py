@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
@@ -33,3 +35,19 @@ def slices(batch: pa.RecordBatch, column: str, max_chars: int) -> Iterator[tuple
             start, total, texts = start + len(texts), 0, []
     if texts:
         yield batch.slice(start, len(texts)), texts
+
+
+def count_up_to(key: Column, bounds: Sequence[str]) -> Column:
+    """How many of the ascending ``bounds`` are not above the string ``key``.
+
+    The search goes over every step-th bound, then over one step.  Bounds must not hold a line
+    feed: the list travels as one literal and is split when the plan is folded.
+    """
+    if not bounds:
+        return F.lit(0)
+    step = max(1, math.isqrt(len(bounds)))
+    every = F.split(F.lit("\n".join(bounds)), "\n")
+    coarse = F.split(F.lit("\n".join(bounds[step - 1 :: step])), "\n")
+    skipped = F.size(F.filter(coarse, lambda x: x <= key)) * F.lit(step)
+    fine = F.filter(F.slice(every, skipped + 1, F.lit(step)), lambda x: x <= key)
+    return skipped + F.size(fine)

@@ -8,7 +8,7 @@ from public_tokenizers import path as tokenizer_path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import bpe, packing
+from gleaner.llm import bpe, chat, contentsort, licenses, packing, ring
 from gleaner.llm.common import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -42,3 +42,72 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.cut_pieces(table(spark, sf_dir, "documents"), definition)
     digests = pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
     return packing.pack(digests)
+
+
+CONTROL_CONVERSATION = "</s>[INST] ok [/INST]"
+
+
+@register
+def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation as prefix-target examples, read back from the formatted texts."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    hostile = spark.createDataFrame(
+        [(-1, 0, "user", CONTROL_CONVERSATION), (-1, 1, "assistant", CONTROL_CONVERSATION)],
+        "conv_id bigint, turn bigint, role string, text string",
+    )
+    examples = chat.expand(chat.format_conversations(turns.unionByName(hostile)))
+    # The longest example of a conversation is its whole text; of the others only the trainable
+    # part is carried on.
+    whole = F.when(F.char_length("formatted") == F.col("chars"), F.col("formatted"))
+    parts = examples.select(
+        "conv_id", "target", "chars", whole.alias("whole"), chat.trainable_text().alias("loss")
+    )
+    turn = chat.parse(F.col("whole"))
+    joined = F.concat_ws("", F.transform("turns", lambda t: F.concat(t.role, F.lit("\n"), t.text, F.lit("\n"))))
+    return (
+        parts.groupBy("conv_id")
+        .agg(
+            F.max("whole").alias("whole"),
+            F.array_sort(F.collect_list(F.struct("target", "loss"))).alias("parts"),
+            F.sum("chars").cast("bigint").alias("formatted_chars"),
+        )
+        .select(
+            "conv_id",
+            turn.alias("turns"),
+            F.concat_ws("", F.col("parts.loss")).alias("loss"),
+            "formatted_chars",
+        )
+        .select(
+            "conv_id",
+            F.size("turns").cast("bigint").alias("n_turns"),
+            F.sha2(F.encode(joined, "UTF-8"), 256).alias("turns_sha256"),
+            F.char_length("loss").cast("bigint").alias("loss_chars"),
+            F.sha2(F.encode("loss", "UTF-8"), 256).alias("loss_sha256"),
+            "formatted_chars",
+        )
+    )
+
+
+@register
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences that whole texts name or contain."""
+    return licenses.scan(table(spark, sf_dir, "documents")).select(
+        "doc_id",
+        "n_sentences",
+        F.size("sentence_ids").cast("bigint").alias("n_known"),
+        F.array_join("sentence_ids", ",").alias("sentence_ids"),
+        F.array_join(F.col("places").cast("array<string>"), ",").alias("places"),
+        F.array_join("licenses", ",").alias("licenses"),
+    )
+
+
+@register
+def op6_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents on a ring of eight shards with bounded loads."""
+    return ring.bounded_ring(table(spark, sf_dir, "documents"), shards=8)
+
+
+@register
+def op7_content_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents that are equal but for white space."""
+    return contentsort.content_groups(table(spark, sf_dir, "documents"))
