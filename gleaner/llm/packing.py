@@ -17,11 +17,12 @@ import heapq
 from collections.abc import Iterator, Mapping
 
 import pyarrow as pa
+import tiktoken
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleaner.llm.bpe import SLICE_CHARS, tokenizer
+from gleaner.llm.bpe import SLICE_CHARS, ByteBPE, tokenizer
 from gleaner.llm.common import bound_arrow_batches, slices
 from gleaner.session import cut_lineage
 
@@ -30,6 +31,30 @@ END_ID = 0
 ROWS_PER_BUCKET = 20_000
 
 
+# Fixed value: how the byte-level vocabulary cuts words.
+WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+class CompiledBPE:
+    """The same ids as ``ByteBPE`` from a compiled library, several times faster."""
+
+    def __init__(self, exact: ByteBPE):
+        self.exact = exact
+        special = {text: int.from_bytes(ids, "little") for text, ids in exact.special.items()}
+        ranks = {s: i for i, s in enumerate(exact.strings) if s and i not in special.values()}
+        self.library = tiktoken.Encoding(
+            "packing", pat_str=WORDS, mergeable_ranks=ranks, special_tokens=special
+        )
+
+    def encode(self, text: str | None) -> bytes:
+        if not text:
+            return b""
+        try:
+            return self.library.encode_to_numpy(text, allowed_special="all").tobytes()
+        except ValueError:  # white space without end is too deep for its pattern engine
+            return self.exact.encode(text)
+
+
 def cut_pieces(
     docs: DataFrame,
     definition: Broadcast[bytes],
@@ -42,7 +67,7 @@ def cut_pieces(
     step = 4 * max_tokens
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = tokenizer(definition)
+        bpe = CompiledBPE(tokenizer(definition))
         for batch in batches:
             for part, texts in slices(batch, "_text", SLICE_CHARS):
                 row: list[int] = []
