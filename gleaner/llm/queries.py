@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from public_tokenizers import path as tokenizer_path
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import bpe, chat, contentsort, licenses, packing, ring
+from gleaner.llm import bpe, chat, contentsort, langid, licenses, packing, ring, toxicity
 from gleaner.llm.common import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -111,3 +111,24 @@ def op6_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_content_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of documents that are equal but for white space."""
     return contentsort.content_groups(table(spark, sf_dir, "documents"))
+
+
+def held_out(modulus: int, remainder: int) -> Column:
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(0)) % modulus == remainder
+
+
+@register
+def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every whole text; learned from three quarters of the documents."""
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(docs, ~held_out(4, 2))
+    return langid.predict(docs.withColumn("held_out", held_out(4, 2)), model, ["doc_id", "held_out"])
+
+
+@register
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every whole text; learned from the labels of four fifths of the documents."""
+    docs = table(spark, sf_dir, "documents")
+    net = toxicity.fit(docs, table(spark, sf_dir, "labels"), ~held_out(5, 0))
+    scored = toxicity.score(docs.withColumn("held_out", held_out(5, 0)), net, ["doc_id", "held_out"])
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
