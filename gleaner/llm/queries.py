@@ -8,7 +8,7 @@ from public_tokenizers import path as tokenizer_path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import bpe, chat, contentsort, langid, licenses, packing, ring, toxicity
+from gleaner.llm import bagminhash, bpe, chat, contentsort, langid, licenses, packing, ring, toxicity
 from gleaner.llm.common import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -132,3 +132,9 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     net = toxicity.fit(docs, table(spark, sf_dir, "labels"), ~held_out(5, 0))
     scored = toxicity.score(docs.withColumn("held_out", held_out(5, 0)), net, ["doc_id", "held_out"])
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+@register
+def op5_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of documents whose five-word shingle multisets overlap by 0.8 or more."""
+    return bagminhash.near_classes(table(spark, sf_dir, "documents")).drop("row")
