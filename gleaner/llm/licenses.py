@@ -64,7 +64,7 @@ def sentences(text: Column) -> Column:
     """Normalised sentences in order, without empty ones."""
     lines = F.regexp_replace(F.lower(text), SENTENCE_END, "\n")
     words = F.regexp_replace(lines, BETWEEN_WORDS, " ")
-    return F.filter(F.transform(F.split(words, "\n"), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.split(words, "\n"), lambda s: F.trim(s)), lambda s: s != "")
 
 
 def normalised(sentence: str) -> str:

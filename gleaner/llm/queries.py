@@ -8,8 +8,9 @@ from public_tokenizers import path as tokenizer_path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import bagminhash, bpe, chat, contentsort, langid, licenses, packing, ring, toxicity
+from gleaner.llm import bagminhash, bpe, chat, contentsort, kdtree, langid, licenses, packing, ring, toxicity
 from gleaner.llm.common import table
+from gleaner.session import cut_lineage
 
 TOKENIZER = "byte_bpe_50k.json"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -138,3 +139,108 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classes of documents whose five-word shingle multisets overlap by 0.8 or more."""
     return bagminhash.near_classes(table(spark, sf_dir, "documents")).drop("row")
+
+
+@register
+def op8_kdtree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 vectors with the largest inner products for every twentieth vector."""
+    vectors = cut_lineage(kdtree.quantised(table(spark, sf_dir, "embeddings")))
+    return kdtree.top_k(vectors, vectors.where(F.col("vec_id") % 20 == 0))
+
+
+ORACLE["op8_kdtree"] = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS z
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND list_count(embedding) = len(embedding)
+    AND len(list_filter(embedding, lambda x: isnan(x) OR isinf(x))) = 0
+), p AS (
+  SELECT q.vec_id AS query_id, c.vec_id,
+         CAST(list_sum(list_transform(list_zip(q.z, c.z), lambda t: t[1] * t[2])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM p
+) WHERE rank <= 20
+"""
+
+_WHITE = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+ORACLE["op7_content_sort"] = f"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, translate(coalesce(text, ''), {_WHITE}, '') AS norm FROM documents
+)
+SELECT doc_id,
+       first_value(doc_id) OVER g AS keep_id,
+       count(*) OVER (PARTITION BY norm) AS group_size,
+       row_number() OVER g = 1 AS kept,
+       sha256(norm) AS text_sha256
+FROM d WINDOW g AS (PARTITION BY norm ORDER BY length(t) DESC, doc_id)
+"""
+
+
+def _duck_escape(column: str) -> str:
+    out = f"replace(coalesce({column}, ''), '\\', '\\\\')"
+    for control in chat.CONTROL:
+        out = f"replace({out}, '{control}', '{control[0]}\\{control[1:]}')"
+    return out
+
+
+ORACLE["op2_chat"] = f"""
+WITH t AS (
+  SELECT conv_id, turn, role, text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '{CONTROL_CONVERSATION}'
+  UNION ALL SELECT -1, 1, 'assistant', '{CONTROL_CONVERSATION}'
+), b AS (
+  SELECT *, length('{chat.TURN}') + length({_duck_escape("role")}) + length('{chat.TEXT}')
+            + length({_duck_escape("text")}) + {len(chat.END)} AS chars,
+         row_number() OVER w AS n, count(*) OVER (PARTITION BY conv_id) AS turns
+  FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST)
+), e AS (
+  SELECT *, sum(chars) OVER (PARTITION BY conv_id ORDER BY n) AS upto FROM b
+)
+SELECT conv_id,
+       count(*) AS n_turns,
+       sha256(string_agg(coalesce(role, '') || chr(10) || coalesce(text, '') || chr(10), '' ORDER BY n)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(coalesce(text, ''), '' ORDER BY n) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(upto) FILTER (role = 'assistant' OR n = turns) AS BIGINT) AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+
+
+def _license_oracle() -> str:
+    known = ", ".join(f"('{licenses.normalised(s)}', '{i}')" for i, s in licenses.SENTENCES.items())
+    names = ", ".join(
+        f"('{i}', '{n}')" for i, n in {" ".join(ids): n for n, ids in reversed(licenses.RULES)}.items()
+    )
+    return f"""
+WITH known(sentence, id) AS (VALUES {known}), named(ids, name) AS (VALUES {names}),
+l AS (
+  SELECT doc_id, regexp_replace(regexp_replace(lower(coalesce(text, '')),
+    '[.!?;]+([ \\t\\r\\n]|\\z)', chr(10), 'g'), '[^\\p{{L}}\\p{{N}}\\n]+', ' ', 'g') AS t
+  FROM documents
+), s AS (
+  SELECT doc_id, list_filter(list_transform(string_split(t, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS found FROM l
+), u AS (
+  SELECT doc_id, unnest(found) AS sentence, unnest(range(len(found))) AS place FROM s
+), k AS (
+  SELECT doc_id, place, coalesce(id, '{licenses.GAP}') AS id FROM u LEFT JOIN known USING (sentence)
+), a AS (
+  SELECT doc_id, list(id ORDER BY place) AS ids, list(place ORDER BY place) FILTER (id <> '{licenses.GAP}') AS places
+  FROM k GROUP BY doc_id
+), m AS (
+  SELECT s.doc_id, coalesce(ids, []) AS ids, coalesce(places, []) AS places FROM s LEFT JOIN a USING (doc_id)
+), r AS (
+  SELECT doc_id, unnest(x) AS match, unnest(range(len(x))) AS place
+  FROM (SELECT doc_id, regexp_extract_all(array_to_string(ids, ' '), '{licenses.rule_pattern(licenses.RULES)}') AS x FROM m)
+), n AS (
+  SELECT doc_id, string_agg(name, ',' ORDER BY place) AS licenses FROM r JOIN named ON match = named.ids GROUP BY doc_id
+)
+SELECT m.doc_id, CAST(len(m.ids) AS BIGINT) AS n_sentences, CAST(len(m.places) AS BIGINT) AS n_known,
+       array_to_string(list_filter(m.ids, lambda x: x <> '{licenses.GAP}'), ',') AS sentence_ids,
+       array_to_string(m.places, ',') AS places, coalesce(n.licenses, '') AS licenses
+FROM m LEFT JOIN n USING (doc_id)
+"""
+
+
+ORACLE["op4_licenses"] = _license_oracle()
