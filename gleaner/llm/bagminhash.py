@@ -25,7 +25,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -213,59 +213,57 @@ def bands_of(points: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return key.view(np.int64)
 
 
-def signed(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, size: int = SHINGLE) -> DataFrame:
-    """(doc_id, digest, total, keys, words): digest of the words, number of shingles, band keys."""
+def signed(docs: DataFrame, keep: Sequence[str], bands: int, rows: int, size: int) -> DataFrame:
+    """``keep`` columns (text among them), digest of the words, number of shingles, band keys."""
     bound_arrow_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, texts in slices(batch, "_text", SLICE_CHARS):
-                digests, totals, keys, joined = [], [], [], []
+            for part, texts in slices(batch, "text", SLICE_CHARS):
+                digests, totals, keys = [], [], []
                 for text in texts:
                     words = words_of((text or "").lower())
                     plain = " ".join(words)
-                    joined.append(plain)
                     digests.append(hashlib.blake2b(plain.encode("utf-8", "replace"), digest_size=16).digest() if words else None)
                     elements, counts = shingles(words, size)
                     totals.append(int(counts.sum()))
                     keys.append(bands_of(signature(elements, counts, bands * rows), bands, rows) if words else None)
                 yield pa.RecordBatch.from_pydict(
-                    {
-                        "doc_id": part.column("doc_id"),
+                    {c: part.column(c) for c in keep}
+                    | {
                         "digest": pa.array(digests, pa.binary()),
                         "total": pa.array(totals, pa.int64()),
                         "keys": pa.array(keys, pa.list_(pa.int64())),
-                        "words": pa.array(joined, pa.string()),
                     }
                 )
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col("text").alias("_text")).mapInArrow(
-        run, f"doc_id {kind}, digest binary, total bigint, keys array<bigint>, words string"
+    kept = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
+    return docs.select(*keep).mapInArrow(
+        run, f"{kept}, digest binary, total bigint, keys array<bigint>"
     )
 
 
 def verified(pairs: DataFrame, texts: DataFrame, threshold: float, size: int) -> DataFrame:
-    """The pairs (a, b) whose multisets are similar enough; ``texts`` has (row, words)."""
+    """The pairs (a, b) whose multisets are similar enough; ``texts`` has (row, text)."""
     ends = pairs.select(F.col("a").alias("row")).union(pairs.select(F.col("b").alias("row"))).distinct()
     used = texts.join(broadcast_if_small(ends), "row", "left_semi")
-    joined = pairs.join(used.select(F.col("row").alias("a"), F.col("words").alias("words_a")), "a").join(
-        used.select(F.col("row").alias("b"), F.col("words").alias("words_b")), "b"
+    joined = pairs.join(used.select(F.col("row").alias("a"), F.col("text").alias("text_a")), "a").join(
+        used.select(F.col("row").alias("b"), F.col("text").alias("text_b")), "b"
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, multiset = None, None  # pairs of one leader tend to follow each other
         for batch in batches:
             kept: tuple[list, list] = ([], [])
-            for a, b, words_a, words_b in zip(*(batch.column(c) for c in ("a", "b", "words_a", "words_b")), strict=True):
+            for a, b, text_a, text_b in zip(*(batch.column(c) for c in batch.schema.names), strict=True):
                 if b.as_py() != last:
-                    last, multiset = b.as_py(), shingles(words_b.as_py().split(" "), size)
-                if similarity(shingles(words_a.as_py().split(" "), size), multiset) >= threshold:
+                    last, multiset = b.as_py(), shingles(words_of(text_b.as_py().lower()), size)
+                if similarity(shingles(words_of(text_a.as_py().lower()), size), multiset) >= threshold:
                     kept[0].append(a.as_py())
                     kept[1].append(last)
             yield pa.RecordBatch.from_pydict({"u": pa.array(kept[0], pa.int64()), "v": pa.array(kept[1], pa.int64())})
 
-    return joined.select("a", "b", "words_a", "words_b").mapInArrow(run, "u bigint, v bigint")
+    return joined.select("a", "b", "text_a", "text_b").mapInArrow(run, "u bigint, v bigint")
 
 
 def near_classes(
@@ -279,8 +277,34 @@ def near_classes(
 
     ``class_id`` is the identifier of the row that stays.
     """
-    stored = cut_lineage(signed(docs, bands, rows, size).withColumn("row", F.monotonically_increasing_id()))
-    texts = stored.select("row", "words")
+    return _classified(docs, ["doc_id", "text"], threshold, bands, rows, size)[1].drop("row")
+
+
+def survivors(
+    docs: DataFrame,
+    keep: Sequence[str],
+    threshold: float = THRESHOLD,
+    bands: int = BANDS,
+    rows: int = ROWS,
+    size: int = SHINGLE,
+) -> DataFrame:
+    """The ``keep`` columns of one row per class."""
+    columns = list(dict.fromkeys(["doc_id", "text", *keep]))
+    stored, classes = _classified(docs, columns, threshold, bands, rows, size)
+    dropped = broadcast_if_small(classes.where("NOT kept").select("row"))
+    return stored.join(dropped, "row", "left_anti").select(*keep)
+
+
+def _classified(
+    docs: DataFrame, columns: Sequence[str], threshold: float, bands: int, rows: int, size: int
+) -> tuple[DataFrame, DataFrame]:
+    """The stored rows with their number, and (doc_id, class_id, class_size, kept, row)."""
+    clash = {"digest", "total", "keys", "row"} & set(columns)
+    if clash:
+        raise ValueError(f"columns to keep have names of new columns: {sorted(clash)}")
+    numbered = signed(docs, columns, bands, rows, size)
+    stored = cut_lineage(numbered.withColumn("row", F.monotonically_increasing_id()))
+    texts = stored.select("row", "text")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
     nodes = cut_lineage(
         stored.where("digest IS NOT NULL")
@@ -319,13 +343,14 @@ def near_classes(
     named = cut_lineage(named)
     classes = named.groupBy("component").agg(F.sum("copies").alias("class_size"), F.min("first").alias("keeper"))
     of_digest = named.select("digest", "component").join(classes, "component").drop("component")
-    return stored.select("doc_id", "row", "digest").join(of_digest, "digest", "left").select(
+    classified = stored.select("doc_id", "row", "digest").join(of_digest, "digest", "left").select(
         "doc_id",
         F.when(F.col("keeper").isNull(), F.col("doc_id")).otherwise(F.col("keeper.doc_id")).alias("class_id"),
         F.coalesce("class_size", F.lit(1)).alias("class_size"),
         F.coalesce(F.col("keeper.row") == F.col("row"), F.lit(True)).alias("kept"),
         "row",
     )
+    return stored, classified
 
 
 def pairs_across(shared: DataFrame, found: DataFrame, tested: DataFrame, threshold: float) -> DataFrame:

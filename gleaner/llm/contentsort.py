@@ -15,6 +15,8 @@ ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,6 +27,11 @@ WHITE_SPACE = " \t\n\x0b\x0c\r"
 KEY_CHARACTERS = 48
 SAMPLES_PER_RANGE = 40
 LONGEST = 10**10
+NEW_COLUMNS = {
+    "keep_id", "group_size", "kept", "text_sha256", "key", "range", "row", "starts", "last", "group",
+    "norm", "border_text", "size", "keep", "in_range", "in_group", "continued", "chain_size",
+    "chain_keep",
+}
 
 
 def normalised(text: Column) -> Column:
@@ -38,17 +45,14 @@ def sortable(number: Column) -> Column:
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """(doc_id, norm, text_sha256, key)."""
-    rows = docs.select(
-        "doc_id",
-        normalised(F.col("text")).alias("norm"),
-        F.coalesce(F.char_length("text"), F.lit(0)).alias("chars"),
-    ).withColumn("text_sha256", F.sha2("norm", 256))
+    """``docs`` with ``text_sha256`` of the normalised text and the sort ``key``."""
+    norm = normalised(F.col("text"))
+    rows = docs.withColumn("text_sha256", F.sha2(F.encode(norm, "UTF-8"), 256))
     key = F.concat(
-        F.substring("norm", 1, KEY_CHARACTERS),
+        F.substring(norm, 1, KEY_CHARACTERS),
         F.lit("\t"),
         F.col("text_sha256"),
-        F.lpad((F.lit(LONGEST) - F.col("chars")).cast("string"), 11, "0"),
+        F.lpad((F.lit(LONGEST) - F.coalesce(F.char_length("text"), F.lit(0))).cast("string"), 11, "0"),
         sortable(F.col("doc_id")),
     )
     return rows.withColumn("key", key)
@@ -66,17 +70,23 @@ def splitters(docs: DataFrame, ranges: int, seed: int = 20) -> list[str]:
     return sorted(set(chosen))
 
 
-def content_groups(docs: DataFrame, ranges: int | None = None) -> DataFrame:
-    """(doc_id, keep_id, group_size, kept, text_sha256), one row per row of ``docs``."""
+def content_groups(
+    docs: DataFrame, keep: Sequence[str] = ("doc_id",), ranges: int | None = None
+) -> DataFrame:
+    """``keep`` columns, keep_id, group_size, kept and text_sha256, one row per row of ``docs``."""
+    clash = NEW_COLUMNS & set(keep)
+    if clash:
+        raise ValueError(f"columns to keep have names of new columns: {sorted(clash)}")
     spark = docs.sparkSession
     ranges = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    docs = docs.select("doc_id", "text")
+    docs = docs.select(*dict.fromkeys(["doc_id", "text", *keep]))
     bounds = splitters(docs, ranges)
     rows = keyed(docs).withColumn("range", count_up_to(F.col("key"), bounds).cast("int"))
     in_order = Window.partitionBy("range").orderBy("key")
     so_far = in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     compared = (
         rows.repartitionById(len(bounds) + 1, F.col("range"))
+        .withColumn("norm", normalised(F.col("text")))
         .withColumns(
             {
                 "row": F.row_number().over(in_order),
@@ -86,7 +96,7 @@ def content_groups(docs: DataFrame, ranges: int | None = None) -> DataFrame:
         )
         .withColumn("group", F.sum("starts").over(so_far))
         .select(
-            "doc_id",
+            *dict.fromkeys(["doc_id", *keep]),
             "text_sha256",
             "range",
             "group",
@@ -108,7 +118,7 @@ def content_groups(docs: DataFrame, ranges: int | None = None) -> DataFrame:
     chains = linked_borders(grouped)
     same_group = (F.col("range") == F.col("in_range")) & (F.col("group") == F.col("in_group"))
     return grouped.join(F.broadcast(chains), same_group, "left").select(
-        "doc_id",
+        *keep,
         F.when(F.col("in_range").isNull(), F.col("keep")).otherwise(F.col("chain_keep")).alias("keep_id"),
         F.coalesce("chain_size", "size").alias("group_size"),
         ((F.col("starts") == 1) & ~F.coalesce("continued", F.lit(False))).alias("kept"),

@@ -201,13 +201,15 @@ def predict(docs: DataFrame, model: Model, keep: list[str] | None = None) -> Dat
     clash = {"lang_pred", "score", "_text"} & set(keep)
     if clash:
         raise ValueError(f"columns to keep have names of new columns: {sorted(clash)}")
+    column = "text" if "text" in keep else "_text"
+    rows = docs.select(*keep) if column in keep else docs.select(*keep, F.col("text").alias(column))
     sent = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         languages, prototypes = sent.value.languages, sent.value.prototypes
         made = profiler(prototypes.shape[1])
         for batch in batches:
-            for part, texts in slices(batch, "_text", SLICE_CHARS):
+            for part, texts in slices(batch, column, SLICE_CHARS):
                 vectors = made.bundle(texts)
                 known = vectors.any(axis=1) if languages else np.zeros(len(texts), bool)
                 names: list[str] = [UNKNOWN] * len(texts)
@@ -224,4 +226,4 @@ def predict(docs: DataFrame, model: Model, keep: list[str] | None = None) -> Dat
 
     kept = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
     schema = f"{kept}, lang_pred string, score double" if keep else "lang_pred string, score double"
-    return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)

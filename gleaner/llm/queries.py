@@ -138,7 +138,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def op5_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classes of documents whose five-word shingle multisets overlap by 0.8 or more."""
-    return bagminhash.near_classes(table(spark, sf_dir, "documents")).drop("row")
+    return bagminhash.near_classes(table(spark, sf_dir, "documents"))
 
 
 @register

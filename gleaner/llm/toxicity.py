@@ -436,15 +436,17 @@ def score(docs: DataFrame, net: Network | None, keep: Sequence[str] = ("doc_id",
     if net is None:
         return docs.select(*keep, F.lit(0.0).alias("score"))
     bound_arrow_batches(spark)
+    column = "text" if "text" in keep else "_text"
+    rows = docs.select(*keep) if column in keep else docs.select(*keep, F.col("text").alias(column))
     sent = spark.sparkContext.broadcast(net)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(sent.value)
         for batch in batches:
-            for part, texts in slices(batch, "_text", SLICE_CHARS):
+            for part, texts in slices(batch, column, SLICE_CHARS):
                 scores = sigmoid(scorer.logits(texts).astype(np.float64))
                 kept = {c: part.column(c) for c in keep}
                 yield pa.RecordBatch.from_pydict(kept | {"score": pa.array(scores, pa.float64())})
 
     kept = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in keep)
-    return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(run, kept + "score double")
+    return rows.mapInArrow(run, kept + "score double")
