@@ -79,10 +79,33 @@ def parse_verdict(response: Column) -> Column:
     bare = F.regexp_replace(F.regexp_replace(text, "^`+|`+$", ""), "(?i)^json", "")
     text = F.when(F.startswith(text, F.lit("```")), bare).otherwise(text)
     # variant keeps "not JSON" (null) apart from an object with missing keys
-    return F.when(
-        F.try_parse_json(text).isNotNull() & text.rlike(r"^\s*\{"),
-        F.from_json(text, schemas.VERDICT),
+    value = F.try_parse_json(text)
+    typed = F.from_json(text, schemas.VERDICT)
+    loose = typed.withField("is_lead", _truth(value, "$.is_lead")).withField(
+        "confidence", _number(value, "$.confidence")
     )
+    return F.when(value.isNotNull() & text.rlike(r"^\s*\{"), loose)
+
+
+def _kind(value: Column, path: str) -> Column:
+    return F.schema_of_variant(F.try_variant_get(value, path, "variant"))
+
+
+def _truth(value: Column, path: str) -> Column:
+    """A JSON value as a condition: null if missing; false, 0 and empty values are false."""
+    kind, word = _kind(value, path), F.try_variant_get(value, path, "string")
+    return (
+        F.when(kind.isNull() | (kind == "VOID"), None)
+        .when(kind == "BOOLEAN", word == "true")
+        .when(kind == "STRING", word != "")
+        .when(kind.rlike("^(ARRAY|OBJECT)"), ~word.isin("[]", "{}"))
+        .otherwise(F.coalesce(word.try_cast("double") != 0, F.lit(True)))
+    )
+
+
+def _number(value: Column, path: str) -> Column:
+    """A JSON number, also one in quotes; null for anything else."""
+    return F.trim(F.try_variant_get(value, path, "string")).try_cast("double")
 
 
 def verdict_notifies(mode: Column, verdict: Column) -> Column:

@@ -2,19 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleaner import fixed_values as fixed
-from gleaner.operators.ordered import carry_last, latest_rows
+from gleaner.operators.ordered import earliest_at_or_after, latest_rows
+from gleaner.session import cut_lineage
 
 DEFAULT_MUTE_HOURS = 24 * 365
 
 
-def insert_if_absent(table: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
-    """``table`` plus those rows whose key it does not hold; one row per new key."""
-    new = rows.join(table.select(*keys), keys, "left_anti").dropDuplicates(keys)
-    return table.unionByName(new, allowMissingColumns=True)
+def insert_if_absent(
+    table: DataFrame, rows: DataFrame, keys: list[str], order: list[str]
+) -> DataFrame:
+    """``table`` plus those rows whose key it does not hold; of a new key the first in ``order``."""
+    new = rows.join(table.select(*keys), keys, "left_anti")
+    rest = [c for c in rows.columns if c not in keys]
+    firsts = new.groupBy(*keys).agg(
+        F.min_by(F.struct(*rest), F.struct(*order)).alias("_first")
+    )
+    return table.unionByName(firsts.select(*keys, "_first.*"), allowMissingColumns=True)
 
 
 def source_stubs(items: DataFrame, sources: DataFrame) -> DataFrame:
@@ -161,9 +168,31 @@ def first_seen(
     days: int = fixed.ITEM_ID_LOOKBACK_DAYS,
     chunk_seconds: int = 3600,
 ) -> DataFrame:
-    """Add ``is_first``: no item of the same key in the ``days`` before it."""
-    linked = carry_last(items, [key], "ts", "id", {"_previous": F.col("ts")}, chunk_seconds)
-    limit: Column = F.col("ts") - F.make_dt_interval(days=F.lit(days))
-    return linked.withColumn(
-        "is_first", F.coalesce(F.col("_previous") < limit, F.lit(True))
-    ).drop("_previous")
+    """Add ``is_first``: the key is not registered when the item comes.
+
+    The first item of a key registers it for ``days``, both ends included; items within that time
+    do not renew it, and the first item after it registers the key again.  Every item gets a
+    pointer to the one that would follow it as a registration; doubled pointers reach all
+    registrations of a key in as many rounds as their number has binary digits.
+    """
+    slim = cut_lineage(items.select(key, "ts", "id"))
+    span = F.make_dt_interval(days=F.lit(days), secs=F.lit(0.000001))
+    probes = slim.select(key, "id", (F.col("ts") + span).alias("at"))
+    after = earliest_at_or_after(slim, probes, [key], chunk_seconds).filter("hit IS NOT NULL")
+    jumps = cut_lineage(
+        probes.join(after, [key, "at"]).select(F.col("id").alias("here"), F.col("hit.id").alias("to"))
+    )
+    starts = slim.groupBy(key).agg(F.min(F.struct("ts", "id")).alias("hit"))
+    reached = cut_lineage(starts.select(F.col("hit.id").alias("here")))
+    while True:
+        ahead = reached.join(jumps, "here").select(F.col("to").alias("here")).distinct()
+        new = cut_lineage(ahead.join(reached, "here", "left_anti"))
+        if new.isEmpty():
+            break
+        reached = cut_lineage(reached.unionAll(new))
+        further = jumps.select(F.col("here").alias("to"), F.col("to").alias("beyond"))
+        jumps = cut_lineage(jumps.join(further, "to").select("here", F.col("beyond").alias("to")))
+    firsts = reached.select(F.col("here").alias("id"), F.lit(True).alias("_first"))
+    return items.join(firsts, "id", "left").select(
+        *[F.col(c) for c in items.columns], F.coalesce("_first", F.lit(False)).alias("is_first")
+    )

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gleaner import schemas
 from gleaner.functions import text
 from gleaner.operators import dedup, items as item_ops, verdicts
 from gleaner.rules import RuleSet
@@ -47,7 +48,7 @@ def process(
 ) -> FlowResult:
     """Process items (id, ts and the feed columns) against earlier ones."""
     facts = cut_lineage(analyse(feed, sources, rules, now, token_hash))
-    return resolve(facts, authors, rules, index, classifier_on, zone)
+    return resolve(facts, authors, rules, index, classifier_on, zone, now)
 
 
 def resolve(
@@ -57,9 +58,13 @@ def resolve(
     index: DataFrame | None = None,
     classifier_on: bool = True,
     zone: str = "UTC",
+    now: Column | None = None,
 ) -> FlowResult:
     """Duplicates, matches and work of analysed items; ``facts`` is a stored table.
 
+    ``now`` is the moment of the decision, which quiet hours go by; without it an item counts as
+    decided at its own time.
+
     ``index`` has id, ts, text_hash and simhash of the items before.  Duplicates are looked up
     over both; every item is a possible original, rejected or not.
     """
@@ -104,6 +109,7 @@ def resolve(
             }
         ),
         zone=zone,
+        at="ts" if now is None else now,
     )
     raw = dedup.mark_duplicates(facts, found).select(
         "id",
@@ -127,14 +133,33 @@ def resolve(
     )
     return FlowResult(
         raw_items=raw,
-        matches=routed.drop("text", "source", "title", "rule_hint").withColumn(
-            "created_at", F.col("ts")
-        ),
+        matches=stored_matches(routed),
         work=verdicts.work_list(decided),
         duplicates=found,
     )
 
 
+def stored_matches(routed: DataFrame) -> DataFrame:
+    """Routed items with the columns of ``schemas.MATCHES``, plus ``mode``, ``queue`` and ``ts``.
+
+    What only later steps know (verdicts, deliveries, duplicate counts, favourites) is empty.
+    """
+    later = {
+        "llm_verdict": F.lit(None).cast(schemas.VERDICT),
+        "llm_summary_ru": F.lit(None).cast("string"),
+        "llm_prob": F.lit(None).cast("double"),
+        "model_version": F.lit(None).cast("string"),
+        "duplicate_count": F.lit(0),
+        "duplicate_of": F.lit(None).cast("bigint"),
+        "notified_at": F.lit(None).cast("timestamp"),
+        "notification_msg_id": F.lit(None).cast("bigint"),
+        "is_favorite": F.lit(False),
+    }
+    return routed.drop("text", "source", "title", "rule_hint").withColumns(
+        later | {"created_at": F.col("ts")}
+    )
+
+
 def add_author_points(scored: DataFrame, authors: DataFrame, rules: RuleSet) -> DataFrame:
     """Add the author bonus to score and signals of scored items."""
     bonus = item_ops.with_author_bonus(scored.drop("author_bonus"), authors, rules)

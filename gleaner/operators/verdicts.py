@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.functions import decisions
+from gleaner.rules import RuleSet
 
 Classifier = Callable[[DataFrame], DataFrame]
 
@@ -69,13 +70,17 @@ def apply_verdicts(decided: DataFrame, verdicts: DataFrame) -> DataFrame:
     ).withColumnsRenamed({"verdict": "llm_verdict"}).drop("outcome")
 
 
-def route_items(final: DataFrame, at: str = "ts", zone: str = "UTC") -> DataFrame:
-    """Add status and queue; items that wait for a verdict keep status awaiting_llm."""
+def route_items(final: DataFrame, at: str | Column = "ts", zone: str = "UTC") -> DataFrame:
+    """Add status and queue; items that wait for a verdict keep status awaiting_llm.
+
+    ``at`` is the moment of the decision: a column of the items, or one moment for all.
+    """
+    moment = F.col(at) if isinstance(at, str) else at
     status = F.when(F.col("llm_status") == "pending", "awaiting_llm").otherwise(
         decisions.route_status(
             F.col("score"),
             F.col("will_notify"),
-            decisions.in_quiet_hours(F.col(at), zone=zone),
+            decisions.in_quiet_hours(moment, zone=zone),
         )
     )
     return final.withColumn("status", status).withColumn(
@@ -83,6 +88,30 @@ def route_items(final: DataFrame, at: str = "ts", zone: str = "UTC") -> DataFram
     )
 
 
+def judge_stored(
+    matches: DataFrame,
+    verdicts: DataFrame,
+    now: Column,
+    rules: RuleSet,
+    zone: str = "UTC",
+) -> DataFrame:
+    """Stored matches (with ``mode``) after verdict rows have come in.
+
+    Rows that wait and have a verdict now get their final state, and route at the moment ``now``; all others stay as they are.  ``verdicts`` is as ``parse_responses`` gives it.
+    """
+    waiting = (F.col("llm_status") == "pending") & F.col("mode").isNotNull()
+    names = [c for c in matches.columns if c not in ("queue", "will_notify", "rules_notify")]
+    open_rows = matches.filter(F.coalesce(waiting, F.lit(False)))
+    answered = open_rows.join(verdicts.select("id"), "id", "left_semi")
+    state = ["decided_by", "llm_status", "llm_verdict", "llm_summary_ru", "llm_prob"]
+    decided = answered.drop(*state, "status", "queue", "will_notify").withColumn(
+        "rules_notify", F.col("score") >= rules.notify_threshold
+    )
+    judged = route_items(apply_verdicts(decided, verdicts), now, zone)
+    untouched = matches.join(answered.select("id"), "id", "left_anti")
+    return untouched.select(*names).unionByName(judged.select(*names))
+
+
 def classify(decided: DataFrame, classifier: Classifier) -> DataFrame:
     """Run a batch classifier over the work list and apply what it returns.
 

@@ -10,10 +10,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner import fixed_values as fixed
-from gleaner.functions.text import extract_tag
+from gleaner.functions.text import extract_tag, headline
 from gleaner.rules import RuleSet, rule_set
+from gleaner.session import SMALL_TABLE_BYTES
 
 START = "2024-01-01 00:00:00"
+SPREAD = 16
 HELP_WORDS = r"\bthan the\b|\bis there\b|\bfrom\b"
 
 # A dictionary of words that the test documents hold.
@@ -51,14 +53,14 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def texts(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A table with long texts, spread over all cores if its files are too few for them.
+    """A table with long texts; one below ``SMALL_TABLE_BYTES`` is spread over more tasks first.
 
-    A table of more partitions than cores is read as it is; only one of a few small files is
-    shuffled first, because text work on it would otherwise run in one task.
+    Such a table is a file or two, and text work on it would run in as many tasks.  Larger tables
+    are read as they are, however many cores there are.
     """
     df = table(spark, folder, name)
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(SPREAD) if size <= SMALL_TABLE_BYTES else df
 
 
 def minutes_after_start(minutes: Column) -> Column:
@@ -124,7 +126,7 @@ def matches(spark: SparkSession, folder: str) -> DataFrame:
         F.when(n % 5 == 0, "browse").otherwise("main").alias("circuit"),
         (F.col("n_chars") % 30).cast("int").alias("score"),
         F.element_at(F.array(*map(F.lit, intents)), (n % 5 + 1).cast("int")).alias("intent_tag"),
-        F.substring("text", 1, 60).alias("headline"),
+        headline(F.element_at(F.split("text", "\n"), 1)).alias("headline"),
         F.when(n % 3 == 0, F.concat(F.lit("s "), F.col("lang"))).alias(
             "llm_summary_ru"
         ),

@@ -259,7 +259,7 @@ matches AS (
     CASE WHEN doc_id % 5 = 0 THEN 'browse' ELSE 'main' END AS circuit,
     n_chars % 30 AS score,
     ['hiring_intent', 'pain_point', 'both', 'help_request', 'unknown'][doc_id % 5 + 1] AS intent_tag,
-    left(text, 60) AS headline,
+    left(trim(string_split(text, chr(10))[1], {WS}), 90) AS headline,
     CASE WHEN doc_id % 3 = 0 THEN 's ' || lang END AS llm_summary_ru,
     CASE WHEN doc_id % 4 = 0 THEN (doc_id % 100) || ' usd' END AS compensation,
     CASE WHEN doc_id % 6 = 0 THEN 'rules_only' ELSE 'rules' END AS decided_by,
@@ -525,8 +525,14 @@ ORACLE["sources_listing"] = f"""WITH {SOURCES} SELECT category, name, priority,
   concat_ws(', ', CASE WHEN NOT enabled THEN 'off' END, CASE WHEN muted_until > {_NOW} THEN 'muted' END) AS flags FROM sources"""
 ORACLE["stale_filter"] = f"""WITH {ITEMS} SELECT id FROM items
 WHERE id % 9 IN (4, 5) OR ts >= TIMESTAMP '2024-01-01 12:00:00' - INTERVAL 360 MINUTE"""
-ORACLE["first_seen"] = f"""SELECT 'item' || user_id AS item_id, strftime(ts, {MICROS}) AS ts, event_id AS id,
-  coalesce(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < events.ts - INTERVAL 1 DAY, true) AS is_first FROM events"""
+ORACLE["first_seen"] = f"""WITH RECURSIVE firsts AS (
+  SELECT user_id, min(ts) AS ts FROM events GROUP BY user_id
+  UNION ALL
+  SELECT f.user_id, (SELECT min(e.ts) FROM events e WHERE e.user_id = f.user_id AND e.ts > f.ts + INTERVAL 1 DAY)
+  FROM firsts f WHERE EXISTS (SELECT 1 FROM events e WHERE e.user_id = f.user_id AND e.ts > f.ts + INTERVAL 1 DAY)
+), ids AS (SELECT e.user_id, e.ts, min(event_id) AS event_id FROM events e JOIN firsts USING (user_id, ts) GROUP BY ALL)
+SELECT 'item' || e.user_id AS item_id, strftime(e.ts, {MICROS}) AS ts, e.event_id AS id, i.event_id IS NOT NULL AS is_first
+FROM events e LEFT JOIN ids i ON i.user_id = e.user_id AND i.event_id = e.event_id"""
 ORACLE["cycle_counts"] = f"""WITH {ITEMS}, marked AS (
   SELECT id, ts < TIMESTAMP '2024-01-01 06:00:00' AS stale FROM items)
 SELECT count(*) AS entries, count(*) FILTER (NOT stale AND id % 6 <> 5) AS published, count(*) FILTER (stale) AS skipped_old FROM marked"""
@@ -607,7 +613,11 @@ ORACLE["digest_top"] = f"""{STORED} SELECT m.id, m.score, r.source, left(coalesc
 FROM matches m JOIN raw_items r ON r.id = m.raw_item_id WHERE m.status = 'digest_pending' ORDER BY m.created_at, m.id LIMIT 30"""
 ORACLE["card_view"] = f"""{STORED} SELECT m.id, m.headline, m.score, {_choice('m.intent_tag', fixed.INTENT_LABELS)} AS intent_label,
   r.source, r.author_handle, strftime(r.posted_at, '%d.%m %H:%M') AS posted_local,
-  coalesce(m.llm_summary_ru, left(r.text, 500)) AS body, m.llm_summary_ru IS NULL AS is_original, m.compensation AS budget,
+  coalesce(m.llm_summary_ru, left(r.text, 500)) AS body, m.llm_summary_ru IS NULL AS is_original,
+  CASE WHEN m.id % 5 = 2 THEN 'about ' || m.id ELSE m.compensation END AS budget,
+  CASE WHEN m.id % 4 = 1 THEN 'need ' || m.id END AS need,
+  CASE m.id % 3 WHEN 1 THEN 'late' WHEN 2 THEN 'late, cheap' END AS flags,
+  nullif(array_to_string(['spark', 'python', 'etl', 'sql', 'dbt', 'kafka', 'flink', 'hive', 'trino'][1:least(m.id % 10, {fixed.CARD_STACK_TERMS})], ' · '), '') AS stack,
   nullif(m.duplicate_count, 0) AS more_like_this, CASE WHEN m.decided_by = 'rules_only' THEN m.llm_status END AS rules_only_note
 FROM matches m JOIN raw_items r ON r.id = m.raw_item_id"""
 ORACLE["retention"] = f"""{STORED} SELECT id, reject_rule FROM raw_items

@@ -373,9 +373,16 @@ def _responses(spark, folder):
     lead_type = F.when(n % 3 == 0, "hiring_intent").when(n % 3 == 1, "pain_point").otherwise("not_a_lead")
     body = F.concat(
         F.lit('{"is_lead": '),
-        F.when(n % 2 == 0, "true").otherwise("false"),
+        # Classifiers also answer with numbers for conditions and quote their numbers.
+        F.when((n % 5 == 2) & (n % 2 == 0), "1")
+        .when(n % 5 == 2, "0")
+        .when(n % 2 == 0, "true")
+        .otherwise("false"),
         F.lit(', "confidence": '),
-        F.format_string("0.%02d", (n % 100).cast("int")),
+        F.format_string(
+            "%s0.%02d%s", F.when(n % 3 == 1, '"').otherwise(""), (n % 100).cast("int"),
+            F.when(n % 3 == 1, '"').otherwise(""),
+        ),
         F.lit(', "lead_type": "'),
         lead_type,
         F.lit('", "summary_ru": "s'),
@@ -409,10 +416,12 @@ def verdict_apply(spark, folder):
         (F.col("score") >= fixed.NOTIFY_THRESHOLD).alias("rules_notify"),
     )
     # No answer yet for one language, quota used up for one source.
-    rows = verdicts.parse_responses(_responses(spark, folder)).filter("lang <> 'fr'")
+    rows = verdicts.parse_responses(_responses(spark, folder))
     rows = rows.withColumn(
         "outcome",
-        F.when(F.col("source") == "src3", "quota_exhausted").otherwise(F.col("outcome")),
+        F.when(F.col("lang") == "fr", None)
+        .when(F.col("source") == "src3", "quota_exhausted")
+        .otherwise(F.col("outcome")),
     )
     final = verdicts.route_items(verdicts.apply_verdicts(decided, rows), at="created_at")
     return final.select(
@@ -642,7 +651,7 @@ def heartbeat_gaps(spark, folder):
 def silent_circuits(spark, folder):
     beats = corpus.heartbeats(spark, folder)
     monitored = beats.select("circuit").distinct()
-    seen = beats.filter("value > 100")
+    seen = beats.withColumn("ts", F.when(F.col("value") > 100, F.col("ts")))
     return reports.silent_circuits(monitored, seen, at("2024-01-30 00:00:00"))
 
 
@@ -655,7 +664,15 @@ def digest_top(spark, folder):
 @register
 def card_view(spark, folder):
     raw, matches, _ = _tables(spark, folder)
-    return reports.cards(matches, raw).drop("stack", "flags", "need")
+    n = F.col("id")
+    names = ["spark", "python", "etl", "sql", "dbt", "kafka", "flink", "hive", "trino"]
+    verdict = F.struct(
+        F.when(n % 4 == 1, F.concat(F.lit("need "), n.cast("string"))).otherwise("").alias("need_ru"),
+        F.when(n % 5 == 2, F.concat(F.lit("about "), n.cast("string"))).otherwise("").alias("budget_hint"),
+        F.slice(F.array(F.lit("late"), F.lit("cheap")), F.lit(1), (n % 3).cast("int")).alias("red_flags_ru"),
+    )
+    stack = F.slice(F.array(*map(F.lit, names)), F.lit(1), (n % 10).cast("int"))
+    return reports.cards(matches.withColumns({"llm_verdict": verdict, "stack_matched": stack}), raw)
 
 
 @register
@@ -843,7 +860,7 @@ def seed_if_absent(spark, folder):
     """Sources of the documents inserted into the seed sources and into themselves."""
     found = corpus.sources(spark, folder).select("name", "category", "circuit", "enabled", "priority")
     half = found.filter("priority > 1").withColumn("category", F.lit("kept"))
-    return admin.insert_if_absent(half, found, ["name"])
+    return admin.insert_if_absent(half, found, ["name"], ["name"])
 
 
 def _clicks(spark, folder):

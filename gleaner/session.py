@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,8 +22,8 @@ DEFAULTS = {
 }
 
 
-# Paths of the tables cut_lineage has written, in order.
-_written: list[str] = []
+# Paths of the tables cut_lineage has written in the innermost ``scratch`` of this thread.
+_written: ContextVar[list[str] | None] = ContextVar("written", default=None)
 
 
 def build_session(app: str = "gleaner", master: str | None = None, **conf: str) -> SparkSession:
@@ -58,7 +59,8 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/gleaner-{uuid.uuid4().hex}"
-    _written.append(path)
+    if (scope := _written.get()) is not None:
+        scope.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -67,18 +69,26 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Delete at the end the tables that ``cut_lineage`` has written inside.
 
-    For long-running jobs: results must be written elsewhere before the end.
+    For long-running jobs: results must be written elsewhere before the end.  Each use has a list
+    of its own, so jobs in other threads keep their tables.
     """
-    before = len(_written)
+    own: list[str] = []
+    token = _written.set(own)
     try:
         yield
     finally:
+        _written.reset(token)
         hadoop = spark._jvm.org.apache.hadoop.fs.Path
-        while len(_written) > before:
-            path = hadoop(_written.pop())
+        for name in own:
+            path = hadoop(name)
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def path_exists(spark: SparkSession, name: str) -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+
+
 SMALL_TABLE_BYTES = 64 * 1024 * 1024
 
 

@@ -8,7 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.errors import AnalysisException
+
+from gleaner.session import path_exists
 
 
 def write_batch(df: DataFrame, table: str, batch_id: int, partitions: tuple[str, ...] = ()) -> None:
@@ -50,14 +51,15 @@ def write_usage(calls: DataFrame, table: str, batch_id: int, default_model: str)
 def read_table(
     spark: SparkSession, table: str, schema: str, before_batch: int | None = None
 ) -> DataFrame:
-    """A table written by batches; empty if there is none yet.
+    """A table written by batches, with the columns of ``schema``; empty if there is none yet.
 
+    Only a missing folder counts as an empty table: any other error is the caller's to see.
     ``before_batch`` hides the batch being written and later ones.
     """
-    try:
-        df = spark.read.parquet(table)
-    except AnalysisException:
-        return spark.createDataFrame([], f"{schema}, batch_id BIGINT")
+    columns = f"{schema}, batch_id BIGINT"
+    if not path_exists(spark, table):
+        return spark.createDataFrame([], columns)
+    df = spark.read.schema(columns).parquet(table)
     return df if before_batch is None else df.filter(F.col("batch_id") < before_batch)
 
 

@@ -77,16 +77,22 @@ def store_batch(
     now: Column | None = None,
     classifier_on: bool = True,
     token_hash: str = "blake2b",
+    zone: str = "UTC",
 ) -> None:
     """Process the items of one micro-batch, numbered by ``with_ids``, into the store.
 
     An item's time is when it was posted, but never before the latest time of earlier batches:
-    whatever came in earlier counts as earlier, and a repeated batch gets the same times.
+    whatever came in earlier counts as earlier, and a repeated batch gets the same times.  Items
+    without a time go to the table ``untimed``.  Routes follow the clock of ``zone`` at the moment
+    of the decision.
 
     The text is written once, with the outcome of the rules; that a row is a duplicate is kept
     in a narrow table of its own (see ``read_raw_items``).
     """
     spark = numbered.sparkSession
+    untimed = numbered.filter("posted_at IS NULL").withColumn("problem", F.lit("no_posted_at"))
+    sinks.write_batch(untimed, f"{store}/untimed", batch_id)
+    numbered = numbered.filter("posted_at IS NOT NULL")
     clock = sinks.read_table(spark, f"{store}/clock", "latest TIMESTAMP", batch_id)
     latest = clock.agg(F.max("latest")).first()[0]
     posted = F.col("posted_at")
@@ -100,12 +106,12 @@ def store_batch(
     analysed = flow.analyse(items, tables.sources(), rules, moment, token_hash)
     raw_table = f"{store}/raw_items"
     sinks.write_raw_items(analysed.withColumn("created_at", F.col("ts")), raw_table, batch_id)
-    facts = sinks.read_table(spark, raw_table, RAW_TABLE).filter(F.col("batch_id") == batch_id)
+    facts = spark.read.parquet(raw_table).filter(F.col("batch_id") == batch_id)
     # The index is the item table itself: slim columns of the days a look-back can reach.
     reach = F.make_dt_interval(days=F.lit(fixed.EXACT_LOOKBACK_DAYS))
     stored = sinks.read_table(spark, raw_table, RAW_TABLE, batch_id)
     index = stored.filter(F.col("ingest_date") >= F.to_date(F.lit(bounds["first"]) - reach))
-    result = flow.resolve(facts, tables.authors(), rules, index, classifier_on)
+    result = flow.resolve(facts, tables.authors(), rules, index, classifier_on, zone, moment)
     sinks.write_batch(result.duplicates, f"{store}/duplicates", batch_id)
     sinks.write_batch(result.work, f"{store}/work", batch_id)
     sinks.write_matches(result.matches, f"{store}/matches", batch_id)

@@ -10,12 +10,34 @@ def test_scratch_deletes_what_was_written_inside(spark):
     with session.scratch(spark):
         inside = session.cut_lineage(spark.range(7))
         assert inside.count() == 7
-        path = session._written[-1]
+        path = session._written.get()[-1]
         assert os.path.exists(path)
     assert not os.path.exists(path)
     assert kept.count() == 5
 
 
+def test_scratch_leaves_tables_of_other_threads(spark):
+    import threading
+
+    entered, left, counts = threading.Event(), threading.Event(), []
+
+    def other():
+        with session.scratch(spark):
+            table = session.cut_lineage(spark.range(9))
+            entered.set()
+            left.wait(60)
+            counts.append(table.count())
+
+    thread = threading.Thread(target=other)
+    with session.scratch(spark):
+        thread.start()
+        assert entered.wait(60)
+        session.cut_lineage(spark.range(3))
+    left.set()
+    thread.join()
+    assert counts == [9]
+
+
 def test_broadcast_only_below_the_bound(spark):
     table = spark.range(100).select("id", F.lit("x" * 50).alias("name"))
     big = spark.range(1000)

@@ -190,6 +190,8 @@ def test_quiet_hours_in_a_zone_and_without_wrap(spark):
         ('```json\n{"is_lead": true, "confidence": 0.7}\n```', 0.7),
         ('  ```{"confidence": 1}``` ', 1.0),
         ('json {"confidence": 1}', None),
+        ('{"is_lead": 1, "confidence": "0.9"}', 0.9),
+        ('{"is_lead": true, "confidence": "high"}', None),
         ("not json", None),
         ("[1]", None),
         ("", None),
