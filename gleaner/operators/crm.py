@@ -236,24 +236,29 @@ def visible_leads(matches: DataFrame, crm: DataFrame, lead_filter: str = "all")
     )
 
 
-def lead_rows(
-    matches: DataFrame,
-    raw_items: DataFrame,
-    crm: DataFrame,
-    lead_filter: str = "all",
-    circuit: str | None = None,
+def lead_slices(matches: DataFrame, crm: DataFrame) -> DataFrame:
+    """(slice, id): each visible lead once for every funnel slice it is in, from one join."""
+    names = [
+        F.when(condition, name) for name, condition in _funnel_filters().items() if name != "all"
+    ]
+    return visible_leads(matches, crm).select(
+        F.explode(F.array_compact(F.array(*names))).alias("slice"), F.col("match.id").alias("id")
+    )
+
+
+def slim_leads(
+    matches: DataFrame, crm: DataFrame, lead_filter: str = "all", circuit: str | None = None
 ) -> DataFrame:
+    """Lead rows without what the stored item adds: pages are cut from these first."""
     leads = visible_leads(matches, crm, lead_filter)
     if circuit is not None:
         leads = leads.filter(F.col("match.circuit") == circuit)
-    return leads.join(
-        raw_items.alias("raw"), F.col("raw.id") == F.col("match.raw_item_id")
-    ).select(
+    return leads.select(
         "match.id",
+        "match.raw_item_id",
         "match.headline",
         "match.score",
         "match.intent_tag",
-        "raw.source",
         "match.circuit",
         "match.created_at",
         contact_state().alias("contact_state"),
@@ -263,6 +268,27 @@ def lead_rows(
     )
 
 
+def with_source(page: DataFrame, raw_items: DataFrame) -> DataFrame:
+    """A page of ``slim_leads`` (200 rows at most) with the source of each lead's item."""
+    named = raw_items.select(F.col("id").alias("raw_item_id"), "source")
+    return named.join(F.broadcast(page), "raw_item_id").select(
+        "source", *[c for c in page.columns if c != "raw_item_id"]
+    )
+
+
+def lead_rows(
+    matches: DataFrame,
+    raw_items: DataFrame,
+    crm: DataFrame,
+    lead_filter: str = "all",
+    circuit: str | None = None,
+) -> DataFrame:
+    """All leads of a slice, with the source of their items."""
+    slim = slim_leads(matches, crm, lead_filter, circuit)
+    named = raw_items.select(F.col("id").alias("raw_item_id"), "source")
+    return slim.join(named, "raw_item_id").drop("raw_item_id")
+
+
 def with_total(page: DataFrame, rows: DataFrame) -> DataFrame:
     """Add the number of all rows of the slice to each row of a page."""
     return page.withColumn("total", rows.agg(F.count("*")).scalar())

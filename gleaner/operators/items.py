@@ -63,11 +63,15 @@ def is_stale(posted_at: Column, now: Column, minutes: int = fixed.MAX_ITEM_AGE_M
 
 
 def normalize_items(items: DataFrame, rules: RuleSet) -> DataFrame:
-    """Add text, text_norm and struct_features."""
+    """Add text, text_norm and struct_features.
+
+    Stored items have no title and body of their own any more, but the text made of them.
+    """
+    whole = text.raw_text(F.col("title"), F.col("body")) if "body" in items.columns else F.col("text")
     # One column per step: an expression that is used several times below would otherwise be
     # computed for each use.
     return (
-        items.withColumn("text", text.raw_text(F.col("title"), F.col("body")))
+        items.withColumn("text", whole)
         .withColumn("_plain", text.normalize_text(F.col("text")))
         .withColumns(
             {

@@ -742,6 +742,22 @@ pointed AS (SELECT s.id, s.ts, s.intent_tag, s.score
     + CASE WHEN coalesce(good_count, 0) >= 3 THEN 2 WHEN coalesce(bad_count, 0) >= 5 AND coalesce(good_count, 0) = 0 THEN -5 ELSE 0 END AS score
   FROM stored s LEFT JOIN counters c ON c.handle = s.author_handle WHERE s.reject_rule IS NULL),
 routed AS (SELECT *, CASE WHEN score < 10 THEN 'suppressed'
-  WHEN (hour(ts) >= 23 OR hour(ts) < 8) AND score < 15 THEN 'digest_pending' ELSE 'new' END AS status FROM pointed)
+  WHEN score < 15 THEN 'digest_pending' ELSE 'new' END AS status FROM pointed)
 SELECT id, score, intent_tag, status, CASE status WHEN 'digest_pending' THEN 'digest' WHEN 'new' THEN 'notify' END AS queue,
   'not_needed' AS llm_status FROM routed"""
+# The moment of the decision, 09:00 UTC, is 01:00 in the reader's zone: quiet for all items.
+_ROUTED = f"""{FLOW},{_FLOW_AUTHORS},
+pointed AS (SELECT s.*, s.score
+    + CASE WHEN coalesce(good_count, 0) >= 3 THEN 2 WHEN coalesce(bad_count, 0) >= 5 AND coalesce(good_count, 0) = 0 THEN -5 ELSE 0 END AS total
+  FROM stored s LEFT JOIN counters c ON c.handle = s.author_handle WHERE s.reject_rule IS NULL),
+routed AS (SELECT *, left(trim(title, {WS}), 90) AS headline,
+  CASE WHEN total < 10 THEN 'suppressed' WHEN total < 15 THEN 'digest_pending' ELSE 'new' END AS status FROM pointed)"""
+ORACLE["flow_cards"] = f"""{_ROUTED} SELECT id, headline, total AS score, {_choice('intent_tag', fixed.INTENT_LABELS)} AS intent_label,
+  source_name AS source, author_handle, strftime(ts, '%d.%m %H:%M') AS posted_local, left(raw, 500) AS body, true AS is_original,
+  CAST(NULL AS VARCHAR) AS need, CAST(NULL AS VARCHAR) AS flags, CAST(NULL AS BIGINT) AS more_like_this,
+  CAST(NULL AS VARCHAR) AS rules_only_note FROM routed"""
+ORACLE["flow_digest"] = f"""{_ROUTED} SELECT id, total AS score, source_name AS source, left(headline, 200) AS summary, permalink,
+  strftime(ts, {MICROS}) AS created_at, (SELECT count(*) FROM routed WHERE status = 'digest_pending') AS total
+FROM routed WHERE status = 'digest_pending' ORDER BY ts, id LIMIT 30"""
+ORACLE["flow_dry_run_stored"] = f"""{FLOW} SELECT f.id, f.dry_rule AS reject_rule, CASE WHEN f.dry_rule IS NULL THEN f.score END AS score
+FROM flagged f JOIN admitted USING (id)"""

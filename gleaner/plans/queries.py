@@ -692,9 +692,9 @@ def _crm(spark, folder):
     return cut_lineage(crm.crm_state(outcomes))
 
 
-def _lead_rows(spark, folder, lead_filter="all"):
+def _slim_leads(spark, folder):
     raw, matches, _ = _tables(spark, folder)
-    return crm.lead_rows(matches, raw, _crm(spark, folder), lead_filter)
+    return raw, crm.slim_leads(matches, _crm(spark, folder))
 
 
 @register
@@ -741,28 +741,20 @@ def earnings_by_currency(spark, folder):
 @register
 def lead_filters(spark, folder):
     """Leads of every funnel slice."""
-    raw, matches, _ = _tables(spark, folder)
-    state = _crm(spark, folder)
-    slices = [
-        crm.visible_leads(matches, state, name).select(
-            F.lit(name).alias("slice"), F.col("match.id").alias("id")
-        )
-        for name in ("not_contacted", "contacted", "postponed", "in_work", "no_deal")
-    ]
-    united = slices[0]
-    for part in slices[1:]:
-        united = united.unionByName(part)
-    return united
+    _, matches, _ = _tables(spark, folder)
+    return crm.lead_slices(matches, _crm(spark, folder))
 
 
 @register
 def lead_page(spark, folder):
-    return crm.lead_page(_lead_rows(spark, folder), limit=30, offset=30)
+    raw, slim = _slim_leads(spark, folder)
+    return crm.with_source(crm.lead_page(slim, limit=30, offset=30), raw)
 
 
 @register
 def lead_page_after(spark, folder):
-    return crm.lead_page_after(_lead_rows(spark, folder), "2024-01-01 02:00:00", 121, 20)
+    raw, slim = _slim_leads(spark, folder)
+    return crm.with_source(crm.lead_page_after(slim, "2024-01-01 02:00:00", 121, 20), raw)
 
 
 @register
@@ -778,7 +770,8 @@ def lead_detail(spark, folder):
 
 @register
 def deeplink_page(spark, folder):
-    return crm.page_with_pinned(_lead_rows(spark, folder), 3)
+    raw, slim = _slim_leads(spark, folder)
+    return crm.with_source(crm.page_with_pinned(slim, 3), raw)
 
 
 @register
@@ -913,15 +906,45 @@ def item_flow(spark, folder):
     return result.raw_items.select("id", "source", "circuit", "reject_rule", "duplicate_of")
 
 
+def _processed(spark, folder):
+    """Batch processing with the classifier off, at a moment that is night in the reader's zone."""
+    return flow.process(
+        _feed(spark, folder), corpus.sources(spark, folder), author_counters(spark, folder), RULES,
+        at(NOW), classifier_on=False, zone="America/Los_Angeles", token_hash="md5",
+    )
+
+
 @register
 def item_flow_matches(spark, folder):
     """Matches that batch processing leaves, with the classifier off: rules route them."""
-    authors = author_counters(spark, folder)
-    result = flow.process(
-        _feed(spark, folder), corpus.sources(spark, folder), authors, RULES, at(NOW),
-        classifier_on=False, token_hash="md5",
+    matches = _processed(spark, folder).matches
+    return matches.select("id", "score", "intent_tag", "status", "queue", "llm_status")
+
+
+@register
+def flow_cards(spark, folder):
+    """Cards of the matches and items that batch processing stores."""
+    result = _processed(spark, folder)
+    return reports.cards(result.matches, result.raw_items).select(
+        "id", "headline", "score", "intent_label", "source", "author_handle", "posted_local", "body",
+        "is_original", "need", "flags", "more_like_this", "rules_only_note",
     )
-    return result.matches.select("id", "score", "intent_tag", "status", "queue", "llm_status")
+
+
+@register
+def flow_digest(spark, folder):
+    """Digest of the matches and items that batch processing stores."""
+    result = _processed(spark, folder)
+    return reports.digest(cut_lineage(result.matches), result.raw_items)
+
+
+@register
+def flow_dry_run_stored(spark, folder):
+    """The stored items replayed through the rules."""
+    stored = cut_lineage(_processed(spark, folder).raw_items)
+    replayed = items.dry_run(stored, corpus.sources(spark, folder), RULES)
+    passed = F.col("reject_rule").isNull()
+    return replayed.select("id", "reject_rule", F.when(passed, F.col("score")).alias("score"))
 
 
 @register

@@ -223,3 +223,44 @@ def test_flow_keeps_rejected_items_and_matches_the_rest(spark):
     (match,) = got.matches.collect()
     assert match.raw_item_id == 1 and match.score == sum(match.signals.values())
     assert match.signals["author_reputation"] == 2 and match.status == "new" and match.queue == "notify"
+
+
+def test_first_seen_is_not_renewed(spark):
+    from gleaner.operators import admin
+
+    days = [0, 5, 8, 14, 15, 15, 16]
+    rows = [(i, "a", d * 86_400) for i, d in enumerate(days)] + [(10, "b", 7 * 86_400), (11, "b", 14 * 86_400), (12, "b", 14 * 86_400 + 1)]
+    events = spark.createDataFrame(rows, "id bigint, item_id string, s bigint").withColumn("ts", F.timestamp_seconds("s")).drop("s")
+    got = {r.id: r.is_first for r in admin.first_seen(events, days=7).collect()}
+    assert got == {0: True, 1: False, 2: True, 3: False, 4: False, 5: False, 6: True, 10: True, 11: False, 12: True}
+
+
+def test_insert_if_absent_takes_the_first(spark):
+    from gleaner.operators import admin
+
+    table = spark.createDataFrame([("a", 1, 0)], "name string, weight int, n int")
+    rows = spark.createDataFrame([("b", 9, 2), ("b", 5, 1), ("a", 7, 3), ("c", 4, 4)], "name string, weight int, n int")
+    got = sorted(tuple(r) for r in admin.insert_if_absent(table, rows, ["name"], ["n"]).collect())
+    assert got == [("a", 1, 0), ("b", 5, 1), ("c", 4, 4)]
+
+
+def test_verdicts_over_stored_matches(spark):
+    from gleaner import schemas
+    from gleaner.rules import seed_rules
+
+    matches = spark.createDataFrame(
+        [(1, 12, "both", "classify_and_translate", "pending", "awaiting_llm"), (2, 12, "both", "classify_and_translate", "pending", "awaiting_llm"),
+         (3, 15, "both", None, "not_needed", "new"), (4, 12, "both", "classify_and_translate", "pending", "awaiting_llm")],
+        "id bigint, score int, intent_tag string, mode string, llm_status string, status string",
+    ).withColumns({"decided_by": F.lit("rules"), "llm_verdict": F.lit(None).cast(schemas.VERDICT), "llm_summary_ru": F.lit(None).cast("string"), "llm_prob": F.lit(None).cast("double")})
+    answers = spark.createDataFrame([(1, '{"is_lead": 1, "confidence": "0.9", "summary_ru": "s"}'), (2, "broken")], "id bigint, response string")
+    night = F.to_timestamp(F.lit("2024-01-01 23:30:00"))
+    judged = verdicts.judge_stored(matches, verdicts.parse_responses(answers), night, seed_rules())
+    got = {r.id: (r.decided_by, r.llm_status, r.status) for r in judged.collect()}
+    assert got == {
+        1: ("llm", "done", "digest_pending"),
+        2: ("rules_only", "failed", "digest_pending"),
+        3: ("rules", "not_needed", "new"),
+        4: ("rules", "pending", "awaiting_llm"),
+    }
+    assert judged.columns == matches.columns

@@ -152,3 +152,55 @@ def test_exports(spark, tmp_path):
     assert json.loads(sinks.as_json(usage.select("match_id", "mode")).first().value) == {"match_id": 1, "mode": "translate"}
     sinks.export_json(usage.select("match_id"), str(tmp_path / "json"))
     assert spark.read.json(str(tmp_path / "json")).first().match_id == 1
+
+
+def test_items_without_a_time_are_kept_aside(spark, tmp_path):
+    columns = [c.split(" ")[0] for c in schemas.FEED_ITEMS.split(", ")]
+    rows = [
+        (f"i{n}", "source-01", "need a developer to build a python scraper", "b", True, None, "bob", "u", at)
+        for n, at in enumerate([None, dt.datetime(2024, 1, 1, 10), None])
+    ]
+    tables = ingest.Tables(
+        rules=seed_rules, sources=lambda: seed_sources(spark),
+        authors=lambda: spark.createDataFrame([], schemas.AUTHORS),
+    )
+    assert len(columns) == 9
+    store = str(tmp_path / "store")
+    for number, part in enumerate([rows[:1], rows[1:]]):  # a batch without any time, then a mixed one
+        batch = spark.createDataFrame(part, schemas.FEED_ITEMS)
+        ingest.store_batch(ingest.with_ids(batch, number), number, store, tables, classifier_on=False)
+    untimed = ingest.read_store(spark, store, "untimed")
+    assert sorted((r.item_id, r.problem) for r in untimed.collect()) == [("i0", "no_posted_at"), ("i2", "no_posted_at")]
+    assert [r.item_id for r in ingest.read_raw_items(spark, store).collect()] == ["i1"]
+
+
+def test_only_a_missing_table_is_empty(spark, tmp_path):
+    import pytest
+
+    assert sinks.read_table(spark, str(tmp_path / "none"), "id BIGINT").count() == 0
+    (tmp_path / "broken" / "batch_id=0").mkdir(parents=True)
+    (tmp_path / "broken" / "batch_id=0" / "part-0.parquet").write_text("no parquet")
+    with pytest.raises(Exception, match="parquet"):
+        sinks.read_table(spark, str(tmp_path / "broken"), "id BIGINT").count()
+
+
+def test_quiet_hours_go_by_the_moment_of_the_decision(spark):
+    feed = spark.createDataFrame(
+        [(1, "i1", "source-01", "[Hiring] need a developer to build a python scraper, budget is $500", "b", True, "hiring", "bob", "u")],
+        "id bigint, item_id string, source string, title string, body string, has_body boolean, tag string, "
+        "author_handle string, permalink string",
+    ).withColumns({c: F.to_timestamp(F.lit("2024-01-01 22:55:00")) for c in ("ts", "posted_at")})
+    authors = spark.createDataFrame([], schemas.AUTHORS)
+    rules = seed_rules()
+
+    def status(moment, zone="UTC"):
+        now = F.to_timestamp(F.lit(moment))
+        result = flow.process(feed, seed_sources(spark), authors, rules, now, classifier_on=False, zone=zone)
+        row = result.matches.withColumn("score", F.least("score", F.lit(14))).first()
+        wanted = set(c.split(" ")[0] for c in schemas.MATCHES.replace("MAP<STRING, INT>", "MAP").replace(schemas.VERDICT, "S").split(", "))
+        assert wanted <= set(result.matches.columns)
+        return row.status
+
+    by_day, by_night = status("2024-01-01 22:56:00"), status("2024-01-01 23:10:00")
+    assert by_day == status("2024-01-01 23:10:00", "America/New_York")
+    assert by_night in ("digest_pending", by_day)
