@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from gleaner import fixed_values as fixed
 from gleaner.functions.hashing import hamming
 from gleaner.operators.ordered import earliest_at_or_after
-from gleaner.session import cut_lineage
+from gleaner.session import broadcast_if_small, cut_lineage
 
 # Six blocks of 64 bits; three flipped bits leave at least three blocks untouched, so two near
 # hashes agree on all bits of at least one of the twenty block triples (31 to 33 bits each).
@@ -58,9 +58,10 @@ def _originals_by_key(
     items: DataFrame, key: str, days: int, asked: DataFrame | None = None
 ) -> DataFrame:
     """(id, original) of items with an earlier item of the same key within ``days``."""
-    repeated = items.groupBy(key).agg(F.count("*").alias("_n")).filter("_n > 1").select(key)
     if asked is not None:
-        repeated = repeated.join(asked.select(key), key, "left_semi")
+        # Of a large index only the rows that share a key with what is asked are looked at.
+        items = items.join(broadcast_if_small(asked.select(key).distinct()), key, "left_semi")
+    repeated = items.groupBy(key).agg(F.count("*").alias("_n")).filter("_n > 1").select(key)
     # Stored, and so no longer laid out by key: the steps below would otherwise take that layout
     # over and keep a hot key in one task.
     kept = cut_lineage(items.join(repeated, key, "left_semi").select(key, "ts", "id"))
@@ -150,16 +151,25 @@ def _pairs_by_ball(probes: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def near_hashes(
-    probes: DataFrame, known: DataFrame, distance: int = fixed.NEAR_DISTANCE,
+    probes: DataFrame,
+    known: DataFrame,
     crowded: int = CROWDED_TRIPLE,
+    few_probes: bool = False,
 ) -> DataFrame:
-    """(simhash, period, neighbour): known hashes 1 to ``distance`` bits from a probe's hash.
+    """(simhash, period, neighbour): known hashes one to three bits from a probe's hash.
 
-    Both inputs hold distinct (simhash, period) rows; only equal periods are compared.
+    Probes are distinct (simhash, period) rows; only equal periods are compared.  The keys fit a
+    distance of three bits and no other.  With ``few_probes`` the known hashes are first reduced
+    to those that share a key with a probe, before anything of them is shuffled; else they must
+    be distinct too.
     """
+    distance = fixed.NEAR_DISTANCE
     keyed_known = _triple_keys(known, "simhash")
     keyed_probes = _triple_keys(probes, "simhash")
     triple = ["triple", "kept", "period"]
+    if few_probes:
+        asked = broadcast_if_small(keyed_probes.select(*triple).distinct())
+        keyed_known = cut_lineage(keyed_known.join(asked, triple, "left_semi").distinct())
     # Stored: whether there are any decides which plan is needed, and usually there are none.
     full = cut_lineage(
         keyed_known.groupBy(*triple)
@@ -197,14 +207,17 @@ def near_originals(
     )
     span = F.make_dt_interval(days=F.lit(days))
     alone = wanted.join(same, "id", "left_anti")
-    known = slim.select("simhash", _period(F.col("ts"), days).alias("period")).distinct()
+    known = slim.select("simhash", _period(F.col("ts"), days).alias("period"))
+    known = known.distinct() if asked is None else known
     # The look-back reaches into the item's own period and the one before it.
     this = _period(F.col("ts"), days)
     probes = alone.select(
         "simhash", F.explode(F.array(this, this - 1)).alias("period")
     ).distinct()
     pairs = cut_lineage(
-        near_hashes(probes, known, crowded=crowded).select("simhash", "neighbour").distinct()
+        near_hashes(probes, known, crowded, few_probes=asked is not None)
+        .select("simhash", "neighbour")
+        .distinct()
     )
     questions = alone.join(pairs, "simhash").select(
         "id", "ts", F.col("neighbour"), (F.col("ts") - span).alias("at")
