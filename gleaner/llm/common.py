@@ -16,7 +16,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def bound_arrow_batches(spark: SparkSession, size: str = "16m") -> None:
+def bound_arrow_batches(spark: SparkSession, size: str = "4m") -> None:
     """Cut Arrow batches by bytes too, so that very long texts cannot fill a Python worker."""
     if not spark.conf.get(ARROW_BYTES, None):
         spark.conf.set(ARROW_BYTES, size)

@@ -32,7 +32,7 @@ DIMENSIONS = 512
 GRAM = 3
 CODES = 128
 PER_LANGUAGE = 2_000
-SLICE_CHARS = 500_000
+SLICE_CHARS = 250_000
 SCALE = 1 << 20  # document vectors become integers, so that sums do not depend on their order
 SEED = 8191
 
@@ -118,7 +118,7 @@ class Profiler:
         used[gram] = True
         local = np.cumsum(used, dtype=np.int64) - 1
         vectors = self.vectors[used].astype(np.float32)
-        block = max(1, 4_000_000 // len(vectors))
+        block = max(1, 1_000_000 // len(vectors))
         for low in range(int(owner[0]), int(owner[-1]) + 1, block):
             a, b = np.searchsorted(owner, [low, low + block])
             if a < b:

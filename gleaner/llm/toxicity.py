@@ -37,9 +37,10 @@ PER_CLASS = 2_000
 TRAINING_CHARS = 6_000
 STEPS, ROUNDS, BATCH = 960, 8, 96
 RATE = 0.004
-KEPT_WORDS = 150_000
-SLICE_CHARS = 1_000_000
-BLOCK = 1024
+ALARM_COST = 8
+KEPT_WORDS = 60_000
+SLICE_CHARS = 500_000
+BLOCK = 512
 
 words_of = re.compile(r"\w+").findall
 
@@ -287,8 +288,9 @@ class Scorer:
         return self.net.pool(np.concatenate([forward, backward], axis=2), mask)[0]
 
 
-def cut_windows(text: str | None) -> list[list[str]]:
-    words = words_of((text or "").lower())
+def cut_windows(text: str | None, known: dict[str, str]) -> list[list[str]]:
+    """Windows of a training text; ``known`` keeps one object per word for all texts."""
+    words = [known.setdefault(word, word) for word in words_of((text or "").lower())]
     return [words[s : s + WINDOW] for s in window_starts(len(words))]
 
 
@@ -302,8 +304,9 @@ def train(texts: Sequence[str], labels: Sequence[int], steps: int = STEPS, seed:
         return None
     random = np.random.default_rng(seed)
     learned, checked = split(labels)
-    check_windows, check_marks = [cut_windows(texts[i]) for i in checked], np.array([labels[i] for i in checked])
-    windows, labels = [cut_windows(texts[i]) for i in learned], [labels[i] for i in learned]
+    known: dict[str, str] = {}
+    check_windows, check_marks = [cut_windows(texts[i], known) for i in checked], np.array([labels[i] for i in checked])
+    windows, labels = [cut_windows(texts[i], known) for i in learned], [labels[i] for i in learned]
     marks = np.array(labels)
     contents = [sorted({x for window in found for x in window}) for found in windows]
     met = Counter(x for words in contents for x in words)
@@ -380,14 +383,14 @@ def best_cut(logits: np.ndarray, marks: np.ndarray) -> float:
     """The middle of the range of cuts with the least loss.
 
     A text's score is the highest of many windows, which training on single windows cannot know.
-    A share of clean texts lost counts three times as much as one of toxic texts missed, because
-    clean texts are many times as frequent.
+    A share of clean texts lost counts ``ALARM_COST`` times as much as one of toxic texts missed,
+    because clean texts are so many times as frequent.
     """
     order = np.argsort(logits, kind="stable")
     toxic = marks[order] == 1
     missed = np.concatenate([[0], np.cumsum(toxic)]) / toxic.sum()
     alarms = 1 - np.concatenate([[0], np.cumsum(~toxic)]) / (~toxic).sum()
-    best = int((missed + 3 * alarms)[1:-1].argmin()) + 1 if len(order) > 2 else 1
+    best = int((missed + ALARM_COST * alarms)[1:-1].argmin()) + 1 if len(order) > 2 else 1
     low, high = logits[order[best - 1]], logits[order[best]]
     return float(low + high) / 2
 
@@ -404,8 +407,10 @@ def grams_of(words: list[str]) -> dict[str, np.ndarray]:
     return {x: np.concatenate(found) for x, found in zip(words, zip(*parts, strict=True), strict=True)}
 
 
-def scores_of(net: Network, windows: list[list[str]]) -> np.ndarray:
-    return Scorer(net).logits([" ".join(w) for w in windows])
+def scores_of(net: Network, windows: list[list[str]], at_once: int = 4_000) -> np.ndarray:
+    scorer = Scorer(net)
+    parts = [windows[low : low + at_once] for low in range(0, len(windows), at_once)]
+    return np.concatenate([scorer.logits([" ".join(w) for w in part]) for part in parts])
 
 
 def fit(

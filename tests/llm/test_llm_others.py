@@ -88,13 +88,14 @@ def test_top_k(spark, shard_rows, block_rows):
     rows = [(i, [float(x) for x in random.standard_normal(6).astype(np.float32)]) for i in range(400)]
     rows += [(400 + i, [0.5, -0.25, 0.0, 1.0, 0.125, 0.75]) for i in range(150)]  # equal vectors
     rows += [(20, rows[20][1]), (40, rows[40][1]), (None, rows[5][1]), (560, None), (580, []), (600, [None] * 6), (620, [float("nan")] * 6), (640, [float("inf")] * 6)]
-    table = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
+    short = [(700, [1.0, 2.0]), (701, [3.0, -1.0]), (720, [0.5, 0.5])]
+    table = spark.createDataFrame(rows + short, "vec_id bigint, embedding array<float>")
     table = table.withColumns({c: F.lit("x") for c in ("row", "score", "ints", "shard", "rank")})
     from gleaner.session import cut_lineage
 
     vectors = cut_lineage(kdtree.quantised(table))
     found = kdtree.top_k(vectors, vectors.where("vec_id % 20 = 0"), 20, shard_rows, block_rows).collect()
-    assert sorted(map(tuple, found), key=str) == brute_top(rows)
+    assert sorted(map(tuple, found), key=str) == sorted(brute_top(rows) + brute_top(short), key=str)
     none = kdtree.quantised(table.where("false"))
     assert kdtree.top_k(none, none).count() == 0
 
