@@ -82,11 +82,14 @@ def content_groups(
     docs = docs.select(*dict.fromkeys(["doc_id", "text", *keep]))
     bounds = splitters(docs, ranges)
     rows = keyed(docs).withColumn("range", count_up_to(F.col("key"), bounds).cast("int"))
+    norm = normalised(F.col("text"))
+    if "text" not in keep:  # then only the normalised text travels, else only the original
+        rows, norm = rows.withColumn("norm", norm).drop("text"), F.col("norm")
     in_order = Window.partitionBy("range").orderBy("key")
     so_far = in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     compared = (
         rows.repartitionById(len(bounds) + 1, F.col("range"))
-        .withColumn("norm", normalised(F.col("text")))
+        .withColumn("norm", norm)
         .withColumns(
             {
                 "row": F.row_number().over(in_order),
