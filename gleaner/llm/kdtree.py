@@ -7,8 +7,7 @@ until no box can reach the k-th best score.  That score starts from a first roun
 block searches one shard completely, and only rises.
 
 Vectors that are null or hold a null or a non-finite component take no part, nor do queries like
-that.  All vectors must have one length; others than the most frequent length are refused with an
-error.  Repeated rows are candidates of their own, also to each other; ties go to the smaller
+that.  Only vectors of one length are compared with each other.  Repeated rows are candidates of their own, also to each other; ties go to the smaller
 identifier (null last).  An empty table gives an empty result.  Extra columns are ignored.
 """
 
@@ -127,15 +126,13 @@ def top_k(
     rows = vectors.count()
     shards = max(1, -(-rows // shard_rows))
     blocks = max(1, -(-queries.count() // block_rows))
-    lengths = vectors.select(F.size("ints").alias("n")).distinct().limit(2).collect()
-    if len(lengths) > 1:
-        raise ValueError("vectors must have one length")
     shard = F.pmod(F.xxhash64("row"), F.lit(shards)).cast("int")
     block = F.pmod(F.xxhash64("row", F.lit("query")), F.lit(blocks)).cast("int")
     # A missing identifier comes after all others.
     number = F.coalesce(F.col("vec_id").cast("bigint"), F.lit(2**63 - 1))
-    candidates = vectors.select(shard.alias("shard"), "row", number.alias("id"), "ints")
-    asked = cut_lineage(queries.select(block.alias("block"), "row", number.alias("id"), "ints"))
+    length = F.size("ints").alias("length")
+    candidates = vectors.select(length, shard.alias("shard"), "row", number.alias("id"), "ints")
+    asked = cut_lineage(queries.select(length, block.alias("block"), "row", number.alias("id"), "ints"))
 
     def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         found: dict[str, list] = {"query_row": [], "query_id": [], "row": [], "id": [], "score": []}
@@ -156,7 +153,8 @@ def top_k(
     schema = "query_row bigint, query_id bigint, row bigint, id bigint, score bigint"
 
     def meet(places: DataFrame) -> DataFrame:
-        return candidates.groupBy("shard").cogroup(places.groupBy("shard")).applyInPandas(run, schema)
+        left, right = candidates.groupBy("length", "shard"), places.groupBy("length", "shard")
+        return left.cogroup(right).applyInPandas(run, schema)
 
     nothing = F.lit(float("-inf"))
     home = asked.withColumn("shard", F.pmod(F.col("block"), F.lit(shards)).cast("int"))

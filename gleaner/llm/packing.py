@@ -29,6 +29,7 @@ from gleaner.session import cut_lineage
 MAX_TOKENS = 1024
 END_ID = 0
 ROWS_PER_BUCKET = 20_000
+LEAST_BUCKETS = 64  # also a small table's most frequent length is ranked in several tasks
 
 
 # Fixed value: how the byte-level vocabulary cuts words.
@@ -141,7 +142,7 @@ def pack(
         raise ValueError(f"columns have names of new columns: {sorted(taken)}")
     stored = cut_lineage(pieces.withColumn("_piece", F.monotonically_increasing_id()))
     rows = stored.count()
-    buckets = max(1, -(-rows // rows_per_bucket))
+    buckets = max(LEAST_BUCKETS, -(-rows // rows_per_bucket))
     bucket: Column = F.pmod(F.xxhash64("_piece"), F.lit(buckets)).cast("int")
     numbered = stored.withColumn("_bucket", bucket)
     counts = numbered.groupBy(F.col(length).alias("_length"), F.col("_bucket").alias("_b")).count()
