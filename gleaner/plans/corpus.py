@@ -41,6 +41,23 @@ KEYWORD_ROWS = [
 ]
 
 
+# What the test documents lack, by remainder of the document number: (modulus, remainder, text).
+TITLE_LABELS = [(40, 0, "[Hiring] "), (40, 13, "[Task] "), (40, 27, "[For Hire] ")]
+TITLE_ENDS = [(19, 6, " or not?")]
+BODY_ENDS = [
+    (11, 3, "\nDeliverables: reports\n- one\n- two\n3. three"),
+    (13, 4, "\nWe pay $500 for it"),
+    (17, 5, "\nmore at https://example.test/x"),
+    (23, 7, "\na budget of some kind"),
+]
+MINUTES_BETWEEN_ITEMS = 97
+
+
+def added(number: Column, table: list[tuple[int, int, str]]) -> Column:
+    parts = [F.when(number % m == r, text).otherwise("") for m, r, text in table]
+    return F.concat(*parts)
+
+
 def corpus_rules(**limits) -> RuleSet:
     return rule_set(KEYWORD_ROWS, fixed.RULE_WEIGHTS.items(), help_pattern=HELP_WORDS, **limits)
 
@@ -70,27 +87,33 @@ def minutes_after_start(minutes: Column) -> Column:
 
 
 def feed_items(spark: SparkSession, folder: str) -> DataFrame:
-    """documents as feed items: first line = title, rest = body; every 40th is tagged."""
+    """documents as feed items: first line = title, rest = body, with the additions above."""
     docs = texts(spark, folder, "documents")
     cut = F.instr("text", "\n")
-    label = F.when(F.col("doc_id") % 40 == 0, "[Hiring] ").otherwise("")
+    n = F.col("doc_id")
     title = F.concat(
-        label, F.when(cut > 0, F.substring(F.col("text"), F.lit(1), cut - 1)).otherwise(F.col("text"))
+        added(n, TITLE_LABELS),
+        F.when(cut > 0, F.substring(F.col("text"), F.lit(1), cut - 1)).otherwise(F.col("text")),
+        added(n, TITLE_ENDS),
+    )
+    body = F.concat(
+        F.when(cut > 0, F.substring(F.col("text"), cut + 1, F.length("text"))).otherwise(""),
+        added(n, BODY_ENDS),
     )
-    body = F.when(cut > 0, F.substring(F.col("text"), cut + 1, F.length("text"))).otherwise("")
+    moment = minutes_after_start(n * MINUTES_BETWEEN_ITEMS)
     return docs.select(
         F.col("doc_id").alias("id"),
         F.col("doc_id").cast("string").alias("item_id"),
         "source",
         title.alias("title"),
         body.alias("body"),
-        (cut > 0).alias("has_body"),
+        ((cut > 0) | (added(n, BODY_ENDS) != "")).alias("has_body"),
         extract_tag(title).alias("tag"),
         F.concat(F.lit("user"), (F.col("doc_id") % 50).cast("string")).alias("author_handle"),
         F.concat(F.lit("https://example.test/"), F.col("doc_id").cast("string")).alias("permalink"),
-        minutes_after_start(F.col("doc_id")).alias("posted_at"),
-        minutes_after_start(F.col("doc_id")).alias("created_at"),
-        minutes_after_start(F.col("doc_id")).alias("ts"),
+        moment.alias("posted_at"),
+        moment.alias("created_at"),
+        moment.alias("ts"),
     )
 
 

@@ -51,19 +51,23 @@ def minutes(expression: str) -> str:
     return f"({T0} + to_minutes(CAST({expression} AS BIGINT)))"
 
 
+def _added(table) -> str:
+    return " || ".join(f"CASE WHEN doc_id % {m} = {r} THEN {_quoted(t)} ELSE '' END" for m, r, t in table)
+
+
 # --- shared relations ----------------------------------------------------------------------
 
 ITEMS = f"""
 cut AS (SELECT *, strpos(text, chr(10)) AS nl FROM documents),
 items AS (
   SELECT doc_id AS id, CAST(doc_id AS VARCHAR) AS item_id, source,
-    CASE WHEN doc_id % 40 = 0 THEN '[Hiring] ' ELSE '' END
-      || CASE WHEN nl > 0 THEN left(text, nl - 1) ELSE text END AS title,
-    CASE WHEN nl > 0 THEN substr(text, nl + 1) ELSE '' END AS body,
-    nl > 0 AS has_body,
+    {_added(corpus.TITLE_LABELS)}
+      || CASE WHEN nl > 0 THEN left(text, nl - 1) ELSE text END || {_added(corpus.TITLE_ENDS)} AS title,
+    CASE WHEN nl > 0 THEN substr(text, nl + 1) ELSE '' END || {_added(corpus.BODY_ENDS)} AS body,
+    nl > 0 OR {_added(corpus.BODY_ENDS)} <> '' AS has_body,
     'user' || (doc_id % 50) AS author_handle,
     'https://example.test/' || doc_id AS permalink,
-    {minutes('doc_id')} AS ts
+    {minutes(f'doc_id * {corpus.MINUTES_BETWEEN_ITEMS}')} AS ts
   FROM cut),
 tagged AS (
   SELECT *, CASE WHEN regexp_matches(title, '^\\s*[\\[(]\\s*([A-Za-z /]{{2,20}})\\s*[\\])]')

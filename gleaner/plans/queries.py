@@ -565,7 +565,8 @@ def atom_entries(spark, folder):
         F.array_join(F.collect_list(entry), "\n"),
         F.lit("</feed>"),
     )
-    feed.groupBy(page).agg(document.alias("value")).write.partitionBy("page").text(path)
+    pages = feed.groupBy(page).agg(document.alias("value")).select("value")
+    pages.write.option("maxRecordsPerFile", 1).text(path)
     return atom.read_atom(spark, path).select(
         "item_id", "source", F.md5("title").alias("title"), F.md5("body").alias("body"), "has_body",
         "tag", "author_handle", "permalink", "posted_at",
