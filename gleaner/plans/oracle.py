@@ -765,3 +765,19 @@ ORACLE["flow_digest"] = f"""{_ROUTED} SELECT id, total AS score, source_name AS
 FROM routed WHERE status = 'digest_pending' ORDER BY ts, id LIMIT 30"""
 ORACLE["flow_dry_run_stored"] = f"""{FLOW} SELECT f.id, f.dry_rule AS reject_rule, CASE WHEN f.dry_rule IS NULL THEN f.score END AS score
 FROM flagged f JOIN admitted USING (id)"""
+
+# --- rule tables, exports and running counts ------------------------------------------------
+
+ORACLE["loaded_rules_summary"] = ORACLE["dry_run_summary"]
+ORACLE["usage_rows"] = f"""{STORED} SELECT e.user_id AS match_id,
+  CASE WHEN event_id % 3 = 0 THEN 'translate' ELSE 'classify_and_translate' END AS mode,
+  CASE WHEN event_id % 5 = 4 THEN 'main' ELSE u.circuit END AS circuit,
+  CASE WHEN event_id % 4 = 1 THEN 'model-b' ELSE 'model-a' END AS model, u.outcome,
+  event_id * 3 AS prompt_tokens, event_id % 100 AS output_tokens, CAST(trunc(value) AS BIGINT) AS latency_ms,
+  CASE WHEN u.outcome = 'error' THEN 'broken' END AS error, strftime(u.created_at, {MICROS}) AS created_at
+FROM usage_log u JOIN events e ON e.event_id = u.id"""
+ORACLE["json_export"] = f"""{STORED} SELECT '{{"id":' || id || ',"source":' || to_json(source) || ',"author_handle":' || to_json(author_handle)
+  || CASE WHEN reject_rule IS NULL THEN '' ELSE ',"reject_rule":' || to_json(reject_rule) END || '}}' AS value FROM raw_items"""
+ORACLE["call_minutes_stream"] = f"""SELECT CASE WHEN user_id % 2 = 0 THEN 'main' ELSE 'browse' END AS circuit,
+  strftime(date_trunc('minute', ts), {MICROS}) AS minute, count(*) AS calls FROM events GROUP BY ALL"""
+ORACLE["last_beats_stream"] = f"""SELECT 'c' || user_id AS circuit, strftime(max(ts), {MICROS}) AS ts FROM events GROUP BY 1"""

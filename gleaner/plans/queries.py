@@ -16,7 +16,7 @@ from gleaner.functions import decisions, gates, hashing, scoring, text
 from gleaner.operators import admin, crm, dedup, flow, items, quota, reports, verdicts
 from gleaner.plans import corpus
 from gleaner.session import cut_lineage, shared_folder
-from gleaner.sources import atom, messages
+from gleaner.sources import atom, messages, sinks
 from gleaner.streaming import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -982,3 +982,83 @@ def item_stream(spark, folder):
         F.col("item_id").cast("bigint").alias("id"), "source", "circuit", "reject_rule",
         F.col("original").cast("bigint").alias("duplicate_of"),
     )
+
+
+# --- rule tables, exports and running counts ------------------------------------------------
+
+
+@register
+def loaded_rules_summary(spark, folder):
+    """The dry run under rules that come from keyword and weight tables."""
+    rows = [(kind, term, weight, target, True) for kind, term, weight, target in corpus.KEYWORD_ROWS]
+    off = ("stack_core", "the", 9, None, False)
+    keywords = spark.createDataFrame([*rows, off], schemas.KEYWORDS)
+    weights = spark.createDataFrame(list(fixed.RULE_WEIGHTS.items()), schemas.RULE_WEIGHTS)
+    rules = rule_tables.load_rules(keywords, weights, help_pattern=corpus.HELP_WORDS)
+    replayed = items.dry_run(_feed(spark, folder), corpus.sources(spark, folder), rules)
+    return items.dry_run_summary(replayed, rules)
+
+
+@register
+def usage_rows(spark, folder):
+    """Usage-log rows of the calls, with the default model where none is named."""
+    n = F.col("id")
+    calls = corpus.usage_log(spark, folder).withColumns(
+        {
+            "mode": F.when(n % 3 == 0, decisions.TRANSLATE).otherwise(decisions.CLASSIFY),
+            "circuit": F.when(n % 5 != 4, F.col("circuit")),
+            "model": F.when(n % 4 == 1, "model-b"),
+            "prompt_tokens": n * 3,
+            "output_tokens": n % 100,
+            "error": F.when(F.col("outcome") == "error", "broken"),
+        }
+    )
+    return sinks.usage_rows(calls, "model-a")
+
+
+@register
+def json_export(spark, folder):
+    raw, _, _ = _tables(spark, folder)
+    return sinks.as_json(raw.select("id", "source", "author_handle", "reject_rule"))
+
+
+def _streamed(spark, folder, name, job):
+    """What a stream over a test table has counted after it has read all of it."""
+    run = f"{shared_folder(spark)}/counts-{uuid.uuid4().hex}"
+    schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
+    # A glob, since a stream reads folders or patterns and the table may be one file.
+    source = spark.readStream.schema(schema).parquet(f"{folder}/{name}.parquet*")
+
+    def store(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{run}/table")
+
+    query = (
+        job(source).writeStream.foreachBatch(store).outputMode("complete")
+        .option("checkpointLocation", f"{run}/checkpoint").trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+    return spark.read.parquet(f"{run}/table")
+
+
+def _event_stream(source):
+    n = F.col("user_id")
+    return source.select(
+        F.col("ts").cast("timestamp").alias("ts"),
+        F.when(n % 2 == 0, "main").otherwise("browse").alias("side"),
+        F.concat(F.lit("c"), n.cast("string")).alias("circuit"),
+    )
+
+
+@register
+def call_minutes_stream(spark, folder):
+    """Calls per circuit and minute, counted by a stream."""
+    def job(source):
+        return ingest.call_windows(_event_stream(source).select("ts", F.col("side").alias("circuit")))
+
+    return _streamed(spark, folder, "events", job)
+
+
+@register
+def last_beats_stream(spark, folder):
+    """The last heartbeat of each circuit, kept by a stream."""
+    return _streamed(spark, folder, "events", lambda s: ingest.last_beats(_event_stream(s)))
