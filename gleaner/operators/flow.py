@@ -76,17 +76,14 @@ def resolve(
             index.select("id", "ts", "text_hash", "simhash").unionByName(keys), asked=keys
         )
     found = broadcast_if_small(found)
-    # The rule is part of the stored facts, so it is applied in the scan, before any join.
-    passed = facts.filter("reject_rule IS NULL").join(found, "id", "left_anti")
-    scored = add_author_points(passed, authors, rules)
-    decided = item_ops.decide_items(scored, rules, classifier_on).select(
+    # The rule is part of the stored facts, so it is applied in the scan, before any join.  Texts
+    # stay out of all joins but the one that hands them to the classifier.
+    slim = facts.filter("reject_rule IS NULL").select(
         "id",
-        F.col("id").alias("raw_item_id"),
         "ts",
         "circuit",
         "source",
-        "title",
-        "text",
+        "author_handle",
         "score",
         "signals",
         F.col("terms.stack").alias("stack_matched"),
@@ -94,6 +91,21 @@ def resolve(
         "compensation",
         "contact",
         text.headline(F.col("title")).alias("headline"),
+    )
+    scored = add_author_points(slim.join(found, "id", "left_anti"), authors, rules)
+    decided = item_ops.decide_items(scored, rules, classifier_on).select(
+        "id",
+        F.col("id").alias("raw_item_id"),
+        "ts",
+        "circuit",
+        "source",
+        "score",
+        "signals",
+        "stack_matched",
+        "intent_tag",
+        "compensation",
+        "contact",
+        "headline",
         F.lit(rules.version).alias("rules_version"),
         "mode",
         "rule_hint",
@@ -134,11 +146,17 @@ def resolve(
     return FlowResult(
         raw_items=raw,
         matches=stored_matches(routed),
-        work=verdicts.work_list(decided),
+        work=verdicts.work_list(with_texts(decided.filter("mode IS NOT NULL"), facts)),
         duplicates=found,
     )
 
 
+def with_texts(decided: DataFrame, facts: DataFrame) -> DataFrame:
+    """Decided items with title and text; only the texts that are asked for move."""
+    asked = broadcast_if_small(decided.select("id", "source", "circuit", "mode", "rule_hint"))
+    return facts.select("id", "title", "text").join(asked, "id")
+
+
 def stored_matches(routed: DataFrame) -> DataFrame:
     """Routed items with the columns of ``schemas.MATCHES``, plus ``mode``, ``queue`` and ``ts``.
 
@@ -155,7 +173,7 @@ def stored_matches(routed: DataFrame) -> DataFrame:
         "notification_msg_id": F.lit(None).cast("bigint"),
         "is_favorite": F.lit(False),
     }
-    return routed.drop("text", "source", "title", "rule_hint").withColumns(
+    return routed.drop("source", "rule_hint").withColumns(
         later | {"created_at": F.col("ts")}
     )
 
