@@ -45,11 +45,11 @@ def sortable(number: Column) -> Column:
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``text_sha256`` of the normalised text and the sort ``key``."""
-    norm = normalised(F.col("text"))
-    rows = docs.withColumn("text_sha256", F.sha2(F.encode(norm, "UTF-8"), 256))
+    """``docs`` with ``norm``, its ``text_sha256`` and the sort ``key``, each computed once."""
+    rows = docs.withColumn("norm", normalised(F.col("text")))
+    rows = rows.withColumn("text_sha256", F.sha2(F.encode("norm", "UTF-8"), 256))
     key = F.concat(
-        F.substring(norm, 1, KEY_CHARACTERS),
+        F.substring("norm", 1, KEY_CHARACTERS),
         F.lit("\t"),
         F.col("text_sha256"),
         F.lpad((F.lit(LONGEST) - F.coalesce(F.char_length("text"), F.lit(0))).cast("string"), 11, "0"),
@@ -82,9 +82,10 @@ def content_groups(
     docs = docs.select(*dict.fromkeys(["doc_id", "text", *keep]))
     bounds = splitters(docs, ranges)
     rows = keyed(docs).withColumn("range", count_up_to(F.col("key"), bounds).cast("int"))
-    norm = normalised(F.col("text"))
-    if "text" not in keep:  # then only the normalised text travels, else only the original
-        rows, norm = rows.withColumn("norm", norm).drop("text"), F.col("norm")
+    # Only one form of the text travels.
+    rows, norm = (
+        (rows.drop("norm"), normalised(F.col("text"))) if "text" in keep else (rows.drop("text"), F.col("norm"))
+    )
     in_order = Window.partitionBy("range").orderBy("key")
     so_far = in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     compared = (
