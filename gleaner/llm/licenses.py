@@ -1,6 +1,7 @@
 """License scan by sentence rules.
 
-A text is cut into sentences at ``.``, ``!``, ``?`` or ``;`` before white space and at line ends;
+A text is cut into sentences at ``.``, ``!``, ``?``, ``;`` or ``:`` before white space and at line
+ends;
 sentences are lowered and reduced to letters and numbers.  Known licence sentences become
 identifiers, everything between them a gap.  Then ordered rules, each a sequence of identifiers,
 are matched from left to right: at each place the first rule that fits wins and consumes its
@@ -27,7 +28,7 @@ SENTENCES = {
     "s05": "Licensed under the Apache License, Version 2.0 (the \"License\");",
     "s06": "you may not use this file except in compliance with the License.",
     "s07": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
-    "s08": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+    "s08": "This Source Code Form is subject to the terms of the Mozilla Public License, v.",
     "s09": "This is free and unencumbered software released into the public domain.",
     "s10": "Licensed under the Apache License, Version 2.0.",
     "s11": "This work is licensed under the GNU General Public License, version 3.",
@@ -55,7 +56,7 @@ RULES = [
     ("CC-BY-4.0", ["s14"]),
     ("all-rights-reserved", ["s15"]),
 ]
-SENTENCE_END = r"[.!?;]+([ \t\r\n]|\z)"
+SENTENCE_END = r"[.!?;:]+([ \t\r\n]|\z)"
 BETWEEN_WORDS = r"[^\p{L}\p{N}\n]+"
 GAP = "---"
 

@@ -217,7 +217,7 @@ def _license_oracle() -> str:
 WITH known(sentence, id) AS (VALUES {known}), named(ids, name) AS (VALUES {names}),
 l AS (
   SELECT doc_id, regexp_replace(regexp_replace(lower(coalesce(text, '')),
-    '[.!?;]+([ \\t\\r\\n]|\\z)', chr(10), 'g'), '[^\\p{{L}}\\p{{N}}\\n]+', ' ', 'g') AS t
+    '{licenses.SENTENCE_END}', chr(10), 'g'), '{licenses.BETWEEN_WORDS}', ' ', 'g') AS t
   FROM documents
 ), s AS (
   SELECT doc_id, list_filter(list_transform(string_split(t, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS found FROM l
