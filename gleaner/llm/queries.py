@@ -89,10 +89,8 @@ def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@register
-def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Licences that whole texts name or contain."""
-    return licenses.scan(table(spark, sf_dir, "documents")).select(
+def license_columns(scanned: DataFrame) -> DataFrame:
+    return scanned.select(
         "doc_id",
         "n_sentences",
         F.size("sentence_ids").cast("bigint").alias("n_known"),
@@ -102,6 +100,18 @@ def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@register
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences that whole texts name or contain, with sentences that end at line ends."""
+    return license_columns(licenses.scan(table(spark, sf_dir, "documents")))
+
+
+@register
+def op4_licenses_wrapped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences that whole texts name or contain, with sentences that may be wrapped or commented."""
+    return license_columns(licenses.scan_texts(table(spark, sf_dir, "documents")))
+
+
 @register
 def op6_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents on a ring of eight shards with bounded loads."""

@@ -457,3 +457,77 @@ def test_licenses(odd, nothing, spark):
     docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id bigint, text string")
     got = {r["doc_id"]: r["licenses"] for r in licenses.scan(docs).collect()}
     assert got == {i: names for i, (_, names) in enumerate(cases)}
+
+
+MIT = """MIT License
+
+Copyright (c) 2020 Some Name
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+"""
+BSD = """Copyright (c) 2020, Some Name
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+NEITHER = """
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+GPL3 = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+"""
+LGPL = """This library is free software; you can redistribute it and/or
+modify it under the terms of the GNU Lesser General Public
+License as published by the Free Software Foundation; either
+version 2.1 of the License, or (at your option) any later version.
+"""
+
+
+def commented(text, mark):
+    return "".join(f"{mark} {line}\n" for line in text.splitlines())
+
+
+def test_licenses_of_wrapped_texts(odd, nothing, spark):
+    cases = [
+        (MIT, ["MIT"]),
+        (MIT.replace("\n\nP", "\nP").replace("\n", "\r\n"), ["MIT"]),  # a heading without a blank line
+        (BSD, ["BSD-2-Clause"]),
+        (BSD + NEITHER, ["BSD-3-Clause"]),
+        (GPL3, ["GPL-3.0-or-later"]),
+        (GPL3.replace("software:", "software;").replace(", either version 3", "; either version 2"), ["GPL-2.0-or-later"]),
+        (GPL3.replace("General", "Affero General"), ["AGPL-3.0-or-later"]),
+        (LGPL, ["LGPL-2.1-or-later"]),
+        ("// SPDX-License-Identifier: MIT\n#include <stdio.h>\n", ["MIT"]),
+        ("/* SPDX-License-Identifier: GPL-2.0+ */\nint x;", ["GPL-2.0-or-later"]),
+        ("Plain words about MIT\nand licences", []),
+    ]
+    for mark in ("#", " *", "//", ";;", "dnl", "--"):
+        cases += [(commented(MIT, mark), ["MIT"]), (commented(BSD + NEITHER, mark), ["BSD-3-Clause"])]
+        cases += [(commented(GPL3, mark), ["GPL-3.0-or-later"])]
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id bigint, text string")
+    got = {r["doc_id"]: r["licenses"] for r in licenses.scan_texts(docs).collect()}
+    assert got == {i: names for i, (_, names) in enumerate(cases)}
+    # What line by line reading finds, is found too.
+    lines = {r["doc_id"]: r["licenses"] for r in licenses.scan(odd).collect()}
+    assert {r["doc_id"]: r["licenses"] for r in licenses.scan_texts(odd).collect()} == lines
+    assert licenses.scan_texts(nothing).count() == 0
