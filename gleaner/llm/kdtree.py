@@ -2,9 +2,10 @@
 
 Vectors are quantised to whole numbers.  They are dealt into shards of bounded size; each shard
 becomes one KD-tree of median splits with tight bounding boxes.  A block of queries meets every
-shard: for each query the boxes are visited best first, by the largest inner product a box allows,
-until no box can reach the k-th best score.  That score starts from a first round, in which each
-block searches one shard completely, and only rises.
+shard, one block and one shard at a time: for each query the boxes are visited best first, by the
+largest inner product a box allows, until no box can reach the k-th best score.  Each block starts
+with another shard and goes on in rounds, each over ``GROWTH`` times as many shards as all before.
+After a round only the k best of each query are kept, and the k-th score goes into the next one.
 
 Vectors that are null or hold a null or a non-finite component take no part, nor do queries like
 that.  Only vectors of one length are compared with each other.  Repeated rows are candidates of their own, also to each other; ties go to the smaller
@@ -14,6 +15,7 @@ identifier (null last).  An empty table gives an empty result.  Extra columns ar
 from __future__ import annotations
 
 import heapq
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,10 +27,14 @@ from gleaner.session import cut_lineage
 
 SCALE = 64
 SHARD_ROWS = 2_048
-BLOCK_ROWS = 256
+BLOCK_ROWS = 2_048
+GROWTH = 3
 LEAF_ROWS = 64
 
 
+STATE = ("query_row", "query_id", "row", "id", "score")
+
+
 def quantised(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
     """(row, vec_id, ints): whole-number vectors of the rows that take part."""
     x = F.col("embedding")
@@ -112,6 +118,27 @@ def search(
             yield number, best_at, best
 
 
+def rounds(shards: int) -> list[tuple[int, int]]:
+    """Ranges of shard distances, each ``GROWTH`` times as long as all before it."""
+    ends = [0, 1]
+    while ends[-1] < shards:
+        ends.append(min(shards, ends[-1] * (1 + GROWTH)))
+    return list(itertools.pairwise(ends))
+
+
+def met(places: DataFrame, other: str, others: int, shards: int, low: int, high: int) -> DataFrame:
+    """Rows that have a ``shard`` or a ``block``, once for each ``other`` they meet in a round.
+
+    A block meets the shards at distances from ``low`` to below ``high`` after its own number.
+    """
+    if other == "shard":
+        numbers = F.transform(F.sequence(F.lit(low), F.lit(high - 1)), lambda d: F.pmod(F.col("block") + d, F.lit(shards)))
+    else:
+        every = F.sequence(F.lit(0), F.lit(others - 1))
+        numbers = F.filter(every, lambda b: F.pmod(F.col("shard") - b, F.lit(shards)).between(low, high - 1))
+    return places.withColumn(other, F.explode(numbers.cast("array<int>")))
+
+
 def top_k(
     vectors: DataFrame,
     queries: DataFrame,
@@ -135,37 +162,37 @@ def top_k(
     asked = cut_lineage(queries.select(length, block.alias("block"), "row", number.alias("id"), "ints"))
 
     def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        found: dict[str, list] = {"query_row": [], "query_id": [], "row": [], "id": [], "score": []}
+        found: dict[str, list] = {name: [np.zeros(0, np.int64)] for name in STATE}
         if len(left) and len(right):
             tree = Tree(np.array(left["ints"].tolist(), np.float64))
             ids, rows = left["id"].to_numpy()[tree.order], left["row"].to_numpy()[tree.order]
-            for _, part in right.groupby("block", sort=False):
-                own, own_id = part["row"].to_numpy(), part["id"].to_numpy()
-                points = np.array(part["ints"].tolist(), np.float64)
-                for query, at, scores in search(tree, ids, rows, points, own, part["floor"].to_numpy(float), k):
-                    found["query_row"] += [int(own[query])] * len(at)
-                    found["query_id"] += [int(own_id[query])] * len(at)
-                    found["row"] += rows[at].tolist()
-                    found["id"] += ids[at].tolist()
-                    found["score"] += scores.astype(np.int64).tolist()
-        return pd.DataFrame(found)
-
-    schema = "query_row bigint, query_id bigint, row bigint, id bigint, score bigint"
-
-    def meet(places: DataFrame) -> DataFrame:
-        left, right = candidates.groupBy("length", "shard"), places.groupBy("length", "shard")
-        return left.cogroup(right).applyInPandas(run, schema)
-
-    nothing = F.lit(float("-inf"))
-    home = asked.withColumn("shard", F.pmod(F.col("block"), F.lit(shards)).cast("int"))
-    first = meet(home.withColumn("floor", nothing))
-    kth = first.groupBy(F.col("query_row").alias("row")).agg(
-        F.when(F.count(F.lit(1)) >= k, F.min("score").cast("double")).alias("floor")
-    )
-    known = asked.join(kth, "row", "left").withColumn("floor", F.coalesce("floor", nothing))
-    everywhere = known.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+            own, own_id = right["row"].to_numpy(), right["id"].to_numpy()
+            points = np.array(right["ints"].tolist(), np.float64)
+            for query, at, scores in search(tree, ids, rows, points, own, right["floor"].to_numpy(float), k):
+                parts = (np.full(len(at), own[query]), np.full(len(at), own_id[query]), rows[at], ids[at], scores)
+                for name, part in zip(STATE, parts, strict=True):
+                    found[name].append(part.astype(np.int64))
+        return pd.DataFrame({name: np.concatenate(parts) for name, parts in found.items()})
+
+    schema = ", ".join(f"{name} bigint" for name in STATE)
     best = Window.partitionBy("query_row").orderBy(F.desc("score"), "id", "row")
-    ranked = meet(everywhere).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    nothing = F.lit(float("-inf"))
+    ranked = None
+    for low, high in rounds(shards):
+        known = asked.withColumn("floor", nothing)
+        if ranked is not None:
+            kth = ranked.where(F.col("rank") == k).select(
+                F.col("query_row").alias("row"), F.col("score").cast("double").alias("floor")
+            )
+            known = asked.join(kth, "row", "left").withColumn("floor", F.coalesce("floor", nothing))
+        left = met(candidates, "block", blocks, shards, low, high).groupBy("length", "shard", "block")
+        right = met(known, "shard", shards, shards, low, high).groupBy("length", "shard", "block")
+        found = left.cogroup(right).applyInPandas(run, schema)
+        if ranked is not None:
+            found = found.unionByName(ranked.select(*STATE))
+        ranked = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+        if high < shards:
+            ranked = cut_lineage(ranked)
 
     def restored(column: str):
         return F.when(F.col(column) < 2**63 - 1, F.col(column))

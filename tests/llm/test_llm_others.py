@@ -100,6 +100,19 @@ def test_top_k(spark, shard_rows, block_rows):
     assert kdtree.top_k(none, none).count() == 0
 
 
+@pytest.mark.parametrize(("shards", "blocks"), [(1, 1), (1, 5), (7, 3), (3, 8), (40, 6)])
+def test_each_block_meets_each_shard_once_and_alone(spark, shards, blocks):
+    vectors = spark.range(shards).select(F.col("id").cast("int").alias("shard"))
+    asked = spark.range(blocks).select(F.col("id").cast("int").alias("block"))
+    pairs = []
+    for low, high in kdtree.rounds(shards):
+        left = kdtree.met(vectors, "block", blocks, shards, low, high).select("shard", "block").collect()
+        right = kdtree.met(asked, "shard", shards, shards, low, high).select("shard", "block").collect()
+        assert sorted(left) == sorted(right)
+        pairs += map(tuple, left)
+    assert sorted(pairs) == [(s, b) for s in range(shards) for b in range(blocks)]
+
+
 def test_tree_visits_few_boxes_of_clustered_points():
     random = np.random.default_rng(5)
     centres = random.standard_normal((40, 8)) * 100
