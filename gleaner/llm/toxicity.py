@@ -5,19 +5,21 @@ values, dimension by dimension, of the vectors of its letter n-grams (three to s
 and backwards, attention pools their states, and a logistic unit scores the window.  A text is
 covered by overlapping windows, all are scored, and the highest score is the text's.
 
-Training (numpy, on the driver) takes at most ``per_class`` short labelled texts of each class,
-drawn by a hash; the bounds are parameters.  A toxic text only says that some window is toxic, so
+Training (numpy, on the driver) takes at most ``per_class`` short labelled texts of each class, drawn
+by a hash; a class without short texts gives pieces from the whole length of its long ones.  The
+bounds are parameters.  A toxic text only says that some window is toxic, so
 the window with the highest score stands for it, at first by word odds, then by the network itself.
 Scoring covers whole texts and runs in tasks, with the layers' input products kept per word.
 
 Null texts and texts without words have no window content and get the score of an empty window.
 Repeated rows are scored alike; equal draws are ordered by identifier.  Without labelled texts of
-both classes, copies of each other left out, every score is 0.  Extra columns are ignored; an empty table gives an empty result.
+both classes every score is 0, and ``fit`` warns if there are labels.  Extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import re
+import warnings
 from collections import Counter
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
@@ -35,6 +37,8 @@ CHAR_BUCKETS = 1 << 15
 GRAMS = (3, 4, 5, 6)
 PER_CLASS = 2_000
 TRAINING_CHARS = 6_000
+COPY_SHARE = 0.5
+PIECE_CHARS, PIECE_END = 600, "\x1d"
 STEPS, ROUNDS, BATCH = 960, 8, 96
 RATE = 0.001
 ALARM_COST = 3
@@ -290,8 +294,11 @@ class Scorer:
 
 def cut_windows(text: str | None, known: dict[str, str]) -> list[list[str]]:
     """Windows of a training text; ``known`` keeps one object per word for all texts."""
-    words = [known.setdefault(word, word) for word in words_of((text or "").lower())]
-    return [words[s : s + WINDOW] for s in window_starts(len(words))]
+    windows = []
+    for piece in (text or "").lower().split(PIECE_END):
+        words = [known.setdefault(word, word) for word in words_of(piece)]
+        windows += [words[s : s + WINDOW] for s in window_starts(len(words))]
+    return windows
 
 
 def train(texts: Sequence[str], labels: Sequence[int], steps: int = STEPS, seed: int = 11) -> Network | None:
@@ -303,10 +310,8 @@ def train(texts: Sequence[str], labels: Sequence[int], steps: int = STEPS, seed:
     if len(set(labels)) < 2:
         return None
     random = np.random.default_rng(seed)
-    distinct = distinct_texts(texts)
+    distinct = distinct_texts(texts, labels)
     texts, labels = [texts[i] for i in distinct], [labels[i] for i in distinct]
-    if len(set(labels)) < 2:
-        return None
     learned, checked = split(labels)
     known: dict[str, str] = {}
     check_windows, check_marks = [cut_windows(texts[i], known) for i in checked], np.array([labels[i] for i in checked])
@@ -370,20 +375,20 @@ def train(texts: Sequence[str], labels: Sequence[int], steps: int = STEPS, seed:
     return net
 
 
-def distinct_texts(texts: Sequence[str], size: int = 5) -> list[int]:
-    """Numbers of the texts that share less than half of their word shingles with earlier ones.
+def distinct_texts(texts: Sequence[str], labels: Sequence[int], size: int = 5) -> list[int]:
+    """Numbers of the texts that share less than ``COPY_SHARE`` of their word shingles with earlier ones of their class.
 
-    Copies would make chance words look toxic, and would stand on both sides of the check.  The
-    first text always stays, so no class can vanish unless all its texts are copies of others.
+    Copies would make chance words look toxic, and would stand on both sides of the check.  A toxic
+    copy of a clean text stays, for what was put into it; so does the first text of each class.
     """
-    seen: set[int] = set()
+    seen: dict[int, set[int]] = {label: set() for label in labels}
     kept = []
-    for number, text in enumerate(texts):
+    for number, (text, label) in enumerate(zip(texts, labels, strict=True)):
         words = words_of(text.lower())
         own = {hash(tuple(words[i : i + size])) for i in range(max(1, len(words) - size + 1))}
-        if 2 * len(own & seen) < len(own):
+        if len(own & seen[label]) < COPY_SHARE * len(own):
             kept.append(number)
-        seen |= own
+        seen[label] |= own
     return kept
 
 
@@ -443,33 +448,55 @@ def fit(
 ) -> Network | None:
     """Train on at most ``per_class`` texts of ``most_chars`` characters per class.
 
-    ``trainable`` is a condition on ``doc_id``.  Identifiers are drawn first, four times as many as
-    needed because long texts drop out; only the texts of those leave their place.
+    ``trainable`` is a condition on ``doc_id``.  Identifiers of such texts are drawn first; only the
+    texts of those leave their place.  A class that has none gives excerpts of its longer texts.
     """
     drawn = F.xxhash64("doc_id", F.lit("toxicity"))
+    texts_of = docs.select("doc_id", "text").where(F.col("text").isNotNull())
+    short = texts_of.where(F.char_length("text") <= most_chars)
     marks = (
         labels.where(trainable & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
         .groupBy("doc_id")
         .agg(F.max("toxic").cast("int").alias("toxic"))
         .withColumn("draw", drawn)
     )
-    sides = [marks.where(F.col("toxic") == c).orderBy("draw", "doc_id").limit(4 * per_class) for c in (0, 1)]
-    wanted = F.broadcast(sides[0].unionAll(sides[1]))  # 8 * per_class rows at most
-    found = (
-        docs.select("doc_id", "text")
-        .where(F.char_length("text") <= most_chars)
-        .join(wanted, "doc_id")
-        .select("toxic", "draw", "doc_id", "text")
-    )
     texts: list[str] = []
     classes: list[int] = []
     for c in (0, 1):
-        for r in found.where(F.col("toxic") == c).orderBy("draw", "doc_id", "text").limit(per_class).collect():
+        own = marks.where(F.col("toxic") == c)
+        for source in (short, texts_of):
+            ids = own.join(source, "doc_id", "left_semi").orderBy("draw", "doc_id").limit(per_class).collect()
+            if ids:
+                break
+        else:
+            continue
+        wanted = docs.sparkSession.createDataFrame(ids, marks.schema)
+        room = max(PIECE_CHARS, per_class * most_chars // len(ids))
+        found = source.join(F.broadcast(wanted), "doc_id")
+        taken = found.select("draw", "doc_id", excerpt(F.col("text"), room).alias("text"))
+        for r in taken.orderBy("draw", "doc_id", "text").limit(per_class).collect():
             texts.append(r["text"])
             classes.append(c)
+    if len(set(classes)) < 2 and marks.limit(1).count():
+        warnings.warn("labelled texts of one class or none: every score is 0", stacklevel=2)
     return train(texts, classes)
 
 
+def excerpt(text: Column, room: int) -> Column:
+    """The whole text if it fits, else pieces at even distances from its begin to its end.
+
+    Words cut at the ends of a piece are left out.
+    """
+    pieces = max(2, room // PIECE_CHARS)
+    step = (F.char_length(text) - PIECE_CHARS) / F.lit(pieces - 1)
+    parts = F.transform(
+        F.sequence(F.lit(0), F.lit(pieces - 1)),
+        lambda i: F.substr(text, F.floor(i * step).cast("int") + 1, F.lit(PIECE_CHARS)),
+    )
+    whole_words = F.transform(parts, lambda p: F.regexp_replace(p, r"^\S+\s|\s\S+$", " "))
+    return F.when(F.char_length(text) <= room, text).otherwise(F.array_join(whole_words, PIECE_END))
+
+
 def score(docs: DataFrame, net: Network | None, keep: Sequence[str] = ("doc_id",)) -> DataFrame:
     """``keep`` columns and ``score``, the highest of all windows' scores."""
     clash = {"score", "_text"} & set(keep)

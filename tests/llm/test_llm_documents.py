@@ -531,3 +531,25 @@ def test_licenses_of_wrapped_texts(odd, nothing, spark):
     lines = {r["doc_id"]: r["licenses"] for r in licenses.scan(odd).collect()}
     assert {r["doc_id"]: r["licenses"] for r in licenses.scan_texts(odd).collect()} == lines
     assert licenses.scan_texts(nothing).count() == 0
+
+
+def test_toxicity_learns_from_long_texts_and_from_copies(spark):
+    import random
+
+    chance = random.Random(4)
+    words = [f"w{i}" for i in range(3_000)]
+    plain = [" ".join(chance.choices(words, k=60)) for _ in range(60)]
+    hidden = [f"{t} you idiot scum {t}" for t in plain]  # toxic copies of clean texts
+    net = toxicity.train(plain + hidden, [0] * 60 + [1] * 60)
+    logits = toxicity.Scorer(net).logits(plain + hidden)
+    assert (logits[:60] < 0).mean() > 0.9 and (logits[60:] > 0).mean() > 0.9
+    long = [" ".join(chance.choices(words, k=2_000)) for _ in range(40)]
+    rows = [(i, t if i % 2 else t + " you idiot scum " + t[:1_000]) for i, t in enumerate(long)]
+    docs = spark.createDataFrame([*rows, (100, None)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, int(i % 2 == 0)) for i in [*range(40), 100, 101]], "doc_id bigint, toxic int")
+    assert toxicity.fit(docs, labels, F.lit(True)) is not None
+    with pytest.warns(UserWarning, match="every score is 0"):
+        assert toxicity.fit(docs.where("doc_id % 2 = 1"), labels, F.lit(True)) is None
+    whole = docs.where("doc_id < 2").select(toxicity.excerpt(F.col("text"), 3_000).alias("t")).collect()
+    assert all(len(r["t"]) <= 3_010 and r["t"].count(toxicity.PIECE_END) == 4 for r in whole)
+    assert {r["t"] for r in docs.where("doc_id < 2").select(toxicity.excerpt(F.col("text"), 10**6).alias("t")).collect()} == {t for _, t in rows[:2]}
