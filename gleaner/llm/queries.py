@@ -8,11 +8,12 @@ from public_tokenizers import path as tokenizer_path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import bagminhash, bpe, chat, contentsort, kdtree, langid, licenses, packing, ring, toxicity
+from gleaner.llm import align, bagminhash, bpe, chat, contentsort, kdtree, langid, licenses, merkle, packing, ring, toxicity
 from gleaner.llm.common import table
 from gleaner.session import cut_lineage
 
 TOKENIZER = "byte_bpe_50k.json"
+PIECES = "piece_bpe_32k.model"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
@@ -158,6 +159,81 @@ def op8_kdtree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kdtree.top_k(vectors, vectors.where(F.col("vec_id") % 20 == 0))
 
 
+@register
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of two tokenizers aligned in every whole text, with corpus counts of linked ids."""
+    definition, pieces = (bpe.load_definition(spark, tokenizer_path(name)) for name in (TOKENIZER, PIECES))
+    return align.align(table(spark, sf_dir, "documents"), definition, pieces)
+
+
+@register
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Proofs of all documents against the root; a seventh of the leaves is tampered with."""
+    changed, n_chars = merkle.tampered()
+    manifest = merkle.Manifest(table(spark, sf_dir, "documents"), changed, {"n_chars": n_chars})
+    return merkle.proofs(manifest)
+
+
+def _duck_leaf(n_chars: str) -> str:
+    parts = [n_chars if c == "n_chars" else c for c in merkle.FIELDS]
+    text = [f"CAST({part} AS VARCHAR)" for part in parts]
+    return "sha256(" + " || ".join(f"coalesce(strlen({t}) || ':' || {t}, '-')" for t in text) + ")"
+
+
+# The checksum of a short text, bit by bit: DuckDB has no function for it.
+_DUCK_CRC32 = """xor(4294967295, list_reduce(
+    list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: ascii(c)::BIGINT)),
+    lambda crc, byte: list_reduce([xor(crc, byte), 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: xor(c >> 1, 3988292384 * (c & 1)))))"""
+
+ORACLE["op13_merkle"] = f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, lang, {_duck_leaf("n_chars")} AS leaf,
+         CASE WHEN {_DUCK_CRC32} % 7 = 0 THEN {_duck_leaf("(n_chars + 1)")} END AS other
+  FROM documents
+), l AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place,
+         count(*) OVER (PARTITION BY lang) AS width
+  FROM d
+), n AS (
+  SELECT lang, 0 AS level, place, leaf AS digest, width FROM l
+  UNION ALL
+  SELECT lang, level + 1, place // 2, sha256(string_agg(digest, '' ORDER BY place)), (width + 1) // 2
+  FROM n WHERE width > 1 GROUP BY lang, level, place // 2, width
+), t AS (
+  SELECT lang, digest, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS place, count(*) OVER () AS width
+  FROM n WHERE width = 1
+), u AS (
+  SELECT 0 AS level, place, digest, width FROM t
+  UNION ALL
+  SELECT level + 1, place // 2, sha256(string_agg(digest, '' ORDER BY place)), (width + 1) // 2
+  FROM u WHERE width > 1 GROUP BY level, place // 2, width
+), w AS (
+  SELECT l.lang, l.place, k.level, coalesce(n.digest, '') AS sibling, (l.place >> k.level) & 1 AS side
+  FROM l JOIN range(64) k(level) ON (1::HUGEINT << k.level) < l.width
+  LEFT JOIN n ON n.lang IS NOT DISTINCT FROM l.lang AND n.level = k.level AND n.place = xor(l.place >> k.level, 1)
+), v AS (
+  SELECT t.lang, k.level, coalesce(u.digest, '') AS sibling, (t.place >> k.level) & 1 AS side
+  FROM t JOIN range(64) k(level) ON (1::HUGEINT << k.level) < t.width
+  LEFT JOIN u ON u.level = k.level AND u.place = xor(t.place >> k.level, 1)
+), a AS (
+  SELECT lang, place, list(side || sibling ORDER BY level) AS path FROM w GROUP BY lang, place
+), b AS (
+  SELECT lang, list(side || sibling ORDER BY level) AS path FROM v GROUP BY lang
+), p AS (
+  SELECT l.*, t.digest AS subroot, (SELECT digest FROM u WHERE width = 1) AS root,
+         list_concat(coalesce(a.path, []), coalesce(b.path, [])) AS path
+  FROM l JOIN t ON t.lang IS NOT DISTINCT FROM l.lang
+  LEFT JOIN a ON a.lang IS NOT DISTINCT FROM l.lang AND a.place = l.place
+  LEFT JOIN b ON b.lang IS NOT DISTINCT FROM l.lang
+), f AS (
+  SELECT *, sha256(array_to_string(list_transform(path, lambda x: substr(x, 2)), '')) AS proof_sha256,
+         list_reduce(list_prepend(coalesce(other, leaf), path), lambda h, x:
+           CASE WHEN x[1] = '1' THEN sha256(substr(x, 2) || h) ELSE sha256(h || substr(x, 2)) END) AS folded_root
+  FROM p
+)
+SELECT doc_id, leaf, subroot, root, proof_sha256, folded_root, folded_root = root AS verified FROM f
+"""
+
 ORACLE["op8_kdtree"] = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS z
