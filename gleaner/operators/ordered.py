@@ -17,6 +17,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gleaner.session import broadcast_if_small, cut_lineage
+
 HOUR = 3600
 
 
@@ -155,3 +157,21 @@ def latest_rows(log: DataFrame, keys: Sequence[str], order: Sequence[str]) -> Da
         .agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("_last"))
         .select(*keys, "_last.*")
     )
+
+
+def numbered(rows: DataFrame, order: Sequence[str], position: str) -> DataFrame:
+    """Stored ``rows`` with their place, from 0, in the ``order`` and the task range ``_range``.
+
+    Rows are laid out by ranges of the order; only the count of each range is summed up.
+    """
+    laid = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    index = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    stored = cut_lineage(laid.withColumns({"_range": F.spark_partition_id(), "_index": index}))
+    sizes = stored.groupBy(F.col("_range").alias("_r")).agg(F.count("*").alias("_n"))
+    before = Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
+    # One row per task of the layout.
+    starts = sizes.select("_r", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    return stored.join(broadcast_if_small(starts), F.col("_range") == F.col("_r")).select(
+        *rows.columns, "_range", (F.col("_start") + F.col("_index")).alias(position)
+    )
+

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from gleaner import fixed_values as fixed
 from gleaner.functions import decisions
 from gleaner.operators.crm import with_total
-from gleaner.operators.ordered import carry_last, time_chunk
+from gleaner.operators.ordered import carry_last, numbered, time_chunk
+from gleaner.session import broadcast_if_small
 
 
 def _ratio() -> Column:
@@ -214,6 +215,37 @@ def send_rate(
     )
 
 
+def send_times(
+    requests: DataFrame, limit: int = fixed.SENDS_PER_MINUTE, seconds: int = 60
+) -> DataFrame:
+    """(id, ts, sent_at): the earliest send time of each request (id, ts) under the cap.
+
+    Requests are sent in the order (ts, id), at most ``limit`` in any ``seconds`` seconds: the n-th
+    goes out at its own time, or ``seconds`` after the one ``limit`` places before it if that is
+    later.  With n = limit * j + r, the send time less j * ``seconds`` is a running maximum of the
+    request times less j * ``seconds`` within the lane r.  Rows are laid out in ranges of the order,
+    the maximum runs within each range, and one row per range and lane carries it over, so no task
+    holds the log.  Requests without a time are not sent.
+    """
+    queue = numbered(requests.filter("ts IS NOT NULL").select("id", "ts"), ["ts", "id"], "_n")
+    step = F.floor(F.col("_n") / limit) * (seconds * 1_000_000)
+    laned = queue.withColumns(
+        {"_lane": F.col("_n") % limit, "_shift": step, "_own": F.unix_micros("ts") - step}
+    )
+    in_range = Window.partitionBy("_range", "_lane").orderBy("_n")
+    earlier = Window.partitionBy("_l").orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
+    tops = laned.groupBy(F.col("_range").alias("_r"), F.col("_lane").alias("_l")).agg(
+        F.max("_own").alias("_top")
+    )
+    carried = tops.select("_r", "_l", F.max("_top").over(earlier).alias("_carried"))
+    local = laned.withColumn("_best", F.max("_own").over(in_range))
+    same = (F.col("_range") == F.col("_r")) & (F.col("_lane") == F.col("_l"))
+    best = F.greatest("_best", "_carried") + F.col("_shift")
+    return local.join(broadcast_if_small(carried), same).select(
+        "id", "ts", F.timestamp_micros(best).alias("sent_at")
+    )
+
+
 def digest(
     matches: DataFrame, raw_items: DataFrame, n: int = fixed.DIGEST_SIZE
 ) -> DataFrame:

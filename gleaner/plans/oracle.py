@@ -601,6 +601,13 @@ FROM minutes GROUP BY circuit"""
 ORACLE["rate_cap"] = f"""WITH per_time AS (SELECT ts, count(*) AS sent FROM events GROUP BY ts),
 counted AS (SELECT ts, sent, CAST(sum(sent) OVER (ORDER BY ts RANGE BETWEEN INTERVAL 600 SECOND PRECEDING AND CURRENT ROW) AS BIGINT) AS in_window FROM per_time)
 SELECT strftime(ts, {MICROS}) AS ts, sent, in_window, in_window > 2 AS over_cap FROM counted"""
+ORACLE["send_times"] = f"""WITH RECURSIVE queue AS (
+  SELECT event_id AS id, ts, row_number() OVER (ORDER BY ts, event_id) AS n FROM events),
+sent AS (
+  SELECT id, ts, n, ts AS sent_at FROM queue WHERE n <= 3
+  UNION ALL
+  SELECT q.id, q.ts, q.n, greatest(q.ts, s.sent_at + INTERVAL 600 SECOND) FROM sent s JOIN queue q ON q.n = s.n + 3)
+SELECT id, strftime(ts, {MICROS}) AS ts, strftime(sent_at, {MICROS}) AS sent_at FROM sent"""
 ORACLE["heartbeat_gaps"] = f"""WITH linked AS (
   SELECT 'c' || user_id AS circuit, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events)
 SELECT circuit, strftime(before, {MICROS}) AS silent_from, strftime(ts, {MICROS}) AS silent_to,

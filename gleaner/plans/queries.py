@@ -643,6 +643,13 @@ def rate_cap(spark, folder):
     return reports.send_rate(corpus.table(spark, folder, "events"), limit=2, seconds=600)
 
 
+@register
+def send_times(spark, folder):
+    """When each event would go out if three may go out in ten minutes."""
+    requests = corpus.table(spark, folder, "events").select(F.col("event_id").alias("id"), "ts")
+    return reports.send_times(requests, limit=3, seconds=600)
+
+
 @register
 def heartbeat_gaps(spark, folder):
     return reports.heartbeat_gaps(corpus.heartbeats(spark, folder))
