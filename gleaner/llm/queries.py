@@ -8,7 +8,7 @@ from public_tokenizers import path as tokenizer_path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import align, bagminhash, bpe, chat, contentsort, kdtree, langid, licenses, merkle, packing, ring, toxicity
+from gleaner.llm import align, bagminhash, bpe, chat, contentsort, kdtree, kmeanstree, langid, licenses, merkle, packing, ring, toxicity
 from gleaner.llm.common import table
 from gleaner.session import cut_lineage
 
@@ -166,6 +166,12 @@ def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.align(table(spark, sf_dir, "documents"), definition, pieces)
 
 
+@register
+def op12_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest vectors found for every hundredth vector."""
+    return kmeanstree.nearest_neighbours(table(spark, sf_dir, "embeddings"), "id % 100 = 0", k=10)
+
+
 @register
 def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Proofs of all documents against the root; a seventh of the leaves is tampered with."""
