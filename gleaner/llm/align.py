@@ -27,6 +27,7 @@ from collections.abc import Iterator, Sequence
 from hashlib import sha256
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import sentencepiece
 import tiktoken
@@ -80,10 +81,11 @@ class Pair:
             a = np.frombuffer(self.exact.encode(padded), np.uint32)
         b = self.b.encode(text)
         whole = padded.encode()
-        strings_a, strings_b = self.bytes_a, self.bytes_b
-        if b"".join([strings_a[i] for i in a.tolist()]) != whole or b"".join([strings_b[i] for i in b]) != whole:
+        # Tokens of A are the bytes of the text cut in pieces; those of B may stand for other bytes.
+        strings = self.bytes_b
+        if self.length_a[a].sum() != len(whole) or b"".join([strings[i] for i in b]) != whole:
             return None
-        return a.astype(np.int64), np.array(b, np.int64)
+        return a.astype(np.int32), np.array(b, np.int32)
 
 
 def lockstep(
@@ -113,7 +115,10 @@ def lockstep(
     if not emitted:
         return (np.zeros(0, np.int64),) * 4
     columns = [np.concatenate(part) for part in zip(*emitted, strict=True)]
-    order = np.argsort(columns[0], kind="stable")
+    # Groups begin at different tokens of A, so their order is read from the tokens they begin at.
+    at = np.full(len(ends_a), -1, np.int32)
+    at[columns[0]] = np.arange(len(columns[0]), dtype=np.int32)
+    order = at[at >= 0]
     return tuple(c[order] for c in columns)
 
 
@@ -127,12 +132,13 @@ def linked_pairs(
     few = np.flatnonzero(size <= WIDE_GROUP)
     of = np.repeat(few, size[few])
     at = np.arange(of.size) - np.repeat(np.cumsum(size[few]) - size[few], size[few])
-    left, right = ids_a[from_a[of] + at // wide[of]], ids_b[from_b[of] + at % wide[of]]
+    left = ids_a[from_a[of] + at // wide[of]].astype(np.int64)
+    right = ids_b[from_b[of] + at % wide[of]]
     documents, pairs, links = [owner[of]], [left << 32 | right], [np.ones(of.size, np.int64)]
     for g in np.flatnonzero(size > WIDE_GROUP):
         one, ones = np.unique(ids_a[from_a[g] : to_a[g]], return_counts=True)
         two, twos = np.unique(ids_b[from_b[g] : to_b[g]], return_counts=True)
-        pairs.append((one[:, None] << 32 | two).ravel())
+        pairs.append((one.astype(np.int64)[:, None] << 32 | two).ravel())
         links.append((ones[:, None] * twos).ravel())
         documents.append(np.full(pairs[-1].size, owner[g]))
     return np.concatenate(documents), np.concatenate(pairs), np.concatenate(links)
@@ -162,7 +168,7 @@ class Chunk:
     def __init__(self, texts: Sequence[str | None], pair: Pair):
         sides = [pair.ids(text) for text in texts]
         used = np.array([n for n, s in enumerate(sides) if s is not None], np.int64)
-        none = np.zeros(0, np.int64)
+        none = np.zeros(0, np.int32)
         ids_a = np.concatenate([none, *(s[0] for s in sides if s is not None)])
         ids_b = np.concatenate([none, *(s[1] for s in sides if s is not None)])
         count_a = np.array([len(s[0]) for s in sides if s is not None], np.int64)
@@ -182,12 +188,15 @@ class Chunk:
         for n, digest in zip(used, self._digests(pair, ids_a, ids_b, groups, to_a, to_b), strict=True):
             self.digests[n] = digest
         documents, keys, links = linked_pairs(ids_a, ids_b, groups, owner)
-        self.pairs, places = np.unique(keys, return_inverse=True)
-        held, first = np.unique(documents * (self.pairs.size + 1) + places, return_inverse=True)
-        self.links = np.zeros(held.size, np.int64)
-        np.add.at(self.links, first, links)
-        self.places = held % (self.pairs.size + 1)
-        holder = used[held // (self.pairs.size + 1)] if used.size else none
+        found, self.pairs = pd.factorize(keys, sort=True)
+        size = self.pairs.size + 1
+        first, held = pd.factorize(documents * size + found)
+        total = np.bincount(first, links, minlength=held.size).astype(np.int64)
+        # Documents come in order, but for their wide groups.
+        order = np.argsort(held, kind="stable")
+        held, self.links = held[order], total[order]
+        self.places = held % size
+        holder = used[held // size] if used.size else none
         self.documents = np.bincount(self.places, minlength=self.pairs.size)
         self.upto = np.cumsum(np.bincount(holder, minlength=len(texts)))
 
