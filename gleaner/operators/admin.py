@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleaner import fixed_values as fixed
 from gleaner.operators.ordered import earliest_at_or_after, latest_rows
-from gleaner.session import cut_lineage
+from gleaner.session import broadcast_if_small, cut_lineage
 
 DEFAULT_MUTE_HOURS = 24 * 365
 
@@ -171,28 +173,37 @@ def first_seen(
     """Add ``is_first``: the key is not registered when the item comes.
 
     The first item of a key registers it for ``days``, both ends included; items within that time
-    do not renew it, and the first item after it registers the key again.  Every item gets a
-    pointer to the one that would follow it as a registration; doubled pointers reach all
-    registrations of a key in as many rounds as their number has binary digits.
+    do not renew it, and the first item after it registers the key again.  A key whose items all lie
+    within ``days`` of the first is settled by one aggregate.  Of the others every item gets a
+    pointer to the one that would follow it as a registration.  The registrations of a key are one
+    path of pointers from its first item, so doubled pointers reach all of them in as many rounds as
+    their number has binary digits, each of them once.
     """
-    slim = cut_lineage(items.select(key, "ts", "id"))
     span = F.make_dt_interval(days=F.lit(days), secs=F.lit(0.000001))
-    probes = slim.select(key, "id", (F.col("ts") + span).alias("at"))
-    after = earliest_at_or_after(slim, probes, [key], chunk_seconds).filter("hit IS NOT NULL")
-    jumps = cut_lineage(
-        probes.join(after, [key, "at"]).select(F.col("id").alias("here"), F.col("hit.id").alias("to"))
-    )
-    starts = slim.groupBy(key).agg(F.min(F.struct("ts", "id")).alias("hit"))
-    reached = cut_lineage(starts.select(F.col("hit.id").alias("here")))
-    while True:
-        ahead = reached.join(jumps, "here").select(F.col("to").alias("here")).distinct()
-        new = cut_lineage(ahead.join(reached, "here", "left_anti"))
-        if new.isEmpty():
-            break
-        reached = cut_lineage(reached.unionAll(new))
-        further = jumps.select(F.col("here").alias("to"), F.col("to").alias("beyond"))
-        jumps = cut_lineage(jumps.join(further, "to").select("here", F.col("beyond").alias("to")))
-    firsts = reached.select(F.col("here").alias("id"), F.lit(True).alias("_first"))
+    slim = cut_lineage(items.select(key, "ts", "id"))
+    starts = cut_lineage(
+        slim.groupBy(key).agg(F.min(F.struct("ts", "id")).alias("hit"), F.max("ts").alias("last"))
+    )
+    reached = [starts.select(F.col("hit.id").alias("here"))]
+    long = cut_lineage(starts.filter(F.col("last") >= F.col("hit.ts") + span).select(key))
+    if not long.isEmpty():
+        slim = cut_lineage(slim.join(broadcast_if_small(long), key, "left_semi"))
+        probes = slim.select(key, "id", (F.col("ts") + span).alias("at"))
+        after = earliest_at_or_after(slim, probes, [key], chunk_seconds).filter("hit IS NOT NULL")
+        jumps = cut_lineage(
+            probes.join(after, [key, "at"]).select(F.col("id").alias("here"), F.col("hit.id").alias("to"))
+        )
+        while True:
+            all_reached = functools.reduce(DataFrame.unionAll, reached)
+            new = cut_lineage(all_reached.join(jumps, "here").select(F.col("to").alias("here")))
+            if new.isEmpty():
+                break
+            reached.append(new)
+            further = jumps.select(F.col("here").alias("to"), F.col("to").alias("beyond"))
+            jumps = cut_lineage(jumps.join(further, "to").select("here", F.col("beyond").alias("to")))
+    firsts = functools.reduce(DataFrame.unionAll, reached).select(
+        F.col("here").alias("id"), F.lit(True).alias("_first")
+    )
     return items.join(firsts, "id", "left").select(
         *[F.col(c) for c in items.columns], F.coalesce("_first", F.lit(False)).alias("is_first")
     )

@@ -13,7 +13,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleaner import fixed_values as fixed
-from gleaner.functions.hashing import hamming
 from gleaner.operators.ordered import earliest_at_or_after
 from gleaner.session import broadcast_if_small, cut_lineage
 
@@ -22,7 +21,7 @@ from gleaner.session import broadcast_if_small, cut_lineage
 _BLOCK_BITS = (11, 11, 11, 11, 10, 10)
 _BLOCKS_KEPT = len(_BLOCK_BITS) - fixed.NEAR_DISTANCE
 
-# Triples shared by more hashes than this are not compared pair by pair; see ``_pairs_by_ball``.
+# Triples shared by more hashes than this are not compared pair by pair; see ``_near_in_crowds``.
 CROWDED_TRIPLE = 256
 
 
@@ -86,7 +85,7 @@ def exact_originals(
     return _originals_by_key(items, "text_hash", days, asked)
 
 
-def _period(ts: Column, days: int) -> Column:
+def period_of(ts: Column, days: int) -> Column:
     return F.floor(F.unix_micros(ts) / F.lit(days * 86_400_000_000)).cast("bigint")
 
 
@@ -95,96 +94,83 @@ def _triple_keys(hashes: DataFrame, simhash: str) -> DataFrame:
     return hashes.select("*", F.posexplode(keys).alias("triple", "kept"))
 
 
-def _first_shared_triple(difference: Column) -> Column:
-    """The first triple on which two hashes agree; one pair is reported under this one only."""
-    agrees = F.transform(_mask_array(), lambda mask: difference.bitwiseAND(mask) == 0)
-    return F.array_position(agrees, True) - 1
+def _two_flips(rows: DataFrame, simhash: str) -> DataFrame:
+    """Each row 2,081 times, with ``centre``: all values at most two bits away from its hash."""
+    first = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(64))).alias("_first"))
+    # Two different bits, the second possibly none; or none at all, once.
+    later = F.when(F.col("_first") == 64, F.array(F.lit(64))).otherwise(
+        F.sequence(F.col("_first") + 1, F.lit(64))
+    )
+    centre = _flipped(_flipped(F.col(simhash), F.col("_first")), F.col("_second"))
+    return first.select("*", F.explode(later).alias("_second")).select(*rows.columns, centre.alias("centre"))
 
 
-def _pairs_by_triple(probes: DataFrame, known: DataFrame, distance: int) -> DataFrame:
-    """Near pairs that share a triple, each pair once."""
-    others = known.select("triple", "kept", "period", F.col("simhash").alias("neighbour"))
-    difference = F.col("simhash").bitwiseXOR(F.col("neighbour"))
-    return (
-        probes.join(others, ["triple", "kept", "period"])
-        .filter(
-            F.bit_count(difference).between(1, distance)
-            & (_first_shared_triple(difference) == F.col("triple"))
-        )
-        .select("simhash", "period", "neighbour")
+def near_keys(items: DataFrame, days: int = fixed.NEAR_LOOKBACK_DAYS) -> DataFrame:
+    """The near index of ``items`` (id, ts, simhash): (simhash, period, first, last, triple, kept).
+
+    A span is all occurrences of a hash in one period of ``days``: the first of them and the time of
+    the last.  It has a row for each of the twenty keys.  A table of them may be written once and read
+    by later look-ups; parts of it may come from different batches.
+    """
+    spans = items.groupBy("simhash", period_of(F.col("ts"), days).alias("period")).agg(
+        F.min(F.struct("ts", "id")).alias("first"), F.max("ts").alias("last")
     )
+    return _triple_keys(spans, "simhash")
 
 
-def _pairs_by_ball(probes: DataFrame, known: DataFrame) -> DataFrame:
-    """Near pairs of crowded triples, without comparing the members of a triple.
+_KEY = ["triple", "kept", "period"]
 
-    Two hashes are at most three bits apart exactly if some value lies within one bit of the one
-    and two bits of the other.  Known hashes list the 65 values around them, probes the 2081
-    around them, and both meet on equal values: the work is linear in the number of hashes.
+
+def _near_in_keys(probes: DataFrame, known: DataFrame) -> DataFrame:
+    """(id, open, hit, at) from spans that share a key with a probe.
+
+    A span that begins in the probe's window answers with its first occurrence: of those only the
+    earliest is kept, one row per probe.  Of a span that begins before the window and ends in it the
+    first occurrence inside is not known here: such a hash is ``open``, with a row of its own.
     """
-    around_known = known.select(
-        "period", F.col("simhash").alias("neighbour"), _within_one("simhash").alias("centre")
+    others = known.select(*_KEY, F.col("simhash").alias("neighbour"), "first", "last")
+    near = F.bit_count(F.col("simhash").bitwiseXOR(F.col("neighbour"))).between(1, fixed.NEAR_DISTANCE)
+    met = probes.join(others, _KEY).filter(
+        near & (F.col("last") >= F.col("at")) & (F.col("first") < F.struct("ts", "id"))
     )
-    around_probe = (
-        probes.select("*", F.explode(F.sequence(F.lit(0), F.lit(64))).alias("first"))
-        # Two different bits, the second possibly none; or none at all, once.
-        .select(
-            "*",
-            F.explode(
-                F.when(F.col("first") == 64, F.array(F.lit(64))).otherwise(
-                    F.sequence(F.col("first") + 1, F.lit(64))
-                )
-            ).alias("second"),
-        )
-        .select(
-            "simhash",
-            "period",
-            _flipped(_flipped(F.col("simhash"), F.col("first")), F.col("second")).alias("centre"),
-        )
-    )
-    return (
-        around_probe.join(around_known, ["period", "centre"])
-        .filter(F.col("simhash") != F.col("neighbour"))
-        .select("simhash", "period", "neighbour")
-        .distinct()
+    inside = F.col("first.ts") >= F.col("at")
+    return met.groupBy("id", F.when(~inside, F.col("neighbour")).alias("open")).agg(
+        F.min(F.when(inside, F.col("first"))).alias("hit"), F.max("at").alias("at")
     )
 
 
-def near_hashes(
-    probes: DataFrame,
-    known: DataFrame,
-    crowded: int = CROWDED_TRIPLE,
-    few_probes: bool = False,
-) -> DataFrame:
-    """(simhash, period, neighbour): known hashes one to three bits from a probe's hash.
+def _near_in_crowds(probes: DataFrame, spans: DataFrame) -> DataFrame:
+    """The same from crowded keys, without comparing the members of a key.
 
-    Probes are distinct (simhash, period) rows; only equal periods are compared.  The keys fit a
-    distance of three bits and no other.  With ``few_probes`` the known hashes are first reduced
-    to those that share a key with a probe, before anything of them is shuffled; else they must
-    be distinct too.
+    Two hashes are at most three bits apart exactly if some value lies within one bit of the one and
+    two bits of the other.  Spans list the 65 values around them, probes the 2,081 around them, and at
+    each value a probe finds the first span that begins in its window by an ordered look-up, so the
+    work is linear in the number of hashes however many are near each other.  Only spans of several
+    occurrences that begin before a window are met one by one.
     """
-    distance = fixed.NEAR_DISTANCE
-    keyed_known = _triple_keys(known, "simhash")
-    keyed_probes = _triple_keys(probes, "simhash")
-    triple = ["triple", "kept", "period"]
-    if few_probes:
-        asked = broadcast_if_small(keyed_probes.select(*triple).distinct())
-        keyed_known = cut_lineage(keyed_known.join(asked, triple, "left_semi").distinct())
-    # Stored: whether there are any decides which plan is needed, and usually there are none.
-    full = cut_lineage(
-        keyed_known.groupBy(*triple)
-        .agg(F.count("*").alias("_n"))
-        .filter(F.col("_n") > crowded)
-        .select(*triple)
+    around = spans.withColumn("centre", _within_one("simhash"))
+    asked = _two_flips(probes, "simhash")
+    begins = around.select("centre", F.col("first.ts").alias("ts"), F.col("first.id").alias("id"))
+    firsts = earliest_at_or_after(begins, asked.select("centre", "at"), ["centre"])
+    found = (
+        asked.join(firsts, ["centre", "at"])
+        .filter(F.col("hit") < F.struct("ts", "id"))
+        .groupBy("id")
+        .agg(F.min("hit").alias("hit"), F.max("at").alias("at"))
+        .select("id", F.lit(None).cast("bigint").alias("open"), "hit", "at")
     )
-    if full.isEmpty():
-        return _pairs_by_triple(keyed_probes, keyed_known, distance)
-    few = _pairs_by_triple(keyed_probes, keyed_known.join(full, triple, "left_anti"), distance)
-    many = _pairs_by_ball(
-        keyed_probes.join(full, triple, "left_semi").select("simhash", "period").distinct(),
-        keyed_known.join(full, triple, "left_semi").select("simhash", "period").distinct(),
-    ).filter(hamming(F.col("simhash"), F.col("neighbour")) <= distance)
-    return few.unionByName(many)
+    several = around.filter(F.col("last") > F.col("first.ts")).select(
+        "centre", F.col("simhash").alias("neighbour"), "first", "last"
+    )
+    straddling = (
+        asked.join(several, "centre")
+        .filter((F.col("first.ts") < F.col("at")) & (F.col("last") >= F.col("at")))
+        .filter(F.col("simhash") != F.col("neighbour"))
+        .groupBy("id", F.col("neighbour").alias("open"))
+        .agg(F.max("at").alias("at"))
+        .select("id", "open", F.lit(None).cast("struct<ts: timestamp, id: bigint>").alias("hit"), "at")
+    )
+    return found.unionByName(straddling)
 
 
 def near_originals(
@@ -192,61 +178,69 @@ def near_originals(
     days: int = fixed.NEAR_LOOKBACK_DAYS,
     asked: DataFrame | None = None,
     crowded: int = CROWDED_TRIPLE,
+    index: DataFrame | None = None,
 ) -> DataFrame:
     """(id, original) of items with an earlier item at most three simhash bits away.
 
     ``items`` needs id, ts and simhash.  An item with the same simhash is preferred, else the
-    earliest one within the distance.  This order is what keeps the job linear: however often a
-    hash occurs, only its first occurrence per ``days`` has to be compared with other hashes.
+    earliest one within the distance: only items without the former are compared with other hashes,
+    and of a hash only its first occurrence per ``days``.  One row per item is stored on the way, not
+    one per near pair.  ``index`` is a stored table of ``near_keys`` of all items, if there is one;
+    then only rows of it that share a key with what is asked are shuffled.
     """
     slim = items.select("id", "ts", "simhash")
     wanted = slim if asked is None else asked.select("id", "ts", "simhash")
-    # Both written once: they are small, and several branches below read them.
+    # Written once: they are small, and several branches below read them.
     same = cut_lineage(
         _originals_by_key(slim, "simhash", days, None if asked is None else wanted)
     )
     span = F.make_dt_interval(days=F.lit(days))
-    alone = wanted.join(same, "id", "left_anti")
-    known = slim.select("simhash", _period(F.col("ts"), days).alias("period"))
-    known = known.distinct() if asked is None else known
+    this = period_of(F.col("ts"), days)
     # The look-back reaches into the item's own period and the one before it.
-    this = _period(F.col("ts"), days)
-    probes = alone.select(
-        "simhash", F.explode(F.array(this, this - 1)).alias("period")
-    ).distinct()
-    pairs = cut_lineage(
-        near_hashes(probes, known, crowded, few_probes=asked is not None)
-        .select("simhash", "neighbour")
-        .distinct()
-    )
-    questions = alone.join(pairs, "simhash").select(
-        "id", "ts", F.col("neighbour"), (F.col("ts") - span).alias("at")
-    )
-    candidates = cut_lineage(
-        slim.select(F.col("simhash").alias("neighbour"), "ts", "id").join(
-            pairs.select("neighbour").distinct(), "neighbour", "left_semi"
+    probes = cut_lineage(
+        wanted.join(same, "id", "left_anti").select(
+            "id", "ts", "simhash", (F.col("ts") - span).alias("at"),
+            F.explode(F.array(this, this - 1)).alias("period"),
         )
     )
-    firsts = earliest_at_or_after(
-        candidates, questions.select("neighbour", "at"), ["neighbour"]
-    )
-    other = (
-        questions.join(firsts, ["neighbour", "at"])
-        .filter(F.col("hit") < F.struct("ts", "id"))
-        .groupBy("id")
-        .agg(F.min("hit").alias("hit"))
-        .select("id", F.col("hit.id").alias("original"))
+    keyed = _triple_keys(probes, "simhash")
+    known = near_keys(slim, days) if index is None else index
+    if asked is not None:
+        shared = broadcast_if_small(keyed.select(*_KEY).distinct())
+        known = cut_lineage(known.join(shared, _KEY, "left_semi"))
+    # Stored: whether there are any decides which plan is needed, and usually there are none.
+    full = cut_lineage(
+        known.groupBy(*_KEY).agg(F.count("*").alias("_n")).filter(F.col("_n") > crowded).select(*_KEY)
     )
-    return same.unionByName(other)
-
-
-def originals(items: DataFrame, asked: DataFrame | None = None) -> DataFrame:
+    if full.isEmpty():
+        found = _near_in_keys(keyed, known)
+    else:
+        few = _near_in_keys(keyed, known.join(full, _KEY, "left_anti"))
+        in_crowd = keyed.join(full, _KEY, "left_semi").select("id", "ts", "simhash", "at").distinct()
+        spans = known.join(full, _KEY, "left_semi").select("simhash", "period", "first", "last").distinct()
+        found = few.unionByName(_near_in_crowds(cut_lineage(in_crowd), cut_lineage(spans)))
+    found = cut_lineage(found)
+    hits = found.filter("open IS NULL").select("id", "hit")
+    questions = found.filter("open IS NOT NULL").select("id", F.col("open").alias("simhash"), "at").distinct()
+    if not questions.isEmpty():
+        hashes = broadcast_if_small(questions.select("simhash").distinct())
+        occurrences = cut_lineage(slim.join(hashes, "simhash", "left_semi"))
+        firsts = earliest_at_or_after(occurrences, questions.select("simhash", "at"), ["simhash"])
+        hits = hits.unionByName(questions.join(firsts, ["simhash", "at"]).select("id", "hit"))
+    earliest = hits.groupBy("id").agg(F.min("hit").alias("hit"))
+    return same.unionByName(earliest.select("id", F.col("hit.id").alias("original")))
+
+
+def originals(
+    items: DataFrame, asked: DataFrame | None = None, index: DataFrame | None = None
+) -> DataFrame:
     """(id, duplicate_of) of all duplicates: same text first, near text second.
 
     ``items`` (id, ts, text_hash, simhash) is read by several branches; pass a stored table.
+    ``index`` is as in ``near_originals``.
     """
     exact = exact_originals(items, asked=asked)
-    near = near_originals(items, asked=asked)
+    near = near_originals(items, asked=asked, index=index)
     return (
         exact.withColumn("_rank", F.lit(0))
         .unionByName(near.withColumn("_rank", F.lit(1)))

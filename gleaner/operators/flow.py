@@ -59,6 +59,7 @@ def resolve(
     classifier_on: bool = True,
     zone: str = "UTC",
     now: Column | None = None,
+    near_index: DataFrame | None = None,
 ) -> FlowResult:
     """Duplicates, matches and work of analysed items; ``facts`` is a stored table.
 
@@ -66,14 +67,17 @@ def resolve(
     decided at its own time.
 
     ``index`` has id, ts, text_hash and simhash of the items before.  Duplicates are looked up
-    over both; every item is a possible original, rejected or not.
+    over both; every item is a possible original, rejected or not.  ``near_index`` has the
+    ``dedup.near_keys`` of both.
     """
     keys = facts.select("id", "ts", "text_hash", "simhash")
     if index is None:
         found = dedup.originals(keys)
     else:
         found = dedup.originals(
-            index.select("id", "ts", "text_hash", "simhash").unionByName(keys), asked=keys
+            index.select("id", "ts", "text_hash", "simhash").unionByName(keys),
+            asked=keys,
+            index=near_index,
         )
     found = broadcast_if_small(found)
     # The rule is part of the stored facts, so it is applied in the scan, before any join.  Texts

@@ -773,6 +773,33 @@ FROM routed WHERE status = 'digest_pending' ORDER BY ts, id LIMIT 30"""
 ORACLE["flow_dry_run_stored"] = f"""{FLOW} SELECT f.id, f.dry_rule AS reject_rule, CASE WHEN f.dry_rule IS NULL THEN f.score END AS score
 FROM flagged f JOIN admitted USING (id)"""
 
+# Sendings of the edge: all items, then those that come again or late.
+_SENT_AGAIN = "".join(
+    f"""
+  UNION ALL SELECT '{prefix}' || doc_id, doc_id + {later}, {minutes(f'(doc_id + {later * anew}) * {corpus.MINUTES_BETWEEN_ITEMS}')}
+  FROM documents WHERE doc_id % {modulus} = {remainder}"""
+    for modulus, remainder, later, prefix, anew in (
+        (10, 3, 20, "", 1), (10, 7, 120, "", 1), (14, 5, 200, "late-", 0)
+    )
+)
+ORACLE["edge_stream"] = f"""WITH RECURSIVE ends AS (SELECT min(doc_id) AS low, (max(doc_id) - min(doc_id)) // 3 + 1 AS step FROM documents),
+sendings AS (
+  SELECT CAST(doc_id AS VARCHAR) AS item_id, doc_id AS place, {minutes(f'doc_id * {corpus.MINUTES_BETWEEN_ITEMS}')} AS posted
+  FROM documents{_SENT_AGAIN}),
+parts AS (SELECT item_id, posted, (place - low) // step AS part FROM sendings, ends WHERE (place - low) // step < 3),
+clocked AS (SELECT p.*, (SELECT max(e.posted) FROM parts e WHERE e.part < p.part) AS clock FROM parts p),
+timed AS (SELECT *, coalesce(posted < clock - INTERVAL 360 MINUTE, false) AS late, greatest(posted, coalesce(clock, posted)) AS ts FROM clocked),
+punctual AS (SELECT * FROM timed WHERE NOT late),
+firsts AS (
+  SELECT item_id, min(ts) AS ts FROM punctual GROUP BY item_id
+  UNION ALL
+  SELECT item_id, following FROM (
+    SELECT f.item_id, (SELECT min(e.ts) FROM punctual e WHERE e.item_id = f.item_id AND e.ts > f.ts + INTERVAL 7 DAY) AS following
+    FROM firsts f) WHERE following IS NOT NULL)
+SELECT t.item_id, strftime(t.posted, {MICROS}) AS posted_at,
+  CASE WHEN t.late THEN 'late' WHEN f.ts IS NULL THEN 'repeated' ELSE 'stored' END AS outcome
+FROM timed t LEFT JOIN firsts f ON f.item_id = t.item_id AND f.ts = t.ts"""
+
 # --- rule tables, exports and running counts ------------------------------------------------
 
 ORACLE["loaded_rules_summary"] = ORACLE["dry_run_summary"]
@@ -788,3 +815,72 @@ ORACLE["json_export"] = f"""{STORED} SELECT '{{"id":' || id || ',"source":' || t
 ORACLE["call_minutes_stream"] = f"""SELECT CASE WHEN user_id % 2 = 0 THEN 'main' ELSE 'browse' END AS circuit,
   strftime(date_trunc('minute', ts), {MICROS}) AS minute, count(*) AS calls FROM events GROUP BY ALL"""
 ORACLE["last_beats_stream"] = f"""SELECT 'c' || user_id AS circuit, strftime(max(ts), {MICROS}) AS ts FROM events GROUP BY 1"""
+
+# --- streams with state per key -------------------------------------------------------------
+
+ORACLE["exact_dups_stream"] = ORACLE["exact_dups"]
+ORACLE["quota_admission_stream"] = ORACLE["quota_admission"]
+ORACLE["silence_alerts_stream"] = f"""WITH linked AS (
+  SELECT 'c' || user_id AS circuit, ts, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS following,
+    max(ts) OVER () AS latest FROM events)
+SELECT circuit, strftime(ts, {MICROS}) AS silent_from FROM linked
+WHERE epoch_us(coalesce(following, latest)) - epoch_us(ts) > 900000000"""
+
+# --- jobs over the store --------------------------------------------------------------------
+
+
+def _digest_run(run: int, day: str, shown: str) -> str:
+    return f"""
+run{run} AS (SELECT {run} AS run, w.*, row_number() OVER (ORDER BY created_at, id) AS place, count(*) OVER () AS total
+  FROM waiting w WHERE day <= DATE '{day}'{shown})"""
+
+
+_DIGESTS = ",".join(
+    _digest_run(run, day, "".join(f" AND id NOT IN (SELECT id FROM run{r} WHERE place <= 30)" for r in range(run)))
+    for run, day in enumerate(["2024-01-01", "2024-01-02", "2024-01-31"])
+)
+ORACLE["digest_runs"] = f"""{STORED},
+waiting AS (SELECT m.id, m.score, r.source, left(coalesce(nullif(m.llm_summary_ru, ''), m.headline), 200) AS summary,
+    r.permalink, m.created_at, CAST(m.created_at - INTERVAL 8 HOUR AS DATE) + 1 AS day
+  FROM matches m JOIN raw_items r ON r.id = m.raw_item_id WHERE status = 'digest_pending'),{_DIGESTS}
+SELECT run, id, score, source, summary, permalink, strftime(created_at, {MICROS}) AS created_at, total
+FROM (FROM run0 UNION ALL FROM run1 UNION ALL FROM run2) WHERE place <= 30"""
+ORACLE["paused_sending"] = f"""WITH {MATCHES},
+runs AS (SELECT id, CASE WHEN created_at <= TIMESTAMP '2024-01-01 01:00:00' THEN 0
+    WHEN created_at <= TIMESTAMP '2024-01-01 03:00:00' THEN 2 ELSE 3 END AS run
+  FROM matches WHERE status = 'new' AND created_at <= TIMESTAMP '2024-01-31'),
+placed AS (SELECT id, run, row_number() OVER (PARTITION BY run ORDER BY id) - 1 AS place,
+  CASE run WHEN 0 THEN TIMESTAMP '2024-01-01 01:00:00' WHEN 2 THEN TIMESTAMP '2024-01-01 03:00:00' ELSE TIMESTAMP '2024-01-31' END AS moment
+  FROM runs)
+SELECT id AS match_id, run, strftime(moment + to_seconds(60 * (place // 20)), {MICROS}) AS sent_at FROM placed"""
+ORACLE["card_updates_stream"] = ORACLE["dup_counts"]
+ORACLE["flow_verdicts"] = f"""{_ROUTED},{_ANSWERS},
+work AS (SELECT id, circuit, total AS score, intent_tag, total >= 10 AS rules_notify,
+  CASE WHEN circuit <> 'main' OR CASE intent_tag WHEN 'unknown' THEN false
+      WHEN 'help_request' THEN total >= {fixed.HELP_MIN_SCORE} ELSE true END THEN 'classify_and_translate'
+    WHEN total >= 10 THEN 'translate' END AS mode FROM pointed),
+lots AS (SELECT id, row_number() OVER (PARTITION BY circuit ORDER BY id) AS lot FROM work WHERE mode IS NOT NULL AND id % 3 = 0),
+joined AS (SELECT w.*, a.is_lead, a.confidence, a.lead_type, a.summary_ru,
+  CASE WHEN mode IS NULL THEN NULL WHEN lot > CASE circuit WHEN 'main' THEN 20 ELSE 5 END THEN 'quota_exhausted'
+    WHEN a.good THEN 'ok' ELSE 'error' END AS outcome
+  FROM work w JOIN answers a USING (id) LEFT JOIN lots USING (id)),
+final AS (SELECT *, coalesce(outcome = 'ok', false) AS answered, CASE WHEN mode IS NULL OR outcome <> 'ok' THEN rules_notify
+  ELSE mode = 'translate' OR (is_lead AND confidence >= 0.55) END AS will_notify FROM joined),
+-- The passes come at night, the rules decide at nine in the morning.
+stated AS (SELECT *, CASE WHEN NOT will_notify THEN 'suppressed' WHEN mode IS NOT NULL AND score < 15 THEN 'digest_pending' ELSE 'new' END AS status FROM final)
+SELECT id, score, CASE WHEN mode IS NULL THEN 'rules' WHEN answered THEN 'llm' ELSE 'rules_only' END AS decided_by,
+  CASE WHEN mode IS NULL THEN 'not_needed' WHEN answered THEN 'done' WHEN outcome = 'error' THEN 'failed' ELSE 'skipped_quota' END AS llm_status,
+  CASE WHEN answered AND lead_type <> 'not_a_lead' THEN lead_type ELSE intent_tag END AS intent_tag,
+  CASE WHEN answered THEN summary_ru END AS llm_summary_ru, CASE WHEN answered THEN confidence END AS llm_prob,
+  status, CASE status WHEN 'digest_pending' THEN 'digest' WHEN 'new' THEN 'notify' END AS queue,
+  CASE WHEN mode IS NOT NULL THEN CASE WHEN id % 3 = 0 THEN 1 ELSE 0 END END AS pass, CASE WHEN mode IS NOT NULL THEN 1 END AS calls
+FROM stated"""
+ORACLE["retention_store"] = f"""{STORED},
+dealt AS (SELECT id, reject_rule, created_at, (id // 7) % 3 AS batch FROM raw_items)
+SELECT 1 AS version, id, reject_rule FROM dealt
+WHERE batch < 2 AND (batch = 1 OR reject_rule IS NULL OR created_at >= TIMESTAMP '2024-01-31 02:00:00' - INTERVAL 30 DAY)
+UNION ALL SELECT 2, id, reject_rule FROM dealt
+WHERE reject_rule IS NULL OR created_at >= TIMESTAMP '2024-01-31 04:00:00' - INTERVAL 30 DAY"""
+ORACLE["reloaded_rules_stream"] = f"""{SCORED} SELECT r.id, r.circuit, CASE WHEN r.id % 2 = 0 THEN live_rule
+  ELSE coalesce(hf1, hf2, hf4, CASE WHEN offer_tag THEN 'HF-5_service_offer' END, hf6) END AS reject_rule
+FROM replayed r JOIN sources s ON s.name = r.source_name WHERE s.enabled AND NOT coalesce(s.muted_until > {_NOW}, false)"""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import uuid
 from collections.abc import Callable
 from functools import wraps
@@ -17,7 +18,7 @@ from gleaner.operators import admin, crm, dedup, flow, items, quota, reports, ve
 from gleaner.plans import corpus
 from gleaner.session import cut_lineage, shared_folder
 from gleaner.sources import atom, messages, sinks
-from gleaner.streaming import ingest
+from gleaner.streaming import ingest, jobs, keyed
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -991,6 +992,65 @@ def item_stream(spark, folder):
     )
 
 
+def _open_sources(spark, folder):
+    """All sources, enabled and not muted, so that what is not stored was turned away at the edge."""
+    return corpus.sources(spark, folder, all_enabled=True).withColumn(
+        "muted_until", F.lit(None).cast("timestamp")
+    )
+
+
+def _message(posted: Column) -> Column:
+    return F.to_json(
+        F.struct(
+            "item_id", "source", "title", "body", "has_body", "author_handle", "permalink",
+            F.date_format(posted, "yyyy-MM-dd'T'HH:mm:ss").alias("posted_at"),
+        )
+    ).alias("value")
+
+
+# Items that come again or late: (modulus, remainder, places later, prefix of the id, posted anew).
+SENT_AGAIN = [(10, 3, 20, "", True), (10, 7, 120, "", True), (14, 5, 200, "late-", False)]
+
+
+@register
+def edge_stream(spark, folder):
+    """What the edge of the streaming job does with items that come again or too late."""
+    run = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    feed = _feed(spark, folder)
+    n = F.col("id")
+    sendings = feed.withColumn("place", n)
+    for modulus, remainder, later, prefix, anew in SENT_AGAIN:
+        again = feed.filter(n % modulus == remainder).withColumns(
+            {
+                "item_id": F.concat(F.lit(prefix), "item_id"),
+                "place": n + later,
+                "posted_at": corpus.minutes_after_start((n + later * int(anew)) * corpus.MINUTES_BETWEEN_ITEMS),
+            }
+        )
+        sendings = sendings.unionByName(again)
+    sendings = cut_lineage(sendings.select("place", _message(F.col("posted_at"))))
+    sources = _open_sources(spark, folder)
+    tables = ingest.Tables(
+        rules=lambda: RULES, sources=lambda: sources, authors=lambda: spark.createDataFrame([], schemas.AUTHORS)
+    )
+    ends = feed.agg(F.min("id").alias("low"), F.max("id").alias("high")).first()
+    step = (ends["high"] - ends["low"]) // 3 + 1
+    for part in range(3):
+        start = ends["low"] + part * step
+        delivery = sendings.filter(F.col("place").between(start, start + step - 1))
+        delivery.select("value").write.mode("append").text(f"{run}/in")
+        ingest.run_messages(
+            messages.read_message_stream(spark, f"{run}/in"), f"{run}/store", f"{run}/checkpoint", tables,
+            edge=ingest.Edge(), now=at(NOW), token_hash="md5",
+        ).awaitTermination()
+    stored = ingest.read_raw_items(spark, f"{run}/store")
+    outcomes = [stored.select("item_id", "posted_at", F.lit("stored").alias("outcome"))]
+    for name in ("late", "repeated"):
+        table = sinks.read_table(spark, f"{run}/store/{name}", ingest.TURNED_AWAY)
+        outcomes.append(table.select("item_id", "posted_at", F.lit(name).alias("outcome")))
+    return functools.reduce(DataFrame.unionByName, outcomes)
+
+
 # --- rule tables, exports and running counts ------------------------------------------------
 
 
@@ -1069,3 +1129,168 @@ def call_minutes_stream(spark, folder):
 def last_beats_stream(spark, folder):
     """The last heartbeat of each circuit, kept by a stream."""
     return _streamed(spark, folder, "events", lambda s: ingest.last_beats(_event_stream(s)))
+
+
+# --- streams with state per key -------------------------------------------------------------
+
+
+def _delivered(spark, rows, job, order="id", parts=3):
+    """What a keyed stream emits for ``rows``, which come in several deliveries in their order.
+
+    Each delivery is a run of its own that takes up the state of the last one.
+    """
+    run = f"{shared_folder(spark)}/keyed-{uuid.uuid4().hex}"
+    stored = cut_lineage(rows)
+    ends = stored.agg(F.min(order).alias("low"), F.max(order).alias("high")).first()
+    step = (ends["high"] - ends["low"]) // parts + 1
+    for part in range(parts):
+        start = ends["low"] + part * step
+        delivery = stored.filter(F.col(order).between(start, start + step - 1))
+        delivery.write.mode("append").parquet(f"{run}/in")
+        stream = spark.readStream.schema(stored.schema).parquet(f"{run}/in")
+        keyed.run_keyed(job(stream), f"{run}/out", f"{run}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{run}/out").drop("batch_id")
+
+
+@register
+def exact_dups_stream(spark, folder):
+    """Exact originals found by a stream that keeps the texts of thirty days as keyed state."""
+    hashed = _norm(spark, folder).select("id", "ts", hashing.text_hash(F.col("text_norm")).alias("text_hash"))
+    return _delivered(spark, hashed, keyed.exact_originals_stream)
+
+
+@register
+def quota_admission_stream(spark, folder):
+    """Admission of calls by counters that a stream keeps across its micro-batches."""
+    return _delivered(
+        spark, _calls(spark, folder), lambda calls: keyed.admit_calls_stream(calls, per_minute=1, per_day=50)
+    )
+
+
+@register
+def silence_alerts_stream(spark, folder):
+    """Silences that a stream reports, those that still last at its end too."""
+    alerts = _delivered(spark, corpus.heartbeats(spark, folder).select("circuit", "ts", "id"), keyed.silence_alerts)
+    return alerts.select("circuit", "silent_from")
+
+
+# --- jobs over the store --------------------------------------------------------------------
+
+
+def _store(spark):
+    return f"{shared_folder(spark)}/store-{uuid.uuid4().hex}"
+
+
+@register
+def digest_runs(spark, folder):
+    """Three digests in a row: each shows the first that wait, and none shows a match again."""
+    raw, matches, _ = _tables(spark, folder)
+    store = _store(spark)
+    runs = [
+        jobs.send_digest(matches, raw, store, run, at(f"{day} 09:00:00")).withColumn("run", F.lit(run))
+        for run, day in enumerate(["2024-01-01", "2024-01-02", "2024-01-31"])
+    ]
+    return functools.reduce(DataFrame.unionByName, runs).drop("sent_at")
+
+
+@register
+def paused_sending(spark, folder):
+    """What four runs of the sender send; the second falls into a pause."""
+    matches = corpus.matches(spark, folder)
+    store = _store(spark)
+    settings = spark.createDataFrame([("paused", "1")], "key string, value string")
+    runs = []
+    for run, moment in enumerate(["01-01 01:00:00", "01-01 02:00:00", "01-01 03:00:00", "01-31 00:00:00"]):
+        paused = settings if run == 1 else settings.filter("false")
+        sent = jobs.send_waiting(matches, store, run, at(f"2024-{moment}"), paused)
+        runs.append(sent.select("match_id", F.lit(run).alias("run"), "sent_at"))
+    return functools.reduce(DataFrame.unionByName, runs)
+
+
+@register
+def card_updates_stream(spark, folder):
+    """Duplicate counts of cards as a stream of duplicates leaves them, in three deliveries."""
+    store = _store(spark)
+    found = cut_lineage(dedup.originals(_keys(spark, folder)))
+    matches = corpus.matches(spark, folder)
+    for part in range(3):
+        sinks.write_batch(found.filter(F.pmod(F.xxhash64("id"), F.lit(3)) == part), f"{store}/duplicates", part)
+        arrived = spark.readStream.schema(f"{ingest.DUPLICATES_TABLE}, batch_id BIGINT").parquet(f"{store}/duplicates")
+        jobs.card_updates(arrived, lambda: matches, store, f"{store}/checkpoint").awaitTermination()
+    return jobs.current_counts(spark, store)
+
+
+@register
+def flow_verdicts(spark, folder):
+    """Stored matches after three passes of the classifier: one half answered, one short of quota, one idle."""
+    result = flow.process(
+        _feed(spark, folder), corpus.sources(spark, folder), author_counters(spark, folder), RULES, at(NOW),
+        token_hash="md5",
+    )
+    store = _store(spark)
+    sinks.write_matches(result.matches, f"{store}/matches", 0)
+    sinks.write_batch(result.work, f"{store}/work", 0)
+    answers = _responses(spark, folder).select("id", "response")
+    some = answers.filter("id % 3 <> 0")
+    left = spark.createDataFrame([("main", 20), ("browse", 5)], "circuit string, calls int")
+    moment = at("2024-01-02 23:30:00")
+    for run, (known, quota_left) in enumerate([(some, None), (answers, left), (answers, None)]):
+        jobs.judge(
+            spark, store, run, lambda work, known=known: known.join(work.select("id"), "id", "left_semi"),
+            RULES, moment, quota_left, model="model-a",
+        )
+    passes = sinks.read_table(spark, f"{store}/usage", "match_id BIGINT").groupBy("match_id").agg(
+        F.max("batch_id").alias("pass"), F.count("*").alias("calls")
+    )
+    final = jobs.read_matches(spark, store)
+    return final.join(passes, F.col("id") == F.col("match_id"), "left").select(
+        "id", "score", "decided_by", "llm_status", "intent_tag", "llm_summary_ru", "llm_prob", "status", "queue",
+        "pass", "calls",
+    )
+
+
+@register
+def retention_store(spark, folder):
+    """Items of the store after two compactions with retention, a batch later than the first one between."""
+    raw, _, _ = _tables(spark, folder)
+    store = _store(spark)
+    own = F.when(F.col("reject_rule") != "duplicate", F.col("reject_rule"))
+    third = F.pmod(F.floor(F.col("id") / 7), F.lit(3))
+    duplicates = raw.filter("reject_rule = 'duplicate'").select("id", F.lit(0).cast("bigint").alias("duplicate_of"))
+    sinks.write_batch(duplicates, f"{store}/duplicates", 0)
+    rows = raw.withColumns({"reject_rule": own, "ts": F.col("created_at")})
+    versions = []
+    for batch in range(3):
+        sinks.write_raw_items(rows.filter(third == batch), f"{store}/raw_items", batch)
+        if batch:
+            moment = at(f"2024-01-31 0{2 * batch}:00:00")
+            jobs.compact(spark, store, batch - 1 if batch == 1 else batch, moment)
+            kept = cut_lineage(ingest.read_raw_items(spark, store).select("id", "reject_rule"))
+            versions.append(kept.withColumn("version", F.lit(batch)))
+    return functools.reduce(DataFrame.unionByName, versions)
+
+
+@register
+def reloaded_rules_stream(spark, folder):
+    """Reject rules of streamed items; before the last delivery two dictionaries are emptied."""
+    run = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    keywords = spark.createDataFrame([(*row, True) for row in corpus.KEYWORD_ROWS], schemas.KEYWORDS)
+    weights = spark.createDataFrame(list(fixed.RULE_WEIGHTS.items()), schemas.RULE_WEIGHTS)
+    edited = keywords.withColumn("enabled", ~F.col("dict_type").isin("anti", "closed"))
+    sources = corpus.sources(spark, folder)
+    feed = cut_lineage(_feed(spark, folder))
+    tables = ingest.Tables(
+        rules=rule_tables.RuleReader(spark, f"{run}/rules", help_pattern=corpus.HELP_WORDS),
+        sources=lambda: sources,
+        authors=lambda: spark.createDataFrame([], schemas.AUTHORS),
+    )
+    for part, words in enumerate([keywords, edited]):
+        rule_tables.publish_rules(spark, f"{run}/rules", words, weights)
+        delivery = feed.filter(F.col("id") % 2 == part).withColumn("posted_at", F.col("ts"))
+        delivery.write.mode("append").parquet(f"{run}/in")
+        stream = spark.readStream.schema(delivery.schema).parquet(f"{run}/in").drop("id", "ts", "created_at")
+        ingest.run_items(
+            stream, f"{run}/store", f"{run}/checkpoint", tables, now=at(NOW), token_hash="md5"
+        ).awaitTermination()
+    stored = sinks.read_table(spark, f"{run}/store/raw_items", ingest.RAW_TABLE)
+    return stored.select(F.col("item_id").cast("bigint").alias("id"), "circuit", "reject_rule")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from gleaner import fixed_values as fixed
 from gleaner import schemas
 from gleaner.functions.text import alternation
+from gleaner.sources import sinks
 
 # A rule set is typed in by hand; it becomes literals in the plan.  More rows than this mean
 # that the wrong table was passed, so loading stops instead of pulling it to the driver.
@@ -153,3 +154,37 @@ def dictionary_listing(keywords: DataFrame) -> DataFrame:
         .select("dict_type", "terms", "term", "weight")
         .orderBy("dict_type", "term")
     )
+
+
+# --- versions of the rule tables -------------------------------------------------------------
+
+
+def publish_rules(spark: SparkSession, folder: str, keywords: DataFrame, rule_weights: DataFrame) -> int:
+    """Write both rule tables as the next version, which counts from then on; returns its number."""
+    version = sinks.current_version(spark, f"{folder}/weights")[0] + 1
+    keywords.write.mode("overwrite").parquet(f"{folder}/keywords/version={version}")
+    sinks.write_version(rule_weights, f"{folder}/weights", version, 0)
+    return version
+
+
+class RuleReader:
+    """Gives the rules of the current version; the tables are read only when the version has changed.
+
+    Called once per micro-batch, it makes an edit count from the next batch on.  The version number
+    stands in ``rules_version`` of every match.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, **limits):
+        self.spark, self.folder, self.limits = spark, folder, limits
+        self.version, self.rules = 0, RuleSet()
+
+    def __call__(self) -> RuleSet:
+        version, _ = sinks.current_version(self.spark, f"{self.folder}/weights")
+        if version != self.version:
+            keywords = self.spark.read.schema(schemas.KEYWORDS).parquet(f"{self.folder}/keywords/version={version}")
+            weights = self.spark.read.schema(schemas.RULE_WEIGHTS).parquet(
+                f"{self.folder}/weights-versions/version={version}"
+            )
+            self.rules = load_rules(keywords, weights, version=f"v{version}", **self.limits)
+            self.version = version
+        return self.rules

@@ -6,6 +6,8 @@ a batch that is run again after a failure leaves the same rows.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,19 +50,84 @@ def write_usage(calls: DataFrame, table: str, batch_id: int, default_model: str)
     write_batch(usage_rows(calls, default_model), table, batch_id)
 
 
+def current_version(spark: SparkSession, table: str) -> tuple[int, int]:
+    """The last whole version of a compacted table and the last batch in it; (0, -1) before any.
+
+    Versions lie in ``<table>-versions`` as ``version=N``; the marker of a version, an empty file
+    that is made when all of it is written, names the batch.
+    """
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{table}-versions/markers")
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(folder):
+        return 0, -1
+    names = [status.getPath().getName() for status in files.listStatus(folder)]
+    return max((tuple(map(int, name.split("-"))) for name in names), default=(0, -1))
+
+
+def write_version(
+    df: DataFrame, table: str, version: int, upto: int, partitions: tuple[str, ...] = ()
+) -> None:
+    """Write a version that stands for all batches up to ``upto``, then make it the current one.
+
+    A version that was left unfinished is overwritten; a finished one is refused.
+    """
+    spark = df.sparkSession
+    if current_version(spark, table)[0] >= version:
+        raise ValueError(f"version {version} of {table} exists")
+    df.write.mode("overwrite").partitionBy(*partitions).parquet(f"{table}-versions/version={version}")
+    marker = spark._jvm.org.apache.hadoop.fs.Path(f"{table}-versions/markers/{version}-{upto}")
+    marker.getFileSystem(spark._jsc.hadoopConfiguration()).create(marker, False).close()
+
+
+def drop_replaced(spark: SparkSession, table: str, keep: int = 2) -> None:
+    """Delete batches and versions that the ``keep`` newest versions do not need.
+
+    Markers stay, so the numbers go on.
+    """
+    version, _ = current_version(spark, table)
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    files = path(table).getFileSystem(spark._jsc.hadoopConfiguration())
+    markers = {}
+    folder = path(f"{table}-versions/markers")
+    if files.exists(folder):
+        for status in files.listStatus(folder):
+            number, upto = map(int, status.getPath().getName().split("-"))
+            markers[number] = upto
+    oldest = version - keep + 1
+    for number in markers:
+        if number < oldest:
+            files.delete(path(f"{table}-versions/version={number}"), True)
+    if oldest in markers and files.exists(path(table)):
+        for status in files.listStatus(path(table)):
+            name = status.getPath().getName()
+            if name.startswith("batch_id=") and int(name.removeprefix("batch_id=")) <= markers[oldest]:
+                files.delete(status.getPath(), True)
+
+
 def read_table(
     spark: SparkSession, table: str, schema: str, before_batch: int | None = None
 ) -> DataFrame:
     """A table written by batches, with the columns of ``schema``; empty if there is none yet.
 
     Only a missing folder counts as an empty table: any other error is the caller's to see.
-    ``before_batch`` hides the batch being written and later ones.
+    ``before_batch`` hides the batch being written and later ones.  Batches that a version has
+    replaced are read from it, unless ``before_batch`` lies within them.
     """
     columns = f"{schema}, batch_id BIGINT"
-    if not path_exists(spark, table):
+    version, upto = current_version(spark, table)
+    if before_batch is not None and before_batch <= upto:
+        version, upto = 0, -1
+    parts = []
+    if path_exists(spark, table):
+        df = spark.read.schema(columns).parquet(table)
+        df = df if before_batch is None else df.filter(F.col("batch_id") < before_batch)
+        parts.append(df if upto < 0 else df.filter(F.col("batch_id") > upto))
+    if version:
+        compacted = spark.read.schema(schema).parquet(f"{table}-versions/version={version}")
+        parts.append(compacted.withColumn("batch_id", F.lit(upto).cast("bigint")))
+    if not parts:
         return spark.createDataFrame([], columns)
-    df = spark.read.schema(columns).parquet(table)
-    return df if before_batch is None else df.filter(F.col("batch_id") < before_batch)
+    return functools.reduce(DataFrame.unionByName, parts)
 
 
 def as_json(df: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from gleaner import fixed_values as fixed
 from gleaner import schemas
-from gleaner.operators import flow
+from gleaner.operators import admin, dedup, flow
 from gleaner.operators.dedup import mark_duplicates
 from gleaner.operators.items import drop_stale
 from gleaner.rules import RuleSet
@@ -69,6 +69,128 @@ class Tables:
     authors: Callable[[], DataFrame]
 
 
+@dataclass(frozen=True)
+class Edge:
+    """What may enter the store: how late an item may be, and how long its id stays registered."""
+
+    late_minutes: int = fixed.MAX_ITEM_AGE_MINUTES
+    id_days: int = fixed.ITEM_ID_LOOKBACK_DAYS
+
+
+REGISTERED = "item_id STRING, ts TIMESTAMP, day DATE"
+TURNED_AWAY = "id BIGINT, item_id STRING, source STRING, permalink STRING, posted_at TIMESTAMP"
+
+
+ITEM_KEYS = "id BIGINT, ts TIMESTAMP, text_hash STRING, simhash BIGINT, day DATE"
+NEAR_KEYS = (
+    "simhash BIGINT, first STRUCT<ts: TIMESTAMP, id: BIGINT>, last TIMESTAMP, triple INT, kept BIGINT, "
+    "period BIGINT, bucket INT"
+)
+BUCKETS = 16
+
+
+def _bucket() -> Column:
+    return F.pmod(F.xxhash64("triple", "kept"), F.lit(BUCKETS)).cast("int")
+
+
+def write_index(keys: DataFrame, store: str, batch_id: int) -> None:
+    """Write the duplicate index of a batch's items (id, ts, text_hash, simhash), once for each item.
+
+    ``item_keys`` is one narrow row per item, by day; ``near_keys`` has the twenty keys of each hash,
+    by period and by a bucket of the key.
+    """
+    dated = keys.withColumn("day", F.to_date("ts")).hint("rebalance", "day")
+    sinks.write_batch(dated, f"{store}/item_keys", batch_id, ("day",))
+    near = dedup.near_keys(keys).withColumn("bucket", _bucket())
+    sinks.write_batch(near.repartition("period", "bucket"), f"{store}/near_keys", batch_id, ("period", "bucket"))
+
+
+def read_near_index(asked: DataFrame, store: str, batch_id: int) -> DataFrame:
+    """The rows of the near index that may answer ``asked``: its buckets, and the periods in reach."""
+    spark = asked.sparkSession
+    own = sinks.read_table(spark, f"{store}/near_keys", NEAR_KEYS, batch_id + 1)
+    own = own.filter(F.col("batch_id") == batch_id)
+    # At most as many rows as there are buckets, and one.
+    buckets = [r["bucket"] for r in own.select("bucket").distinct().collect()]
+    if not buckets:
+        return own
+    oldest = own.agg(F.min("period")).first()[0]
+    table = sinks.read_table(spark, f"{store}/near_keys", NEAR_KEYS, batch_id + 1)
+    return table.filter(F.col("bucket").isin(buckets) & (F.col("period") >= oldest - 1))
+
+
+def prune_near_index(spark: SparkSession, store: str, oldest_item: Column) -> int:
+    """Delete the periods of the near index that no item from ``oldest_item`` on can reach back to."""
+    period = dedup.period_of(oldest_item, fixed.NEAR_LOOKBACK_DAYS)
+    first = spark.range(1).select(period.alias("p")).first()["p"] - 1
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    root = path(f"{store}/near_keys")
+    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    dropped = 0
+    for batch in files.listStatus(root) if files.exists(root) else []:
+        for part in files.listStatus(batch.getPath()):
+            name = part.getPath().getName()
+            if name.startswith("period=") and int(name.removeprefix("period=")) < first:
+                files.delete(part.getPath(), True)
+                dropped += 1
+    return dropped
+
+
+def latest_time(spark: SparkSession, store: str, batch_id: int):
+    """The clock of the stream: the latest item time of earlier batches."""
+    clock = sinks.read_table(spark, f"{store}/clock", "latest TIMESTAMP", batch_id)
+    return clock.agg(F.max("latest")).first()[0]
+
+
+def enter(numbered: DataFrame, batch_id: int, store: str, edge: Edge) -> DataFrame:
+    """The items of a batch that may enter; the others go to the tables ``late`` and ``repeated``.
+
+    Late is what was posted more than ``late_minutes`` before the clock of the stream.  Of the rest
+    an item whose id is registered is a repetition; ids are registered for ``id_days`` by their first
+    item and not renewed, in this batch and in earlier ones, whose registrations lie by day, so only
+    those days are read that a registration can reach from.  Items without an id are never repeated,
+    those without a time are never late.  What the tables take and what goes on is the whole batch,
+    and a repeated batch is divided alike.
+    """
+    spark = numbered.sparkSession
+    latest = latest_time(spark, store, batch_id)
+    posted = F.col("posted_at")
+    clock = F.lit(latest).cast("timestamp")
+    late = posted < clock - F.make_dt_interval(mins=F.lit(edge.late_minutes))
+    marked = cut_lineage(
+        numbered.withColumns(
+            {
+                "_late": F.coalesce(late, F.lit(False)),
+                "ts": F.greatest(F.coalesce(posted, clock, F.timestamp_seconds(F.lit(0))), clock),
+            }
+        )
+    )
+    turned_away = [c.split(" ")[0] for c in TURNED_AWAY.split(", ")]
+    sinks.write_batch(marked.filter("_late").select(*turned_away), f"{store}/late", batch_id)
+    on_time = marked.filter("NOT _late AND item_id IS NOT NULL").select("item_id", "ts", "id")
+    begin = on_time.agg(F.min("ts")).first()[0]
+    reach = F.lit(begin).cast("timestamp") - F.make_dt_interval(days=F.lit(edge.id_days))
+    known = sinks.read_table(spark, f"{store}/registered", REGISTERED, batch_id)
+    asked = broadcast_if_small(on_time.select("item_id").distinct())
+    standing = (
+        known.filter((F.col("day") >= F.to_date(reach)) & (F.col("ts") >= reach))
+        .join(asked, "item_id", "left_semi")
+        .groupBy("item_id")
+        .agg(F.max("ts").alias("ts"))
+    )
+    # Registrations get negative ids of their own, so that none is mistaken for an item.
+    standing = standing.withColumn("id", -1 - F.monotonically_increasing_id())
+    events = cut_lineage(standing.unionByName(on_time))
+    firsts = cut_lineage(admin.first_seen(events, "item_id", edge.id_days).filter("id >= 0"))
+    new = firsts.filter("is_first").select("item_id", "ts", F.to_date("ts").alias("day"))
+    sinks.write_batch(new, f"{store}/registered", batch_id, ("day",))
+    again = broadcast_if_small(firsts.filter("NOT is_first").select("id"))
+    repeated = marked.join(again, "id", "left_semi")
+    sinks.write_batch(repeated.select(*turned_away), f"{store}/repeated", batch_id)
+    entered = marked.filter("NOT _late").join(again, "id", "left_anti")
+    return entered.select(*numbered.columns)
+
+
 def store_batch(
     numbered: DataFrame,
     batch_id: int,
@@ -93,8 +215,7 @@ def store_batch(
     untimed = numbered.filter("posted_at IS NULL").withColumn("problem", F.lit("no_posted_at"))
     sinks.write_batch(untimed, f"{store}/untimed", batch_id)
     numbered = numbered.filter("posted_at IS NOT NULL")
-    clock = sinks.read_table(spark, f"{store}/clock", "latest TIMESTAMP", batch_id)
-    latest = clock.agg(F.max("latest")).first()[0]
+    latest = latest_time(spark, store, batch_id)
     posted = F.col("posted_at")
     arrival = posted if latest is None else F.greatest(posted, F.lit(latest))
     items = numbered.withColumn("ts", arrival)
@@ -107,11 +228,15 @@ def store_batch(
     raw_table = f"{store}/raw_items"
     sinks.write_raw_items(analysed.withColumn("created_at", F.col("ts")), raw_table, batch_id)
     facts = spark.read.parquet(raw_table).filter(F.col("batch_id") == batch_id)
-    # The index is the item table itself: slim columns of the days a look-back can reach.
+    keys = facts.select("id", "ts", "text_hash", "simhash")
+    write_index(keys, store, batch_id)
     reach = F.make_dt_interval(days=F.lit(fixed.EXACT_LOOKBACK_DAYS))
-    stored = sinks.read_table(spark, raw_table, RAW_TABLE, batch_id)
-    index = stored.filter(F.col("ingest_date") >= F.to_date(F.lit(bounds["first"]) - reach))
-    result = flow.resolve(facts, tables.authors(), rules, index, classifier_on, zone, moment)
+    index = sinks.read_table(spark, f"{store}/item_keys", ITEM_KEYS, batch_id)
+    index = index.filter(F.col("day") >= F.to_date(F.lit(bounds["first"]) - reach))
+    near_index = read_near_index(keys, store, batch_id)
+    result = flow.resolve(
+        facts, tables.authors(), rules, index, classifier_on, zone, moment, near_index
+    )
     sinks.write_batch(result.duplicates, f"{store}/duplicates", batch_id)
     sinks.write_batch(result.work, f"{store}/work", batch_id)
     sinks.write_matches(result.matches, f"{store}/matches", batch_id)
@@ -128,25 +253,42 @@ def read_raw_items(spark: SparkSession, store: str) -> DataFrame:
 
 
 def run_items(
-    items: DataFrame, store: str, checkpoint: str, tables: Tables, **settings
+    items: DataFrame,
+    store: str,
+    checkpoint: str,
+    tables: Tables,
+    edge: Edge | None = None,
+    **settings,
 ) -> StreamingQuery:
-    """Stream of items into the store; processes what is there and stops."""
+    """Stream of items into the store; processes what is there and stops.
+
+    With an ``edge`` late and repeated items are turned away first.
+    """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        store_batch(with_ids(batch, batch_id), batch_id, store, tables, **settings)
+        numbered = with_ids(batch, batch_id)
+        entered = enter(numbered, batch_id, store, edge) if edge else numbered
+        store_batch(entered, batch_id, store, tables, **settings)
 
     return _run(items, handle, checkpoint)
 
 
 def run_messages(
-    raw: DataFrame, store: str, checkpoint: str, tables: Tables, **settings
+    raw: DataFrame,
+    store: str,
+    checkpoint: str,
+    tables: Tables,
+    edge: Edge | None = None,
+    **settings,
 ) -> StreamingQuery:
     """Stream of JSON messages; unusable ones go to the quarantine table."""
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         parsed = with_ids(messages.parse_messages(batch), batch_id)
         sinks.write_batch(messages.bad_messages(parsed), f"{store}/quarantine", batch_id)
-        store_batch(messages.good_items(parsed), batch_id, store, tables, **settings)
+        good = messages.good_items(parsed)
+        entered = enter(good, batch_id, store, edge) if edge else good
+        store_batch(entered, batch_id, store, tables, **settings)
 
     return _run(raw, handle, checkpoint)
 
