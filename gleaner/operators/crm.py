@@ -297,9 +297,13 @@ def with_total(page: DataFrame, rows: DataFrame) -> DataFrame:
 def lead_page(
     rows: DataFrame, limit: int = fixed.PAGE_SIZE, offset: int = 0
 ) -> DataFrame:
-    """One page of ``lead_rows``, newest first, with the total of the slice."""
+    """One page of ``lead_rows``, newest first, with the total of the slice.
+
+    The rows, which hold no texts, are written once, so that the joins behind them run once.
+    """
     if not 1 <= limit <= fixed.MAX_PAGE_SIZE or offset < 0:
         raise ValueError("limit must be 1 to 200 and offset not negative")
+    rows = cut_lineage(rows)
     page = rows.orderBy(F.desc("created_at"), F.desc("id")).offset(offset).limit(limit)
     return with_total(page, rows)
 

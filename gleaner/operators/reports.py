@@ -71,8 +71,12 @@ def weekly_report(
     feedback: DataFrame,
     usage: DataFrame,
     since: Column,
+    quota_now: DataFrame | None = None,
 ) -> DataFrame:
-    """(section, name, value): notified, feedback, precision, calls by outcome, worst sources."""
+    """(section, name, value): notified, feedback, precision, calls by outcome, worst sources, quota.
+
+    ``quota_now`` is the state of the call quotas as ``quota.quota_usage`` gives it.
+    """
 
     def section(df: DataFrame, title: str, name: Column, value: Column) -> DataFrame:
         return df.select(
@@ -94,7 +98,7 @@ def weekly_report(
             )
         ).alias("row")
     ).select(F.col("row.s").alias("section"), F.col("row.k").alias("name"), F.col("row.v").alias("value"))
-    return (
+    report = (
         section(sent, "notified", F.lit("all"), F.col("n"))
         .unionByName(turned)
         .unionByName(section(outcome_counts(usage, since), "calls", F.col("outcome"), F.col("calls")))
@@ -107,6 +111,12 @@ def weekly_report(
             )
         )
     )
+    if quota_now is None:
+        return report
+    for used in ("day_used", "min_used"):
+        name = F.concat_ws(" ", "circuit", F.lit(used))
+        report = report.unionByName(section(quota_now, "quota", name, F.col(used)))
+    return report
 
 
 def author_counters(feedback: DataFrame, matches: DataFrame, raw_items: DataFrame) -> DataFrame:

@@ -6,6 +6,8 @@ derives the same rows.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,6 +45,8 @@ KEYWORD_ROWS = [
 
 # What the test documents lack, by remainder of the document number: (modulus, remainder, text).
 TITLE_LABELS = [(40, 0, "[Hiring] "), (40, 13, "[Task] "), (40, 27, "[For Hire] ")]
+SHORT_LABEL = "[Hiring] "  # on every second short text without another label: (characters below)
+SHORT_TEXT = 140
 TITLE_ENDS = [(19, 6, " or not?")]
 BODY_ENDS = [
     (11, 3, "\nDeliverables: reports\n- one\n- two\n3. three"),
@@ -53,6 +57,12 @@ BODY_ENDS = [
 MINUTES_BETWEEN_ITEMS = 97
 
 
+def short_label(number: Column, text: Column) -> Column:
+    labelled = [number % m == r for m, r, _ in TITLE_LABELS]
+    plain = ~functools.reduce(Column.__or__, labelled)
+    return F.when(plain & (number % 2 == 1) & (F.length(text) < SHORT_TEXT), SHORT_LABEL).otherwise("")
+
+
 def added(number: Column, table: list[tuple[int, int, str]]) -> Column:
     parts = [F.when(number % m == r, text).otherwise("") for m, r, text in table]
     return F.concat(*parts)
@@ -93,6 +103,7 @@ def feed_items(spark: SparkSession, folder: str) -> DataFrame:
     n = F.col("doc_id")
     title = F.concat(
         added(n, TITLE_LABELS),
+        short_label(n, F.col("text")),
         F.when(cut > 0, F.substring(F.col("text"), F.lit(1), cut - 1)).otherwise(F.col("text")),
         added(n, TITLE_ENDS),
     )
@@ -185,14 +196,16 @@ def raw_items(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def feedback(spark: SparkSession, folder: str) -> DataFrame:
-    labels = table(spark, folder, "labels")
+    """Votes from the labels; some authors get bad votes only, some none (see the 50 handles)."""
     n = F.col("doc_id")
+    labels = table(spark, folder, "labels").filter(n % 10 != 8)
+    bad = (F.col("quality") == 0) | (n % 10 == 7)
     reasons = F.array(*map(F.lit, fixed.FEEDBACK_REASONS))
     return labels.select(
         n.alias("id"),
         n.alias("match_id"),
-        F.when(F.col("quality") == 1, "good").otherwise("bad").alias("verdict"),
-        F.when(F.col("quality") == 0, F.element_at(reasons, (n % 8 + 1).cast("int"))).alias("reason"),
+        F.when(bad, "bad").otherwise("good").alias("verdict"),
+        F.when(bad, F.element_at(reasons, (n % 8 + 1).cast("int"))).alias("reason"),
         minutes_after_start(n).alias("created_at"),
     )
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from gleaner import fixed_values as fixed
+from gleaner import rules as rule_tables
 from gleaner.plans import corpus
 
 ORACLE: dict[str, str] = {}
@@ -62,6 +63,8 @@ cut AS (SELECT *, strpos(text, chr(10)) AS nl FROM documents),
 items AS (
   SELECT doc_id AS id, CAST(doc_id AS VARCHAR) AS item_id, source,
     {_added(corpus.TITLE_LABELS)}
+      || CASE WHEN length(text) < {corpus.SHORT_TEXT} AND doc_id % 2 = 1 AND doc_id % 40 NOT IN (0, 13, 27)
+        THEN '{corpus.SHORT_LABEL}' ELSE '' END
       || CASE WHEN nl > 0 THEN left(text, nl - 1) ELSE text END || {_added(corpus.TITLE_ENDS)} AS title,
     CASE WHEN nl > 0 THEN substr(text, nl + 1) ELSE '' END || {_added(corpus.BODY_ENDS)} AS body,
     nl > 0 OR {_added(corpus.BODY_ENDS)} <> '' AS has_body,
@@ -159,10 +162,9 @@ gated AS (
       THEN 'HF-2_no_signal' END AS hf2,
     CASE WHEN NOT (len(hiring) > 0 OR len(pain) > 0 OR help_request OR hiring_tag)
       THEN 'HF-2_no_signal' END AS hf2_all,
-    CASE WHEN length(text_norm) <= 20000 AND (
-        coalesce(list_min(closed_at) < 200, false)
+    CASE WHEN coalesce(list_min(closed_at) < 200, false)
         OR (len(hiring_at) > 0 AND len(list_filter(closed_at, lambda p:
-            abs({_token('p')} - {_token('hiring_at[1]')}) <= 6)) > 0))
+            abs({_token('p')} - {_token('hiring_at[1]')}) <= 6)) > 0)
       THEN 'HF-3_closed' END AS hf3,
     CASE WHEN circuit = 'main' AND length(text_norm) < 150
         AND NOT (len(hiring) > 0 OR len(pain) > 0 OR help_request) THEN 'HF-4_low_info' END AS hf4,
@@ -282,8 +284,8 @@ raw_items AS (
   FROM documents)"""
 FEEDBACK = f"""
 feedback AS (
-  SELECT doc_id AS id, doc_id AS match_id, CASE WHEN quality = 1 THEN 'good' ELSE 'bad' END AS verdict,
-    {minutes('doc_id')} AS created_at FROM labels)"""
+  SELECT doc_id AS id, doc_id AS match_id, CASE WHEN quality = 0 OR doc_id % 10 = 7 THEN 'bad' ELSE 'good' END AS verdict,
+    {minutes('doc_id')} AS created_at FROM labels WHERE doc_id % 10 <> 8)"""
 USAGE = """
 usage_log AS (
   SELECT event_id AS id, CASE WHEN user_id % 2 = 0 THEN 'main' ELSE 'browse' END AS circuit,
@@ -443,8 +445,9 @@ ORACLE["passed_by_intent"] = (
     f"{SCORED} SELECT intent_tag, count(*) AS items FROM replayed WHERE dry_rule IS NULL GROUP BY intent_tag"
 )
 ORACLE["top_candidates"] = (
-    f"{SCORED} SELECT id, score, intent_tag, source_name AS source FROM replayed WHERE dry_rule IS NULL "
-    "ORDER BY score DESC, id LIMIT 10"
+    f"{SCORED} SELECT id, score, intent_tag, source_name AS source, left(title, 100) AS title, "
+    "(SELECT string_agg(rule || '=' || points, ',' ORDER BY rule) FROM fired WHERE fired.id = replayed.id) AS signals "
+    "FROM replayed WHERE dry_rule IS NULL ORDER BY score DESC, id LIMIT 10"
 )
 ORACLE["translate_set"] = (
     f"{GATED},{score_relations(help_min=100)} SELECT id, score FROM flagged WHERE would_notify "
@@ -575,12 +578,19 @@ ORACLE["period_stats"] = f"""{STORED},{_VOTES} SELECT
 _TOP_BAD = f"""top_bad AS (SELECT r.source, count(*) AS bad FROM feedback f JOIN matches m ON m.id = f.match_id
   JOIN raw_items r ON r.id = m.raw_item_id WHERE f.created_at >= {_SINCE} AND f.verdict = 'bad'
   GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 5)"""
-ORACLE["weekly_report"] = f"""{STORED},{_VOTES},{_TOP_BAD}
+_USED = """
+minutes AS (SELECT circuit, date_trunc('minute', created_at) AS minute, count(*) AS n FROM usage_log
+  WHERE created_at <= TIMESTAMP '2024-01-10 12:00:00' AND created_at >= TIMESTAMP '2024-01-10' GROUP BY ALL),
+used AS (SELECT circuit, sum(least(n, 1)) AS day_used,
+  coalesce(sum(n) FILTER (minute = TIMESTAMP '2024-01-10 12:00:00'), 0) AS min_used FROM minutes GROUP BY circuit)"""
+ORACLE["weekly_report"] = f"""{STORED},{_VOTES},{_TOP_BAD},{_USED}
 SELECT 'notified' AS section, 'all' AS name, count(*)::DOUBLE AS value FROM matches WHERE notified_at >= {_SINCE}
 UNION ALL SELECT 'feedback', 'good', good FROM votes UNION ALL SELECT 'feedback', 'bad', bad FROM votes
 UNION ALL SELECT 'precision', 'all', CASE WHEN good + bad > 0 THEN good::DOUBLE / (good + bad) END FROM votes
 UNION ALL SELECT 'calls', outcome, count(*) FROM usage_log WHERE created_at >= {_SINCE} GROUP BY outcome
-UNION ALL SELECT 'bad_by_source', source, bad FROM top_bad"""
+UNION ALL SELECT 'bad_by_source', source, bad FROM top_bad
+UNION ALL SELECT 'quota', circuit || ' day_used', day_used FROM used
+UNION ALL SELECT 'quota', circuit || ' min_used', min_used FROM used"""
 ORACLE["weekly_top_bad"] = f"{STORED},{_TOP_BAD} SELECT * FROM top_bad"
 ORACLE["calls_by_outcome"] = (
     f"{STORED} SELECT outcome, count(*) AS calls FROM usage_log WHERE created_at >= TIMESTAMP '2024-01-10' GROUP BY 1"
@@ -703,6 +713,19 @@ ORACLE["keywords_after_log"] = (
 )
 ORACLE["dictionary_listing"] = f"""WITH {_LOG} SELECT dict_type, count(*) OVER (PARTITION BY dict_type) AS terms, term, weight
 FROM folded WHERE inserted AND enabled"""
+_SEEDS = ", ".join(
+    f"({_quoted(kind)}, {_quoted(term)}, {weight})" for kind, term, weight, _, _ in rule_tables.seed_keyword_rows()
+)
+_SEED_WEIGHTS = ", ".join(f"({_quoted(key)}, {weight})" for key, weight in fixed.RULE_WEIGHTS.items())
+ORACLE["seeded_rules"] = f"""WITH {_LOG},
+kept AS (SELECT dict_type, term, weight, enabled FROM folded WHERE inserted),
+seeds(dict_type, term, weight) AS (VALUES {_SEEDS}), seed_weights(key, weight) AS (VALUES {_SEED_WEIGHTS}),
+edited AS (SELECT CASE WHEN user_id % 2 = 0 THEN 'has_sections' ELSE 'no_body' END AS key,
+  arg_max(CAST(json_extract_string(props, '$.k') AS BIGINT), (ts, event_id)) AS weight FROM events GROUP BY 1)
+SELECT * FROM kept
+UNION ALL SELECT dict_type, term, weight, true FROM seeds WHERE (dict_type, term) NOT IN (SELECT (dict_type, term) FROM kept)
+UNION ALL SELECT 'weight', key, weight, true FROM edited
+UNION ALL SELECT 'weight', key, weight, true FROM seed_weights WHERE key NOT IN (SELECT key FROM edited)"""
 ORACLE["weight_state"] = f"""WITH log AS (
   SELECT event_id AS id, ts, CASE WHEN user_id = 0 THEN '{fixed.THRESHOLD_KEY}' ELSE 'rule' || user_id END AS key,
     CAST(json_extract_string(props, '$.k') AS BIGINT) AS weight FROM events)

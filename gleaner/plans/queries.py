@@ -191,11 +191,6 @@ def simhash_md5(spark, folder):
     )
 
 
-@register
-def simhash_blake2b(spark, folder):
-    return _norm(spark, folder).select("id", hashing.simhash64(F.col("text_norm")).alias("simhash"))
-
-
 @register
 def simhash_bands(spark, folder):
     df = simhash_md5(spark, folder)
@@ -258,14 +253,11 @@ def hf_each(spark, folder):
     df = _matched(spark, folder)
     norm, terms, tag = F.col("text_norm"), F.col("terms"), F.col("tag")
     helped, skip = F.col("help_request"), F.col("circuit") != "main"
-    closed = F.when(
-        F.length(norm) <= fixed.MAX_LENGTH, gates.closed_gate(norm, terms["hiring"], RULES)
-    )
     return df.select(
         "id",
         gates.length_gate(norm).alias("hf1"),
         gates.signal_gate(terms, tag, helped, skip).alias("hf2"),
-        closed.alias("hf3"),
+        gates.closed_gate(norm, terms["hiring"], RULES).alias("hf3"),
         gates.low_info_gate(norm, terms, helped, skip).alias("hf4"),
         gates.offer_gate(norm, tag, RULES).alias("hf5"),
         gates.body_gate(F.col("has_body"), terms["hiring"], tag).alias("hf6"),
@@ -305,7 +297,9 @@ def passed_by_intent(spark, folder):
 
 @register
 def top_candidates(spark, folder):
-    return items.top_candidates(_replayed(spark, folder)).drop("signals", "title")
+    fired = F.array_sort(F.map_entries("signals"))
+    named = F.transform(fired, lambda e: F.concat(e.key, F.lit("="), e.value.cast("string")))
+    return items.top_candidates(_replayed(spark, folder)).withColumn("signals", named)
 
 
 @register
@@ -606,7 +600,9 @@ def period_stats(spark, folder):
 @register
 def weekly_report(spark, folder):
     raw, matches, votes = _tables(spark, folder)
-    return reports.weekly_report(raw, matches, votes, corpus.usage_log(spark, folder), at(SINCE))
+    usage = corpus.usage_log(spark, folder)
+    used = quota.quota_usage(_calls(spark, folder), at("2024-01-10 12:00:00"), per_minute=1)
+    return reports.weekly_report(raw, matches, votes, usage, at(SINCE), used)
 
 
 @register
@@ -815,6 +811,25 @@ def keywords_after_log(spark, folder):
     return admin.keyword_state(log.filter("action = 'del'"), table)
 
 
+@register
+def seeded_rules(spark, folder):
+    """Seed keywords and weights put in beside what the change logs leave; edited rows stay."""
+    keywords = admin.keyword_state(corpus.keyword_log(spark, folder)).drop("maps_to")
+    key = ["dict_type", "term"]
+    filled = admin.insert_if_absent(keywords, rule_tables.seed_keywords(spark).drop("maps_to"), key, key)
+    log = corpus.numbered_events(spark, folder).select(
+        F.col("event_id").alias("id"), "ts", F.col("k").alias("weight"),
+        F.when(F.col("user_id") % 2 == 0, "has_sections").otherwise("no_body").alias("key"),
+    )
+    edited = admin.weights_listing(admin.weight_state(log)).select("key", F.col("weight").cast("int").alias("weight"))
+    weights = admin.insert_if_absent(edited, rule_tables.seed_rule_weights(spark), ["key"], ["key"])
+    return filled.unionByName(
+        weights.select(
+            F.lit("weight").alias("dict_type"), F.col("key").alias("term"), "weight", F.lit(True).alias("enabled")
+        )
+    )
+
+
 @register
 def dictionary_listing(spark, folder):
     return rule_tables.dictionary_listing(admin.keyword_state(corpus.keyword_log(spark, folder)))

@@ -74,9 +74,10 @@ def send_waiting(
     )
     log = sinks.read_table(spark, f"{store}/deliveries", DELIVERIES, run)
     last = log.orderBy(F.desc("sent_at"), F.desc("match_id")).limit(limit)
-    before = last.select(
-        F.col("match_id").alias("id"), "requested_at", F.col("sent_at").alias("ts"), F.lit(True)
-    )
+    # The queue is first in, first out: what has been given a time goes before all that is new.
+    before = last.select(-1 - F.col("match_id"), "requested_at", F.col("sent_at").alias("ts"), F.lit(True))
+    taken = log.agg(F.max("sent_at")).first()[0]
+    waiting = waiting.withColumn("ts", F.greatest("ts", F.lit(taken).cast("timestamp")))
     requests = cut_lineage(waiting.unionAll(before))
     times = reports.send_times(requests.select("id", "ts"), limit, seconds)
     new = requests.filter("NOT sent").select("id", "created_at").join(times, "id")

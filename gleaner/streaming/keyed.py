@@ -61,6 +61,12 @@ def entries(rows: Iterator[pd.DataFrame]) -> np.ndarray:
     return np.sort(np.concatenate([np.zeros(0, ENTRY), *parts]), order=["at", "id"])
 
 
+def emitted(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    """``rows`` if there are any; columns of an empty frame have no type that Spark could take."""
+    if len(rows):
+        yield rows
+
+
 def milliseconds(micros: int) -> int:
     return -(-int(micros) // 1000)
 
@@ -103,7 +109,7 @@ class FirstWithin(StatefulProcessor):
             today = today[np.unique(today["at"], return_index=True)[1]]
             self.days.updateValue((day,), (today.tobytes(),))
             self.handle.registerTimer(milliseconds((day + 1) * DAY + self.span))
-        yield pd.DataFrame({"id": own["id"][hit], "original": first["id"][hit]})
+        yield from emitted(pd.DataFrame({"id": own["id"][hit], "original": first["id"][hit]}))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         day = (expiredTimerInfo.getExpiryTimeInMs() * 1000 - self.span) // DAY - 1
@@ -150,7 +156,7 @@ class Gate(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         if key[2]:
             for part in rows:
-                yield part[CALL_COLUMNS]
+                yield from emitted(part[CALL_COLUMNS])
             return
         own = pd.concat(list(rows)).sort_values(["at", "id"], ignore_index=True)
         window = own["at"] // self.width
@@ -163,7 +169,7 @@ class Gate(StatefulProcessor):
             self.used.updateValue((int(number),), (int(before[number] + calls),))
             self.handle.registerTimer(milliseconds((int(number) + 1) * self.width))
         own["admission"] = np.where(passed, "ok", self.refusal)
-        yield own[CALL_COLUMNS]
+        yield from emitted(own[CALL_COLUMNS])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         window = expiredTimerInfo.getExpiryTimeInMs() * 1000 // self.width - 1
@@ -224,7 +230,8 @@ class Silence(StatefulProcessor):
     @staticmethod
     def _alerts(key, starts, by_timer: bool) -> pd.DataFrame:
         starts = np.asarray(starts, np.int64)
-        return pd.DataFrame({"circuit": [key[0]] * len(starts), "silent_from": starts, "by_timer": [by_timer] * len(starts)})
+        columns = {"circuit": [key[0]] * len(starts), "silent_from": starts, "by_timer": [by_timer] * len(starts)}
+        return pd.DataFrame(columns)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         beats = np.unique(np.concatenate([part["at"].to_numpy(np.int64) for part in rows]))
@@ -239,13 +246,13 @@ class Silence(StatefulProcessor):
         self.last.update((int(beats[-1]), bool(reported and len(beats) == 1)))
         if not (reported and len(beats) == 1):
             self.handle.registerTimer(milliseconds(beats[-1] + self.limit) + 1)
-        yield self._alerts(key, silent, False)
+        yield from emitted(self._alerts(key, silent, False))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         last, reported = self.last.get()
         if not reported:
             self.last.update((last, True))
-        yield self._alerts(key, [] if reported else [last], True)
+        yield from emitted(self._alerts(key, [] if reported else [last], True))
 
     def close(self) -> None:
         pass

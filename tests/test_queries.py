@@ -58,3 +58,9 @@ def test_all_branches_occur(spark):
     )
     assert copies.where("n > 1 AND span > INTERVAL 30 DAYS").count() > 0
     assert copies.where("n > 1 AND span < INTERVAL 14 DAYS").count() > 0
+    for points in (-5, 0, 2):
+        assert rows("author_bonus", F.col("author_bonus") == points) > 0, points
+    assert rows("hf_chain", "reject_rule = 'HF-4_low_info'") > 0
+    for outcome in ("stored", "late", "repeated"):
+        assert rows("edge_stream", F.col("outcome") == outcome) > 0, outcome
+    assert rows("send_times", "sent_at > ts") > 0 and rows("send_times", "sent_at = ts") > 0
