@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.llm.bpe import ByteBPE
-from gleaner.llm.common import bound_arrow_batches, slices
+from gleaner.llm.common import bound_arrow_batches, claim, keeps, slices
 from gleaner.llm.packing import WORDS
 from gleaner.session import cut_lineage
 
@@ -219,10 +219,12 @@ class Chunk:
 
 
 _loaded: dict[int, Pair] = {}
+keeps("align", _loaded.clear)
 
 
 def loaded(definition: Broadcast[bytes], pieces: Broadcast[bytes]) -> Pair:
     """Both tokenizers, built once in each worker."""
+    claim("align")
     key = hash((definition.value, pieces.value))
     if key not in _loaded:
         _loaded.clear()

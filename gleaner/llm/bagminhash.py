@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import bound_arrow_batches, slices
+from gleaner.llm.common import bound_arrow_batches, claim, keeps, slices
 from gleaner.llm.graphs import components
 from gleaner.session import broadcast_if_small, cut_lineage
 
@@ -73,6 +73,7 @@ class WordHashes(dict):
 
 
 _hashes = WordHashes()
+keeps("bagminhash", _hashes.clear)
 
 
 def shingles(words: list[str], size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -225,6 +226,7 @@ def signed(docs: DataFrame, keep: Sequence[str], bands: int, rows: int, size: in
     bound_arrow_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("bagminhash")
         for batch in batches:
             for part, texts in slices(batch, "text", SLICE_CHARS):
                 digests, multisets = [], []
@@ -263,6 +265,7 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float, size: int) ->
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("bagminhash")
         last, multiset = None, None  # pairs of one leader tend to follow each other
         for batch in batches:
             kept: tuple[list, list] = ([], [])
@@ -419,6 +422,7 @@ def multiset_tokens(rows: DataFrame, size: int) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("bagminhash")
         for batch in batches:
             tokens = []
             for text in batch.column("text"):

@@ -26,7 +26,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import bound_arrow_batches, slices
+from gleaner.llm.common import bound_arrow_batches, claim, keeps, slices
 
 # Letters and numbers that Unicode 16 has added to Unicode 15.1, as first and last
 # code point.  The tokenizers know them; Python's tables may be older.
@@ -163,10 +163,12 @@ class ByteBPE(dict):
 
 
 _loaded: dict[int, ByteBPE] = {}
+keeps("bpe", _loaded.clear)
 
 
 def tokenizer(definition: Broadcast[bytes]) -> ByteBPE:
     """The tokenizer of a broadcast definition, built once in each worker."""
+    claim("bpe")
     key = hash(definition.value)
     if key not in _loaded:
         _loaded.clear()

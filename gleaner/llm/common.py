@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -51,3 +53,30 @@ def count_up_to(key: Column, bounds: Sequence[str]) -> Column:
     skipped = F.size(F.filter(coarse, lambda x: x <= key)) * F.lit(step)
     fine = F.filter(F.slice(every, skipped + 1, F.lit(step)), lambda x: x <= key)
     return skipped + F.size(fine)
+
+
+# What a Python worker keeps from task to task: how each operator empties its own store, and which
+# operator ran last.  Workers live as long as their executor and serve one stage after the other.
+_stores: dict[str, Callable[[], None]] = {}
+_last: list[str] = []
+
+
+def keeps(owner: str, forget: Callable[[], None]) -> None:
+    """Declare that ``owner`` keeps something in its workers, and how to drop it."""
+    _stores[owner] = forget
+
+
+def claim(owner: str) -> None:
+    """Called first in a task: if another operator ran last in this worker, what all others keep goes."""
+    if _last == [owner]:
+        return
+    _last[:] = [owner]
+    for name, forget in _stores.items():
+        if name != owner:
+            forget()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    # The C library keeps freed pieces unless it is told to give them back.
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import bound_arrow_batches, slices
+from gleaner.llm.common import bound_arrow_batches, claim, keeps, slices
 
 UNKNOWN = "und"
 DIMENSIONS = 512
@@ -33,6 +33,7 @@ GRAM = 3
 CODES = 128
 PER_LANGUAGE = 2_000
 SLICE_CHARS = 250_000
+KEPT_BYTES = 32_000_000
 SCALE = 1 << 20  # document vectors become integers, so that sums do not depend on their order
 SEED = 8191
 
@@ -55,15 +56,23 @@ def letter_codes() -> np.ndarray:
 
 
 class Profiler:
-    """Bundles of n-gram vectors for many texts at once."""
+    """Bundles of n-gram vectors for many texts at once.
 
-    def __init__(self, dimensions: int = DIMENSIONS):
+    N-gram vectors that have been made are kept up to ``most_bytes``; beyond that they are made anew.
+    """
+
+    def __init__(self, dimensions: int = DIMENSIONS, most_bytes: int = KEPT_BYTES):
         self.codes = letter_codes()
         random = np.random.default_rng(SEED)
         signs = random.integers(0, 2, (CODES, dimensions), dtype=np.int8) * 2 - 1
         self.placed = [np.roll(signs, GRAM - 1 - place, axis=1) for place in range(GRAM)]
         self.row_of = np.full(CODES**GRAM, -1, np.int32)
         self.vectors = np.zeros((0, dimensions), np.int8)
+        self.most = most_bytes // dimensions
+
+    def forget(self) -> None:
+        self.row_of.fill(-1)
+        self.vectors = self.vectors[:0].copy()
 
     def grams(self, text: str) -> np.ndarray:
         """Rows of the text's n-grams in the table of n-gram vectors; words are parted by a blank."""
@@ -99,6 +108,10 @@ class Profiler:
         size = 0
         for number, text in enumerate(texts):
             for at in range(0, len(text or ""), SLICE_CHARS):
+                if len(self.vectors) > self.most:
+                    self._add_up(out, owners, grams)
+                    owners, grams, size = [], [], 0
+                    self.forget()
                 # Parts of a long text overlap by the letters of an n-gram that crosses the border.
                 found = self.grams(text[max(0, at - GRAM + 1) : at + SLICE_CHARS])
                 if size + found.size > 2 * SLICE_CHARS:
@@ -135,10 +148,12 @@ class Model:
 
 
 _profilers: dict[int, Profiler] = {}
+keeps("langid", _profilers.clear)
 
 
 def profiler(dimensions: int) -> Profiler:
-    """One profiler per worker: n-gram vectors are made once."""
+    """One profiler per worker: n-gram vectors are made once, as long as there is room for them."""
+    claim("langid")
     if dimensions not in _profilers:
         _profilers[dimensions] = Profiler(dimensions)
     return _profilers[dimensions]

@@ -553,3 +553,115 @@ def test_toxicity_learns_from_long_texts_and_from_copies(spark):
     whole = docs.where("doc_id < 2").select(toxicity.excerpt(F.col("text"), 3_000).alias("t")).collect()
     assert all(len(r["t"]) <= 3_010 and r["t"].count(toxicity.PIECE_END) == 4 for r in whole)
     assert {r["t"] for r in docs.where("doc_id < 2").select(toxicity.excerpt(F.col("text"), 10**6).alias("t")).collect()} == {t for _, t in rows[:2]}
+
+
+def test_workers_drop_what_other_operators_keep():
+    from gleaner.llm import common
+
+    kept = {"a": [1], "b": [2]}
+    for name, values in kept.items():
+        common.keeps(name, values.clear)
+    common.claim("a")
+    assert kept == {"a": [1], "b": []}
+    kept["b"].append(3)
+    common.claim("a")  # the same operator again: nothing goes
+    assert kept == {"a": [1], "b": [3]}
+    common.claim("b")
+    assert kept == {"a": [], "b": [3]}
+    for name in kept:
+        del common._stores[name]
+
+
+def test_language_vectors_are_bounded():
+    import numpy as np
+
+    texts = ["".join(chr(0x61 + (i * k) % 26) for i in range(400)) + chr(0xE0 + k % 20) for k in range(1, 40)]
+    whole = langid.Profiler(64)
+    small = langid.Profiler(64, most_bytes=64 * 50)
+    assert np.array_equal(whole.bundle(texts), small.bundle(texts))
+    assert len(small.vectors) < len(whole.vectors)
+
+
+def test_toxicity_scorer_equals_a_walk_word_by_word():
+    """All overlapping windows, one after the other, one word after the other."""
+    import numpy as np
+
+    random = np.random.default_rng(7)
+    words = [f"word{i}" for i in range(60)]
+    odds = random.standard_normal(toxicity.CHAR_BUCKETS).astype(np.float32)
+    net = toxicity.Network.fresh({w: i for i, w in enumerate(words[:40], 1)}, np.zeros(41, np.float32), odds)
+    w = net.weights
+    size = toxicity.STATE
+
+    def logistic(x):
+        return 1 / (1 + np.exp(-x.astype(np.float64)))
+
+    def window_logit(window):
+        vectors = net.inputs(window)[0] if window else np.zeros((0, 1))
+        states = {}
+        for way, order in (("f", range(len(window))), ("b", reversed(range(len(window))))):
+            state = np.zeros(size)
+            for t in order:
+                x = vectors[t] @ w[way + "in"] + w[way + "bias"]
+                inner = state @ w[way + "rec"]
+                z, r = logistic(x[:size] + inner[:size]), logistic(x[size : 2 * size] + inner[size : 2 * size])
+                new = np.tanh(x[2 * size :] + r * inner[2 * size :])
+                state = z * state + (1 - z) * new
+                states[way, t] = state
+        if not window:
+            return w["bias"][0]
+        both = np.array([np.concatenate([states["f", t], states["b", t]]) for t in range(len(window))])
+        energy = np.tanh(both @ w["attend"]) @ w["focus"]
+        share = np.exp(energy - energy.max())
+        return (share / share.sum()) @ both @ w["out"] + w["bias"][0]
+
+    texts = [" ".join(random.choice(words, n)) for n in (1, 7, 31, 32, 33, 40, 41, 95, 200)] + ["", None]
+    wanted = []
+    for text in texts:
+        found = (text or "").split()
+        starts = [s for s in range(0, len(found), toxicity.STRIDE) if s == 0 or s + toxicity.WINDOW - toxicity.STRIDE < len(found)]
+        wanted.append(max(window_logit(found[s : s + toxicity.WINDOW]) for s in starts or [0]))
+    assert np.allclose(toxicity.Scorer(net).logits(texts), wanted, atol=1e-4)
+
+
+@pytest.mark.parametrize("nodes", [1, 4, 128])
+def test_ring_equals_a_walk_row_by_row(spark, nodes):
+    """Rows in ring order, each to the first shard with room among those it meets clockwise."""
+    shards = 8
+    docs = spark.range(3_001).select(
+        F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.col("id") % 700).alias("text")
+    )
+    points = ring.ring_points(spark, shards, nodes)
+    ways = ring.ways(points, shards)
+    crc, size = F.crc32(F.col("text").cast("binary")), (F.octet_length("text") + 1).cast("bigint")
+    at = ring.place(F.col("doc_id"), crc, size)
+    buckets = max(ring.LEAST_BUCKETS, -(-3_001 // (len(points) * ring.ROWS_PER_CELL)))
+    bucket = F.pmod(F.xxhash64("at", F.lit("cell")), F.lit(buckets))
+    placed = docs.select("doc_id", at.alias("at")).withColumn("bucket", bucket).collect()
+    rows = []
+    for r in placed:
+        arc = next((n for n, (p, _) in enumerate(points) if int(p) >= r["at"]), 0)
+        rows.append((arc, r["bucket"], r["at"], r["doc_id"]))
+    room = [3_001 // shards + (s < 3_001 % shards) for s in range(shards)]
+    taken = [0] * shards
+    waiting, wanted = sorted(rows), {}
+    for step in range(shards):
+        left = []
+        for row in waiting:
+            shard = ways[row[0]][step]
+            if taken[shard] < room[shard]:
+                wanted[row[3]] = (shard, taken[shard])
+                taken[shard] += 1
+            else:
+                left.append(row)
+        waiting = left
+    got = {r["doc_id"]: (r["shard"], r["slot"]) for r in ring.bounded_ring(docs, shards, nodes).collect()}
+    assert not waiting and got == wanted
+
+
+def test_ring_with_a_shard_more(spark):
+    """A ninth shard must take a ninth of the rows; bounded loads move some more."""
+    docs = spark.range(9_000).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"))
+    eight, nine = ({r["doc_id"]: r["shard"] for r in ring.bounded_ring(docs, n).collect()} for n in (8, 9))
+    moved = sum(eight[i] != nine[i] for i in eight)
+    assert 1_000 <= moved < 3_000
