@@ -5,9 +5,9 @@ values, dimension by dimension, of the vectors of its letter n-grams (three to s
 and backwards, attention pools their states, and a logistic unit scores the window.  A text is
 covered by overlapping windows, all are scored, and the highest score is the text's.
 
-Training (numpy, on the driver) takes at most ``per_class`` short labelled texts of each class, drawn
-by a hash; a class without short texts gives pieces from the whole length of its long ones.  The
-bounds are parameters.  A toxic text only says that some window is toxic, so
+Training (numpy, on the driver) takes at most ``per_class`` labelled texts of each class, drawn by a
+hash whatever their length; very long ones give pieces from their whole length.  The bounds are
+parameters.  A toxic text only says that some window is toxic, so
 the window with the highest score stands for it, at first by word odds, then by the network itself.
 Scoring covers whole texts and runs in tasks, with the layers' input products kept per word.
 
@@ -29,14 +29,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import bound_arrow_batches, slices
+from gleaner.llm.common import bound_arrow_batches, claim, slices
 
-WINDOW, STRIDE = 32, 24
+WINDOW, STRIDE = 32, 8
+TRAINING_STRIDE = 24
 WORD_SIZE, CHAR_SIZE, STATE, ATTENTION = 12, 8, 12, 12
 CHAR_BUCKETS = 1 << 15
 GRAMS = (3, 4, 5, 6)
 PER_CLASS = 2_000
-TRAINING_CHARS = 6_000
+TRAINING_CHARS = 12_000
 COPY_SHARE = 0.5
 PIECE_CHARS, PIECE_END = 600, "\x1d"
 STEPS, ROUNDS, BATCH = 960, 8, 96
@@ -44,7 +45,7 @@ RATE = 0.001
 ALARM_COST = 3
 KEPT_WORDS = 60_000
 SLICE_CHARS = 500_000
-BLOCK = 512
+BLOCK = 1024
 
 words_of = re.compile(r"\w+").findall
 
@@ -74,9 +75,9 @@ def _starts(counts: np.ndarray) -> np.ndarray:
     return np.cumsum(counts) - counts
 
 
-def window_starts(words: int) -> range:
+def window_starts(words: int, stride: int = STRIDE) -> range:
     """Starts of overlapping windows that cover all words; one window at least."""
-    return range(0, max(1, words - (WINDOW - STRIDE)), STRIDE)
+    return range(0, max(1, words - (WINDOW - stride)), stride)
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -230,21 +231,25 @@ class Scorer:
 
     def _reset(self) -> None:
         self.place: dict[str, int] = {}
-        self.products = np.zeros((0, 6 * STATE), np.float32)
+        # Input products of both gates, halved, and of the new state, for each direction.
+        self.products = {
+            (way, part): np.zeros((0, size * STATE), np.float32)
+            for way in ("f", "b")
+            for part, size in (("gates", 2), ("new", 1))
+        }
         self.used = 0
 
     def _learn(self, words: list[str]) -> None:
         w = self.net.weights
-        both = np.concatenate([w["fin"], w["bin"]], axis=1)
-        bias = np.concatenate([w["fbias"], w["bbias"]])
         for low in range(0, len(words), 20_000):
             part = words[low : low + 20_000]
-            rows = self.net.inputs(part)[0] @ both + bias
-            if self.used + len(part) > len(self.products):
-                grown = np.zeros((max(2 * len(self.products), self.used + len(part)), 6 * STATE), np.float32)
-                grown[: self.used] = self.products[: self.used]
-                self.products = grown
-            self.products[self.used : self.used + len(part)] = rows
+            inputs = self.net.inputs(part)[0]
+            for (way, kind), table in self.products.items():
+                if self.used + len(part) > len(table):
+                    grown = np.zeros((max(2 * len(table), self.used + len(part)), table.shape[1]), np.float32)
+                    grown[: self.used] = table[: self.used]
+                    self.products[way, kind] = table = grown
+                table[self.used : self.used + len(part)] = halved(inputs @ w[way + "in"] + w[way + "bias"], kind)
             for number, word in enumerate(part, self.used):
                 self.place[word] = number
             self.used += len(part)
@@ -286,18 +291,49 @@ class Scorer:
             if not self.used:
                 self._learn([""])
         at = numbers[np.minimum(first + np.minimum(step, np.maximum(size - 1, 0)), len(numbers) - 1)]
-        needed = None if mask.all() else mask
-        forward = self.net.run("f", self.products[at, : 3 * STATE], needed)
-        backward = self.net.run("b", self.products[at, 3 * STATE :], needed)
-        return self.net.pool(np.concatenate([forward, backward], axis=2), mask)[0]
-
-
-def cut_windows(text: str | None, known: dict[str, str]) -> list[list[str]]:
+        states = np.empty((steps, len(size), 2 * STATE), np.float32)
+        self._run("f", at, mask, states[..., :STATE])
+        self._run("b", at[::-1], mask[::-1], states[::-1, :, STATE:])
+        return self.net.pool(states, mask)[0]
+
+    def _run(self, way: str, at: np.ndarray, mask: np.ndarray, states: np.ndarray) -> None:
+        """``Network.run`` in the order of ``at``, in place; 1/(1+exp(-x)) is (1 + tanh(x/2)) / 2."""
+        rows = at.shape[1]
+        recurrent = self.net.weights[way + "rec"]
+        to_gates, to_new = halved(recurrent, "gates"), halved(recurrent, "new")
+        of_gates, of_new = self.products[way, "gates"], self.products[way, "new"]
+        state = np.zeros((rows, STATE), np.float32)
+        gates, gates_inner = np.empty((2, rows, 2 * STATE), np.float32)
+        new, new_inner = np.empty((2, rows, STATE), np.float32)
+        for words, live, out in zip(at, mask, states, strict=True):
+            np.take(of_gates, words, axis=0, out=gates, mode="clip")
+            np.take(of_new, words, axis=0, out=new, mode="clip")
+            gates += np.matmul(state, to_gates, out=gates_inner)
+            np.tanh(gates, out=gates)
+            gates += 1
+            gates *= 0.5
+            np.matmul(state, to_new, out=new_inner)
+            new_inner *= gates[:, STATE:]
+            new += new_inner
+            np.tanh(new, out=new)
+            change = state - new
+            change *= gates[:, :STATE]
+            change += new
+            state = change if live.all() else np.where(live[:, None], change, state)
+            out[:] = state
+
+
+def halved(rows: np.ndarray, kind: str) -> np.ndarray:
+    """The gates' columns, halved, or those of the new state, as an array of their own."""
+    return rows[:, : 2 * STATE] / 2 if kind == "gates" else rows[:, 2 * STATE :].copy()
+
+
+def cut_windows(text: str | None, known: dict[str, str], stride: int = STRIDE) -> list[list[str]]:
     """Windows of a training text; ``known`` keeps one object per word for all texts."""
     windows = []
     for piece in (text or "").lower().split(PIECE_END):
         words = [known.setdefault(word, word) for word in words_of(piece)]
-        windows += [words[s : s + WINDOW] for s in window_starts(len(words))]
+        windows += [words[s : s + WINDOW] for s in window_starts(len(words), stride)]
     return windows
 
 
@@ -315,7 +351,7 @@ def train(texts: Sequence[str], labels: Sequence[int], steps: int = STEPS, seed:
     learned, checked = split(labels)
     known: dict[str, str] = {}
     check_windows, check_marks = [cut_windows(texts[i], known) for i in checked], np.array([labels[i] for i in checked])
-    windows, labels = [cut_windows(texts[i], known) for i in learned], [labels[i] for i in learned]
+    windows, labels = [cut_windows(texts[i], known, TRAINING_STRIDE) for i in learned], [labels[i] for i in learned]
     marks = np.array(labels)
     contents = [sorted({x for window in found for x in window}) for found in windows]
     met = Counter(x for words in contents for x in words)
@@ -446,14 +482,14 @@ def fit(
     per_class: int = PER_CLASS,
     most_chars: int = TRAINING_CHARS,
 ) -> Network | None:
-    """Train on at most ``per_class`` texts of ``most_chars`` characters per class.
+    """Train on at most ``per_class`` texts per class, with ``most_chars`` characters each on average.
 
-    ``trainable`` is a condition on ``doc_id``.  Identifiers of such texts are drawn first; only the
-    texts of those leave their place.  A class that has none gives excerpts of its longer texts.
+    ``trainable`` is a condition on ``doc_id``.  Identifiers are drawn by a hash, whatever the length
+    of their texts; only the texts of those leave their place.  A text longer than its share of the
+    room gives pieces from its whole length.
     """
     drawn = F.xxhash64("doc_id", F.lit("toxicity"))
     texts_of = docs.select("doc_id", "text").where(F.col("text").isNotNull())
-    short = texts_of.where(F.char_length("text") <= most_chars)
     marks = (
         labels.where(trainable & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
         .groupBy("doc_id")
@@ -463,16 +499,13 @@ def fit(
     texts: list[str] = []
     classes: list[int] = []
     for c in (0, 1):
-        own = marks.where(F.col("toxic") == c)
-        for source in (short, texts_of):
-            ids = own.join(source, "doc_id", "left_semi").orderBy("draw", "doc_id").limit(per_class).collect()
-            if ids:
-                break
-        else:
+        own = marks.where(F.col("toxic") == c).join(texts_of, "doc_id", "left_semi")
+        ids = own.orderBy("draw", "doc_id").limit(per_class).collect()
+        if not ids:
             continue
         wanted = docs.sparkSession.createDataFrame(ids, marks.schema)
         room = max(PIECE_CHARS, per_class * most_chars // len(ids))
-        found = source.join(F.broadcast(wanted), "doc_id")
+        found = texts_of.join(F.broadcast(wanted), "doc_id")
         taken = found.select("draw", "doc_id", excerpt(F.col("text"), room).alias("text"))
         for r in taken.orderBy("draw", "doc_id", "text").limit(per_class).collect():
             texts.append(r["text"])
@@ -511,6 +544,7 @@ def score(docs: DataFrame, net: Network | None, keep: Sequence[str] = ("doc_id",
     sent = spark.sparkContext.broadcast(net)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("toxicity")
         scorer = Scorer(sent.value)
         for batch in batches:
             for part, texts in slices(batch, column, SLICE_CHARS):
