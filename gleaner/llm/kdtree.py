@@ -8,8 +8,13 @@ with another shard and goes on in rounds, each over ``GROWTH`` times as many sha
 After a round only the k best of each query are kept, and the k-th score goes into the next one.
 
 Vectors that are null or hold a null or a non-finite component take no part, nor do queries like
-that.  Only vectors of one length are compared with each other.  Repeated rows are candidates of their own, also to each other; ties go to the smaller
-identifier (null last).  An empty table gives an empty result.  Extra columns are ignored.
+that.  Only vectors of one length are compared with each other.  Repeated rows are candidates of
+their own, also to each other; ties go to the smaller identifier (null last).  An empty table gives
+an empty result.  Extra columns are ignored.
+
+Scores are exact: the largest component of the table, found once, decides whether products are summed
+as floating point numbers (below 2^53 all of them are exact) or as 64-bit whole numbers.  Vectors
+whose products do not fit those either are refused with an error.
 """
 
 from __future__ import annotations
@@ -91,7 +96,7 @@ def search(
     bounds = tree.bounds(queries)
     for number, query in enumerate(queries):
         limit = floor[number]
-        best_at, best = np.zeros(0, np.int64), np.zeros(0)
+        best_at, best = np.zeros(0, np.int64), np.zeros(0, tree.points.dtype)
         queue = [(-bounds[number, 0], 0)]
         while queue:
             bound, node = heapq.heappop(queue)
@@ -118,6 +123,23 @@ def search(
             yield number, best_at, best
 
 
+LOWEST = -(2**63)
+EXACT_FLOAT, EXACT_WHOLE = 2**53, 2**63
+
+
+def exact_type(vectors: DataFrame) -> type:
+    """The number type in which all inner products of ``vectors`` are exact."""
+    found = vectors.agg(
+        F.max(F.array_max("ints")).alias("high"), F.min(F.array_min("ints")).alias("low"), F.max(F.size("ints")).alias("size")
+    ).first()
+    largest = max(abs(found["high"] or 0), abs(found["low"] or 0))
+    # No sum of products, nor any part of it, is larger.
+    most = largest * largest * (found["size"] or 0)
+    if most >= EXACT_WHOLE:
+        raise ValueError(f"components up to {largest}: inner products do not fit 64-bit numbers")
+    return np.float64 if most < EXACT_FLOAT else np.int64
+
+
 def rounds(shards: int) -> list[tuple[int, int]]:
     """Ranges of shard distances, each ``GROWTH`` times as long as all before it."""
     ends = [0, 1]
@@ -150,6 +172,7 @@ def top_k(
 
     Both have (row, vec_id, ints) as ``quantised`` gives; rows with the same ``row`` are the same.
     """
+    kind = exact_type(vectors)
     rows = vectors.count()
     shards = max(1, -(-rows // shard_rows))
     blocks = max(1, -(-queries.count() // block_rows))
@@ -164,11 +187,11 @@ def top_k(
     def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         found: dict[str, list] = {name: [np.zeros(0, np.int64)] for name in STATE}
         if len(left) and len(right):
-            tree = Tree(np.array(left["ints"].tolist(), np.float64))
+            tree = Tree(np.array(left["ints"].tolist(), kind))
             ids, rows = left["id"].to_numpy()[tree.order], left["row"].to_numpy()[tree.order]
             own, own_id = right["row"].to_numpy(), right["id"].to_numpy()
-            points = np.array(right["ints"].tolist(), np.float64)
-            for query, at, scores in search(tree, ids, rows, points, own, right["floor"].to_numpy(float), k):
+            points = np.array(right["ints"].tolist(), kind)
+            for query, at, scores in search(tree, ids, rows, points, own, right["floor"].to_numpy(kind), k):
                 parts = (np.full(len(at), own[query]), np.full(len(at), own_id[query]), rows[at], ids[at], scores)
                 for name, part in zip(STATE, parts, strict=True):
                     found[name].append(part.astype(np.int64))
@@ -176,13 +199,13 @@ def top_k(
 
     schema = ", ".join(f"{name} bigint" for name in STATE)
     best = Window.partitionBy("query_row").orderBy(F.desc("score"), "id", "row")
-    nothing = F.lit(float("-inf"))
+    nothing = F.lit(LOWEST).cast("bigint")
     ranked = None
     for low, high in rounds(shards):
         known = asked.withColumn("floor", nothing)
         if ranked is not None:
             kth = ranked.where(F.col("rank") == k).select(
-                F.col("query_row").alias("row"), F.col("score").cast("double").alias("floor")
+                F.col("query_row").alias("row"), F.col("score").alias("floor")
             )
             known = asked.join(kth, "row", "left").withColumn("floor", F.coalesce("floor", nothing))
         left = met(candidates, "block", blocks, shards, low, high).groupBy("length", "shard", "block")

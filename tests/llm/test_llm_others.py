@@ -177,3 +177,24 @@ def test_query_digests(spark):
     assert len(rows) == 1 and rows[0]["n_turns"] == 2 and rows[0]["loss_chars"] == len(hostile)
     assert rows[0]["loss_sha256"] == hashlib.sha256(hostile.encode()).hexdigest()
     assert langid.UNKNOWN == "und"
+
+
+@pytest.mark.parametrize("size", [1e5, 1e6, 3e6])
+def test_top_k_is_exact_with_large_components(spark, size):
+    random = np.random.default_rng(4)
+    rows = [(i, [float(x) for x in (size * random.standard_normal(8)).round()]) for i in range(300)]
+    vectors = kdtree.quantised(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"))
+    from gleaner.session import cut_lineage
+
+    vectors = cut_lineage(vectors)
+    assert kdtree.exact_type(vectors) is (np.float64 if size < 1e6 else np.int64)
+    found = kdtree.top_k(vectors, vectors.where("vec_id % 20 = 0"), 20, 64, 8).collect()
+    assert sorted(map(tuple, found), key=str) == brute_top(rows)
+
+
+@pytest.mark.parametrize("size", [1e8, 1e30])
+def test_top_k_refuses_products_that_do_not_fit(spark, size):
+    rows = [(i, [size * (i + 1)] * 8) for i in range(5)]
+    vectors = kdtree.quantised(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"))
+    with pytest.raises(Exception, match="do not fit|OVERFLOW|overflow"):
+        kdtree.top_k(vectors, vectors).collect()
