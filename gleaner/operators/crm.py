@@ -80,11 +80,16 @@ def command_outcomes(
         .distinct()
         .withColumn("known", F.lit(True))
     )
-    rows = _parsed(commands).join(delivered, "match_id", "left")
+    # What a command writes stays in this table; the fold carries only what its guards ask for.
+    whole = cut_lineage(
+        _parsed(commands)
+        .join(delivered, "match_id", "left")
+        .withColumn("_command", F.monotonically_increasing_id())
+    )
     # Each look-up reads its input twice; stored before it, so that the work does not multiply.
     kind, valid = F.col("kind"), F.col("valid")
     rows = carry_last(
-        cut_lineage(rows),
+        whole.drop("reply_text", "amount", "currency"),
         ["match_id"],
         "ts",
         "cmd_id",
@@ -130,9 +135,8 @@ def command_outcomes(
         .when((kind == "earnings") & ~booked & ~first_booking, BAD_STATE)
         .otherwise(OK)
     )
-    return rows.withColumn("outcome", outcome).drop(
-        "known", "state_before", "deleted_before", "answer_before", "booked_before"
-    )
+    outcomes = rows.select("_command", outcome.alias("outcome"))
+    return whole.join(outcomes, "_command").drop("_command", "known")
 
 
 def crm_state(outcomes: DataFrame) -> DataFrame:
