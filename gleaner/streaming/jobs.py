@@ -161,6 +161,7 @@ def judge(
         place = F.row_number().over(Window.partitionBy("circuit").orderBy("id"))
         # At most as many rows per circuit as calls are left, which Spark cuts before the shuffle.
         first = work.select("id", "circuit").withColumn("_place", place).filter(F.col("_place") <= most)
+        # The table of calls left has one row per circuit.
         within = F.col("_place") <= F.coalesce("calls", F.lit(0))
         passed = broadcast_if_small(
             first.join(F.broadcast(circuits_left), "circuit").filter(within).select("id")

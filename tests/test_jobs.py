@@ -174,17 +174,18 @@ def test_the_edge_turns_late_and_repeated_items_away(spark, tmp_path):
         [("a", at[0]), ("b", at[1]), ("a", at[1]), ("x", None), ("x", None)],
         [("a", at[20]), ("c", at[20]), (None, at[20]), (None, at[20])],
         [("d", at[2]), ("e", at[20]), ("b", at[200])],  # more than six hours before the clock; within; after a week
+        [("z", at[2])],  # nothing enters
     ]
     for number, rows in enumerate(batches):
         batch = spark.createDataFrame([(i, "s", "p", t) for i, t in rows], "item_id string, source string, permalink string, posted_at timestamp")
         for _ in range(2):  # a repeated batch is divided alike
             entered = ingest.enter(ingest.with_ids(batch, number), number, store, ingest.Edge()).collect()
-            latest = spark.createDataFrame([(max([t for _, t in rows if t] + [at[0]]),)], "latest timestamp")
+            latest = spark.createDataFrame([(max(t for _, t in rows if t),)], "latest timestamp")
             sinks.write_batch(latest, f"{store}/clock", number)
         names = sorted(str(r.item_id) for r in entered)
-        assert names == [["a", "b", "x"], ["None", "None", "c"], ["b", "e"]][number]
+        assert names == [["a", "b", "x"], ["None", "None", "c"], ["b", "e"], []][number]
     away = {name: sorted(r.item_id for r in sinks.read_table(spark, f"{store}/{name}", ingest.TURNED_AWAY).collect()) for name in ("late", "repeated")}
-    assert away == {"late": ["d"], "repeated": ["a", "a", "x"]}
+    assert away == {"late": ["d", "z"], "repeated": ["a", "a", "x"]}
 
 
 def test_near_look_up_stores_rows_in_proportion(spark, monkeypatch):
