@@ -45,7 +45,7 @@ RATE = 0.001
 ALARM_COST = 3
 KEPT_WORDS = 60_000
 SLICE_CHARS = 500_000
-BLOCK = 1024
+BLOCK = 768  # so many rows that a product of a step is too small for BLAS to start threads
 
 words_of = re.compile(r"\w+").findall
 
@@ -151,11 +151,11 @@ class Network:
         """Logit of each row, with what the gradient needs."""
         w = self.weights
         hidden = np.tanh(states @ w["attend"])
-        energy = np.where(mask, hidden @ w["focus"], -1e9)
+        energy = np.where(mask, np.einsum("tru,u->tr", hidden, w["focus"]), -1e9)
         share = np.exp(energy - energy.max(axis=0)) * mask
         share /= np.maximum(share.sum(axis=0), 1e-9)
         pooled = (share[:, :, None] * states).sum(axis=0)
-        return pooled @ w["out"] + w["bias"][0], hidden, share, pooled
+        return np.einsum("ru,u->r", pooled, w["out"]) + w["bias"][0], hidden, share, pooled
 
 
 def train_step(net: Network, windows: list[list[str]], labels: np.ndarray, random: np.random.Generator) -> dict:
@@ -244,12 +244,13 @@ class Scorer:
         for low in range(0, len(words), 20_000):
             part = words[low : low + 20_000]
             inputs = self.net.inputs(part)[0]
+            products = {way: small_products(inputs, w[way + "in"]) + w[way + "bias"] for way in ("f", "b")}
             for (way, kind), table in self.products.items():
                 if self.used + len(part) > len(table):
                     grown = np.zeros((max(2 * len(table), self.used + len(part)), table.shape[1]), np.float32)
                     grown[: self.used] = table[: self.used]
                     self.products[way, kind] = table = grown
-                table[self.used : self.used + len(part)] = halved(inputs @ w[way + "in"] + w[way + "bias"], kind)
+                table[self.used : self.used + len(part)] = halved(products[way], kind)
             for number, word in enumerate(part, self.used):
                 self.place[word] = number
             self.used += len(part)
@@ -323,6 +324,11 @@ class Scorer:
             out[:] = state
 
 
+def small_products(rows: np.ndarray, matrix: np.ndarray, at_once: int = 256) -> np.ndarray:
+    """``rows @ matrix`` in parts too small for BLAS to start threads: a task has one core."""
+    return np.concatenate([rows[i : i + at_once] @ matrix for i in range(0, max(len(rows), 1), at_once)])
+
+
 def halved(rows: np.ndarray, kind: str) -> np.ndarray:
     """The gates' columns, halved, or those of the new state, as an array of their own."""
     return rows[:, : 2 * STATE] / 2 if kind == "gates" else rows[:, 2 * STATE :].copy()
