@@ -8,22 +8,50 @@ from __future__ import annotations
 
 import functools
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.session import path_exists
 
+DAY_BLOCKS = 64
+
 
 def write_batch(df: DataFrame, table: str, batch_id: int, partitions: tuple[str, ...] = ()) -> None:
     df.write.mode("overwrite").partitionBy(*partitions).parquet(f"{table}/batch_id={batch_id}")
 
 
+def write_in_order(df: DataFrame, table: str, batch_id: int, order: tuple[str, ...]) -> None:
+    """``write_batch`` with the rows in order of time, for tables that are read from some time on.
+
+    Files are cut by size, so their number does not grow with the days a batch spans; a reader
+    skips those whose statistics lie outside what it asks for.  ``df`` should be a stored table,
+    since it is sampled first.
+    """
+    write_batch(df.repartitionByRange(*order).sortWithinPartitions(*order), table, batch_id)
+
+
+def in_blocks(number: Column, low: int | None, high: int | None, blocks: int) -> Column:
+    """The last number of the block that ``number`` falls in: at most ``blocks`` of them from
+    ``low`` to ``high``, one for each number where there are no more numbers than that."""
+    if low is None:
+        return number
+    size = -(-(high - low + 1) // blocks)
+    return F.least(F.lit(low) + (F.floor((number - low) / size) + 1) * size - 1, F.lit(high))
+
+
 def write_raw_items(items: DataFrame, table: str, batch_id: int) -> None:
-    """All items, rejected ones too, by day and circuit."""
+    """All items, rejected ones too, by circuit and stretches of days.
+
+    Days have no folders of their own here: a batch may span any number of them.  ``jobs.compact``
+    lays what is kept out by day.
+    """
     dated = items.withColumn("ingest_date", F.to_date("created_at"))
-    # Few files per day; adaptive execution splits a day that holds most of the rows.
-    even = dated.hint("rebalance", "ingest_date", "circuit")
-    write_batch(even, table, batch_id, ("ingest_date", "circuit"))
+    day = F.unix_date("ingest_date")
+    ends = dated.agg(F.min(day).alias("low"), F.max(day).alias("high")).first()
+    block = in_blocks(day, ends["low"], ends["high"], DAY_BLOCKS)
+    # Adaptive execution joins small blocks in one task and splits one that holds most of the rows.
+    even = dated.withColumn("_block", block).hint("rebalance", "_block", "circuit").drop("_block")
+    write_batch(even, table, batch_id, ("circuit",))
 
 
 def write_matches(matches: DataFrame, table: str, batch_id: int) -> None:

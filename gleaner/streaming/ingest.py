@@ -84,9 +84,10 @@ TURNED_AWAY = "id BIGINT, item_id STRING, source STRING, permalink STRING, poste
 ITEM_KEYS = "id BIGINT, ts TIMESTAMP, text_hash STRING, simhash BIGINT, day DATE"
 NEAR_KEYS = (
     "simhash BIGINT, first STRUCT<ts: TIMESTAMP, id: BIGINT>, last TIMESTAMP, triple INT, kept BIGINT, "
-    "period BIGINT, bucket INT"
+    "period BIGINT, upto BIGINT, bucket INT"
 )
 BUCKETS = 16
+PERIOD_BLOCKS = 8
 
 
 def _bucket() -> Column:
@@ -96,13 +97,18 @@ def _bucket() -> Column:
 def write_index(keys: DataFrame, store: str, batch_id: int) -> None:
     """Write the duplicate index of a batch's items (id, ts, text_hash, simhash), once for each item.
 
-    ``item_keys`` is one narrow row per item, by day; ``near_keys`` has the twenty keys of each hash,
-    by period and by a bucket of the key.
+    ``item_keys`` is one narrow row per item, in order of time; ``near_keys`` has the twenty keys of
+    each hash, by a bucket of the key and by period: in folders named by the last of at most
+    ``PERIOD_BLOCKS`` stretches of periods, so that their number does not grow with the time a batch spans.
     """
-    dated = keys.withColumn("day", F.to_date("ts")).hint("rebalance", "day")
-    sinks.write_batch(dated, f"{store}/item_keys", batch_id, ("day",))
-    near = dedup.near_keys(keys).withColumn("bucket", _bucket())
-    sinks.write_batch(near.repartition("period", "bucket"), f"{store}/near_keys", batch_id, ("period", "bucket"))
+    dated = keys.withColumn("day", F.to_date("ts"))
+    sinks.write_in_order(dated, f"{store}/item_keys", batch_id, ("ts", "id"))
+    period = dedup.period_of(F.col("ts"), fixed.NEAR_LOOKBACK_DAYS)
+    ends = keys.agg(F.min(period).alias("low"), F.max(period).alias("high")).first()
+    upto = sinks.in_blocks(F.col("period"), ends["low"], ends["high"], PERIOD_BLOCKS)
+    near = dedup.near_keys(keys).withColumns({"bucket": _bucket(), "upto": upto.cast("bigint")})
+    laid = near.repartition("upto", "bucket").sortWithinPartitions("upto", "bucket", "period")
+    sinks.write_batch(laid, f"{store}/near_keys", batch_id, ("upto", "bucket"))
 
 
 def read_near_index(asked: DataFrame, store: str, batch_id: int) -> DataFrame:
@@ -116,11 +122,12 @@ def read_near_index(asked: DataFrame, store: str, batch_id: int) -> DataFrame:
         return own
     oldest = own.agg(F.min("period")).first()[0]
     table = sinks.read_table(spark, f"{store}/near_keys", NEAR_KEYS, batch_id + 1)
-    return table.filter(F.col("bucket").isin(buckets) & (F.col("period") >= oldest - 1))
+    recent = (F.col("upto") >= oldest - 1) & (F.col("period") >= oldest - 1)
+    return table.filter(F.col("bucket").isin(buckets) & recent)
 
 
 def prune_near_index(spark: SparkSession, store: str, oldest_item: Column) -> int:
-    """Delete the periods of the near index that no item from ``oldest_item`` on can reach back to."""
+    """Delete the stretches of the near index that no item from ``oldest_item`` on can reach back to."""
     period = dedup.period_of(oldest_item, fixed.NEAR_LOOKBACK_DAYS)
     first = spark.range(1).select(period.alias("p")).first()["p"] - 1
     path = spark._jvm.org.apache.hadoop.fs.Path
@@ -130,7 +137,7 @@ def prune_near_index(spark: SparkSession, store: str, oldest_item: Column) -> in
     for batch in files.listStatus(root) if files.exists(root) else []:
         for part in files.listStatus(batch.getPath()):
             name = part.getPath().getName()
-            if name.startswith("period=") and int(name.removeprefix("period=")) < first:
+            if name.startswith("upto=") and int(name.removeprefix("upto=")) < first:
                 files.delete(part.getPath(), True)
                 dropped += 1
     return dropped
@@ -147,8 +154,8 @@ def enter(numbered: DataFrame, batch_id: int, store: str, edge: Edge) -> DataFra
 
     Late is what was posted more than ``late_minutes`` before the clock of the stream.  Of the rest
     an item whose id is registered is a repetition; ids are registered for ``id_days`` by their first
-    item and not renewed, in this batch and in earlier ones, whose registrations lie by day, so only
-    those days are read that a registration can reach from.  Items without an id are never repeated,
+    item and not renewed, in this batch and in earlier ones, whose registrations lie in order of time,
+    so only files with days that a registration can reach from are read.  Items without an id are never repeated,
     those without a time are never late.  What the tables take and what goes on is the whole batch,
     and a repeated batch is divided alike.
     """
@@ -183,7 +190,7 @@ def enter(numbered: DataFrame, batch_id: int, store: str, edge: Edge) -> DataFra
     events = cut_lineage(standing.unionByName(on_time))
     firsts = cut_lineage(admin.first_seen(events, "item_id", edge.id_days).filter("id >= 0"))
     new = firsts.filter("is_first").select("item_id", "ts", F.to_date("ts").alias("day"))
-    sinks.write_batch(new, f"{store}/registered", batch_id, ("day",))
+    sinks.write_in_order(new, f"{store}/registered", batch_id, ("ts", "item_id"))
     again = broadcast_if_small(firsts.filter("NOT is_first").select("id"))
     repeated = marked.join(again, "id", "left_semi")
     sinks.write_batch(repeated.select(*turned_away), f"{store}/repeated", batch_id)

@@ -229,3 +229,30 @@ def test_the_near_index_is_pruned_by_period(spark, tmp_path):
     assert {r.first.id for r in ingest.read_near_index(late, store, 1).select("first").collect()} == {3}
     assert ingest.prune_near_index(spark, store, moment("2024-03-01 00:00:00")) > 0
     assert {r.first.id for r in sinks.read_table(spark, f"{store}/near_keys", ingest.NEAR_KEYS).select("first").collect()} == {3}
+
+
+def test_files_of_a_batch_do_not_grow_with_its_days(spark, tmp_path):
+    """A batch of 600 days and one of 1,200: as many files, and a reader still skips by time."""
+    store = str(tmp_path)
+    n, files = F.col("id"), {}
+    for batch, days in enumerate((600, 1200)):
+        rows = spark.range(days).select(
+            "id", F.timestamp_seconds(n * 86_400).alias("ts"), F.sha2(n.cast("string"), 256).alias("text_hash"),
+            F.xxhash64("id").alias("simhash"),
+        )
+        ingest.write_index(rows, store, batch)
+        items = rows.withColumns({"circuit": F.lit("main"), "created_at": F.col("ts"), "item_id": n.cast("string")})
+        sinks.write_raw_items(items, f"{store}/raw_items", batch)
+        posted = items.select("item_id", F.lit("s").alias("source"), F.lit("p").alias("permalink"), "id", F.col("ts").alias("posted_at"))
+        ingest.enter(posted, batch, store, ingest.Edge())
+        for name in ("item_keys", "near_keys", "raw_items", "registered"):
+            files[name, batch] = len(glob.glob(f"{store}/{name}/batch_id={batch}/**/*.parquet", recursive=True))
+    for name in ("item_keys", "near_keys", "raw_items", "registered"):
+        most = ingest.PERIOD_BLOCKS * ingest.BUCKETS if name == "near_keys" else 64
+        assert 0 < files[name, 1] <= most, files
+    whole = sinks.read_table(spark, f"{store}/raw_items", "id BIGINT, ingest_date DATE")
+    assert whole.filter("ingest_date = id * INTERVAL '1' DAY + DATE'1970-01-01'").count() == 1800
+    late = spark.createDataFrame([(5000, dt.datetime(1973, 4, 1), "x", 1)], "id bigint, ts timestamp, text_hash string, simhash bigint")
+    ingest.write_index(late, store, 2)
+    met = ingest.read_near_index(late, store, 2).select(F.min("period"), F.max("period")).first()
+    assert (met[0], met[1]) == (83, 85)  # the period before the asked one's, and what is known after it
