@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gleaner.functions.entities import unescape
 from gleaner.functions.text import extract_body, extract_tag
+from gleaner.session import bound_arrow_batches
 
 # Repeatable elements are arrays, of which the first counts.
 ENTRY = (
@@ -27,6 +28,7 @@ def _options(reader):
 
 def entries_to_items(entries: DataFrame, start: str | None = None, end: str | None = None) -> DataFrame:
     """Feed entries as item rows; an entry without id or title is skipped."""
+    bound_arrow_batches(entries.sparkSession)
     named = entries.filter(F.col("id").isNotNull() & (F.length("title") > 0)).withColumns(
         {
             "_title": unescape(F.col("title")),

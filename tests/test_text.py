@@ -200,3 +200,40 @@ def test_quiet_hours_in_a_zone_and_without_wrap(spark):
 def test_parse_verdict(spark, response, confidence):
     verdict = on(spark, decisions.parse_verdict, response)
     assert (verdict and verdict.confidence) == confidence
+
+
+def test_simhash_holds_the_tokens_of_few_texts_at_a_time():
+    import tracemalloc
+
+    import pandas as pd
+
+    from gleaner.functions import hashing
+
+    texts = pd.Series([" ".join(f"word{(i * j) % 997}" for j in range(600)) for i in range(2000)] + [None, ""])
+    tracemalloc.start()
+    got = hashing._majority_bits(texts, hashing._md5_digest)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40e6, peak
+    alone = [hashing._majority_bits(texts[i : i + 1], hashing._md5_digest)[0] for i in range(0, 2002, 91)]
+    assert list(got[::91]) == alone and got[2000] == got[2001] == 0 and len(got) == 2002
+
+
+def test_long_texts_come_to_python_in_batches_bounded_by_bytes(spark):
+    import pandas as pd
+    from pyspark.sql.types import LongType
+
+    from conftest import DATA
+    from gleaner.plans import corpus
+    from gleaner.session import ARROW_BYTES
+
+    spark.conf.unset(ARROW_BYTES)
+    corpus.texts(spark, DATA, "pages")
+    assert spark.conf.get(ARROW_BYTES) == "4m"
+
+    @F.pandas_udf(LongType())
+    def most(text: pd.Series) -> pd.Series:
+        return pd.Series([text.str.len().sum()] * len(text))
+
+    long = spark.range(0, 400, 1, 1).select(F.repeat(F.concat(F.lit("x"), F.col("id").cast("string")), 20_000).alias("t"))
+    assert long.select(most("t").alias("n")).agg(F.max("n")).first()[0] < 8_000_000
