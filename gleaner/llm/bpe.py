@@ -1,7 +1,7 @@
 """Byte-level BPE: encoding by a queue of merge ranks over a linked symbol list, and decoding.
 
 A text is cut into words by fixed character classes; each word starts as a doubly linked list of
-byte symbols.  A heap holds the mergeable neighbours as (rank, position); entries that a merge has
+byte symbols.  A heap holds the mergeable neighbours by rank, then position; entries that a merge has
 made stale are skipped when they come up.  Words repeat, so a worker keeps the ids of recent ones.
 
 Results are those of the public byte-level tokenizers: special tokens in a text become their own
@@ -45,6 +45,7 @@ WHITE_SPACE = [(0x9, 0xD), (0x20, 0x20), (0x85, 0x85), (0xA0, 0xA0), (0x1680, 0x
                (0x2000, 0x200A), (0x2028, 0x2029), (0x202F, 0x202F), (0x205F, 0x205F),
                (0x3000, 0x3000)]
 
+BASIC_PLANE = 0xFFFF
 CACHED_WORDS = 200_000
 CACHED_LENGTH = 40
 SLICE_CHARS = 2_000_000
@@ -54,21 +55,29 @@ def _class(ranges: Iterable[tuple[int, int]]) -> str:
     return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in ranges)
 
 
-def _category(kind: str, added: list[tuple[int, int]]) -> str:
+def _up_to(last: int, ranges: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
+    return [(a, min(b, last)) for a, b in ranges if a <= last]
+
+
+def _category(kind: str, added: list[tuple[int, int]], last: int) -> str:
     ranges: list[list[int]] = []
-    for code in range(0x110000):
+    for code in range(last + 1):
         if unicodedata.category(chr(code))[0] == kind:
             if ranges and ranges[-1][1] == code - 1:
                 ranges[-1][1] = code
             else:
                 ranges.append([code, code])
-    return _class([(a, b) for a, b in ranges] + added)
+    return _class([(a, b) for a, b in ranges] + _up_to(last, added))
 
 
-def word_pattern() -> re.Pattern[str]:
-    """Contractions, letters, numbers or other characters after at most one blank, white space."""
-    space = _class(WHITE_SPACE)
-    letter, number = _category("L", LETTERS_16), _category("N", NUMBERS_16)
+def word_pattern(last: int = 0x10FFFF) -> re.Pattern[str]:
+    """Contractions, letters, numbers or other characters after at most one blank, white space.
+
+    For texts without code points above ``last``.  Up to ``BASIC_PLANE`` a class is a bit map; ranges
+    above it are tried one by one for each character that is in none, so for each end of a word.
+    """
+    space = _class(_up_to(last, WHITE_SPACE))
+    letter, number = _category("L", LETTERS_16, last), _category("N", NUMBERS_16, last)
     return re.compile(
         f"'(?:s|t|re|ve|m|ll|d)| ?[{letter}]+| ?[{number}]+| ?[^{space}{letter}{number}]+"
         f"|[{space}]+(?![^{space}])|[{space}]+"
@@ -82,30 +91,39 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in plain else chr(next(spare)) for b in range(256)]
 
 
-def merge_symbols(symbols: list[int], merges: dict[tuple[int, int], tuple[int, int]]) -> list[int]:
-    """Merge the best-ranked neighbours until none is left; of equal ranks the leftmost first."""
-    after = [*range(1, len(symbols)), -1]
-    before = list(range(-1, len(symbols) - 1))
-    queue = []
-    for at in range(len(symbols) - 1):
-        if found := merges.get((symbols[at], symbols[at + 1])):
-            queue.append((found[0], at, symbols[at], symbols[at + 1]))
+def merge_symbols(symbols: list[int], ranks: list[dict[int, int]], merged: list[int]) -> list[int]:
+    """Merge the best-ranked neighbours until none is left; of equal ranks the leftmost first.
+
+    ``ranks`` has the rank of each pair, by its first symbol, then its second; ``merged`` the symbol
+    that each rank gives.
+    """
+    size = len(symbols)
+    # An entry is one number, rank * size + position: quicker to make and compare than a pair.
+    queue = [
+        rank * size + at
+        for at, rank in enumerate(map(dict.get, map(ranks.__getitem__, symbols), symbols[1:]))
+        if rank is not None
+    ]
+    if not queue:
+        return symbols
     heapq.heapify(queue)
+    after = list(range(1, size + 1))
+    before = list(range(-1, size))
+    symbols.append(-1)  # the end: like a merged symbol, in no pair
     while queue:
-        _, at, left, right = heapq.heappop(queue)
-        following = after[at]
-        if symbols[at] != left or following < 0 or symbols[following] != right:
+        entry = heapq.heappop(queue)
+        rank, at = entry // size, entry % size
+        left, following = symbols[at], after[at]
+        if left < 0 or ranks[left].get(symbols[following]) != rank:
             continue  # stale: one of the two has been merged meanwhile
-        symbols[at] = merges[left, right][1]
+        symbols[at] = left = merged[rank]
         symbols[following] = -1
         after[at] = beyond = after[following]
-        if beyond >= 0:
-            before[beyond] = at
-            if found := merges.get((symbols[at], symbols[beyond])):
-                heapq.heappush(queue, (found[0], at, symbols[at], symbols[beyond]))
-        if (previous := before[at]) >= 0:
-            if found := merges.get((symbols[previous], symbols[at])):
-                heapq.heappush(queue, (found[0], previous, symbols[previous], symbols[at]))
+        before[beyond] = at
+        if (rank := ranks[left].get(symbols[beyond])) is not None:
+            heapq.heappush(queue, rank * size + at)
+        if (at := before[at]) >= 0 and (rank := ranks[symbols[at]].get(left)) is not None:
+            heapq.heappush(queue, rank * size + at)
     return [symbol for symbol in symbols if symbol >= 0]
 
 
@@ -119,17 +137,19 @@ class ByteBPE(dict):
         letters = byte_letters()
         self.first = [vocabulary[letter] for letter in letters]
         pairs = (m.split(" ") if isinstance(m, str) else m for m in loaded["model"]["merges"])
-        self.merges = {
-            (vocabulary[a], vocabulary[b]): (rank, vocabulary[a + b])
-            for rank, (a, b) in enumerate(pairs)
-        }
+        self.ranks: list[dict[int, int]] = [{} for _ in range(max(vocabulary.values()) + 1)]
+        self.merged: list[int] = []
+        for rank, (a, b) in enumerate(pairs):
+            self.ranks[vocabulary[a]][vocabulary[b]] = rank
+            self.merged.append(vocabulary[a + b])
         special = {t["content"]: t["id"] for t in loaded["added_tokens"]}
         self.special = {text: array("I", [number]).tobytes() for text, number in special.items()}
         value = {letter: byte for byte, letter in enumerate(letters)}
         strings = {number: bytes(value[c] for c in text) for text, number in vocabulary.items()}
         strings |= {number: text.encode() for text, number in special.items()}
         self.strings = [strings.get(number, b"") for number in range(max(strings) + 1)]
-        self.words = word_pattern().findall
+        self.beyond = re.compile(f"[{chr(BASIC_PLANE + 1)}-{chr(0x10FFFF)}]").search
+        self.basic_words, self.all_words = word_pattern(BASIC_PLANE).findall, word_pattern().findall
         self.cut = None
         if special:
             longest_first = sorted(special, key=len, reverse=True)
@@ -137,13 +157,17 @@ class ByteBPE(dict):
 
     def __missing__(self, word: str) -> bytes:
         first = self.first
-        ids = array("I", merge_symbols([first[b] for b in word.encode()], self.merges)).tobytes()
+        symbols = merge_symbols([first[b] for b in word.encode()], self.ranks, self.merged)
+        ids = array("I", symbols).tobytes()
         if len(word) <= CACHED_LENGTH:
             if len(self) >= CACHED_WORDS:
                 self.clear()
             self[word] = ids
         return ids
 
+    def words(self, text: str) -> list[str]:
+        return self.all_words(text) if self.beyond(text) else self.basic_words(text)
+
     def encode(self, text: str | None) -> bytes:
         """Ids of a text as little-endian unsigned 32-bit numbers."""
         if not text:

@@ -2,6 +2,7 @@
 
 import hashlib
 import struct
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -126,6 +127,27 @@ def test_bpe_knows_the_letters_of_the_library(library):
         assert [m.span() for m in words.finditer(text)] == [at for _, at in cut.pre_tokenize_str(text)]
 
 
+def test_bpe_words_of_common_texts_do_not_pay_for_rare_letters():
+    """The classes with all of Unicode took five times as long for the ends of words."""
+    with open(tokenizer_path(queries.TOKENIZER), "rb") as file:
+        own = bpe.ByteBPE(file.read())
+    every = bpe.word_pattern().findall
+    for code in range(0x20, 0x10000):
+        if not 0xD800 <= code < 0xE000:
+            text = f"a{chr(code)}1{chr(code)}!{chr(code)} {chr(code)}  {chr(code)}"
+            assert own.words(text) == every(text)
+    for text in ("naïve 😀 words\U000105c0 1𝟘!", "\U00010000", "\uffff a\U0010ffff"):
+        assert own.words(text) == every(text)
+    prose = "Zwölf words, and a few more of it's kind. " * 5000
+
+    def seconds(cut):
+        began = time.thread_time()
+        cut(prose)
+        return time.thread_time() - began
+
+    assert min(seconds(own.words) for _ in range(3)) < 0.6 * min(seconds(every) for _ in range(3))
+
+
 def check_packing(rows, texts, library):
     """All ids of all texts lie in one place each; returns the share of places that are used."""
     sequences, documents = defaultdict(list), defaultdict(list)
