@@ -23,16 +23,24 @@ class FlowResult:
 
 
 def analyse(
-    feed: DataFrame, sources: DataFrame, rules: RuleSet, now: Column, token_hash: str = "blake2b"
+    feed: DataFrame,
+    sources: DataFrame,
+    rules: RuleSet,
+    now: Column,
+    token_hash: str = "blake2b",
+    score_rejected: bool = True,
 ) -> DataFrame:
     """Everything that needs an item's text, in one pass without a shuffle.
 
-    Gate, normalise, hash, match, reject and score: later steps read only the results.
+    Gate, normalise, hash, match, reject and score: later steps read only the results.  Rejected
+    items give no match, so those who do not store their scores need not have them worked out.
     """
     placed = item_ops.source_gate(feed, sources, now)
     matched = item_ops.match_items(item_ops.normalize_items(placed, rules), rules)
     rejected = item_ops.reject_items(item_ops.hash_items(matched, token_hash), rules)
-    return item_ops.score_items(rejected.withColumn("author_bonus", F.lit(0)), rules)
+    unscored = rejected.withColumn("author_bonus", F.lit(0))
+    passed = None if score_rejected else F.col("reject_rule").isNull()
+    return item_ops.score_items(unscored, rules, passed)
 
 
 def process(
@@ -47,7 +55,7 @@ def process(
     token_hash: str = "blake2b",
 ) -> FlowResult:
     """Process items (id, ts and the feed columns) against earlier ones."""
-    facts = cut_lineage(analyse(feed, sources, rules, now, token_hash))
+    facts = cut_lineage(analyse(feed, sources, rules, now, token_hash, score_rejected=False))
     return resolve(facts, authors, rules, index, classifier_on, zone, now)
 
 

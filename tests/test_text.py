@@ -237,3 +237,60 @@ def test_long_texts_come_to_python_in_batches_bounded_by_bytes(spark):
 
     long = spark.range(0, 400, 1, 1).select(F.repeat(F.concat(F.lit("x"), F.col("id").cast("string")), 20_000).alias("t"))
     assert long.select(most("t").alias("n")).agg(F.max("n")).first()[0] < 8_000_000
+
+
+def test_near_reads_the_next_tokens_only(spark):
+    import time
+
+    whole = "  ab cd\u00a0ef  gh\nij k\u0301 😀 mn  "
+    pairs = [(whole, a, b) for a in range(len(whole) + 2) for b in range(len(whole) + 2)] + [(whole, None, 3)]
+    df = spark.createDataFrame(pairs, "t string, a int, b int")
+    for window in (0, 1, 3):
+        counted = F.abs(text.token_index(F.col("t"), F.col("a")) - text.token_index(F.col("t"), F.col("b"))) <= window
+        got = df.select(text.near(F.col("t"), F.col("a"), F.col("b"), window).alias("got"), counted.alias("wanted"))
+        assert got.filter(~F.col("got").eqNullSafe(F.col("wanted"))).isEmpty()
+
+    # Many closing words far behind the first hiring word: each was counted from the start of the text.
+    long = "then " + "filler word " * 3000
+    many = spark.range(0, 400, 1, 4).select(
+        F.lit(long).alias("t"), (F.lit(30_000) + F.col("id") * 10).cast("int").alias("a")
+    )
+
+    def seconds(column):
+        began = time.perf_counter()
+        many.select(column.alias("x")).agg(F.count_if("x")).collect()
+        return time.perf_counter() - began
+
+    counted = F.abs(text.token_index(F.col("t"), F.col("a")) - text.token_index(F.col("t"), F.lit(0))) <= 6
+    new = min(seconds(text.near(F.col("t"), F.col("a"), F.lit(0), 6)) for _ in range(3))
+    assert new < 0.7 * min(seconds(counted) for _ in range(3))
+
+
+def test_a_term_is_looked_for_from_its_first_character_on(spark):
+    pattern = text.alternation(["a+b", "-x", "[y]", "é", "😀z", "&&w", "^q"])
+    assert pattern.startswith("(?=[")
+    plain = pattern[pattern.index(")") + 1 :]
+    for value in ("a+b -x [y] é😀z", "q-x1 k[y]k é a&&w w^q", "ea+bé 1😀z2", ""):
+        got = one(spark, F.struct(F.regexp_extract_all("v", F.lit("(?U)" + pattern), F.lit(0)).alias("new"),
+                                  F.regexp_extract_all("v", F.lit("(?U)" + plain), F.lit(0)).alias("plain")), v=value)
+        assert got["new"] == got["plain"]
+
+
+def test_simhash_keeps_digests_of_tokens_across_texts():
+    import pandas as pd
+
+    from gleaner.functions import hashing
+
+    asked = []
+
+    def digest(token):
+        asked.append(token)
+        return hashing.TOKEN_DIGESTS["md5"](token)
+
+    texts = pd.Series(["word " * 3 + "x" * hashing.SLICE_CHARS, "word again", None, "WORD \u212aelvin"])
+    digests = hashing._Digests(digest)
+    got = hashing._majority_bits(texts, digests)
+    # One call per distinct short token, also where the texts lie in different slices.
+    assert asked.count("word") == 1 and "\u212aelvin" in asked
+    alone = [hashing._majority_bits(texts[i : i + 1], hashing._md5_digest)[0] for i in range(4)]
+    assert list(got) == alone
