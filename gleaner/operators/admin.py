@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gleaner import fixed_values as fixed
 from gleaner.operators.ordered import earliest_at_or_after, latest_rows
-from gleaner.session import broadcast_if_small, cut_lineage
+from gleaner.session import by_shuffle, cut_lineage, with_keys_of
 
 DEFAULT_MUTE_HOURS = 24 * 365
 
@@ -187,11 +187,11 @@ def first_seen(
     reached = [starts.select(F.col("hit.id").alias("here"))]
     long = cut_lineage(starts.filter(F.col("last") >= F.col("hit.ts") + span).select(key))
     if not long.isEmpty():
-        slim = cut_lineage(slim.join(broadcast_if_small(long), key, "left_semi"))
+        slim = cut_lineage(with_keys_of(slim, long, [key]))
         probes = slim.select(key, "id", (F.col("ts") + span).alias("at"))
         after = earliest_at_or_after(slim, probes, [key], chunk_seconds).filter("hit IS NOT NULL")
         jumps = cut_lineage(
-            probes.join(after, [key, "at"]).select(F.col("id").alias("here"), F.col("hit.id").alias("to"))
+            probes.join(by_shuffle(after), [key, "at"]).select(F.col("id").alias("here"), F.col("hit.id").alias("to"))
         )
         while True:
             all_reached = functools.reduce(DataFrame.unionAll, reached)
@@ -204,6 +204,6 @@ def first_seen(
     firsts = functools.reduce(DataFrame.unionAll, reached).select(
         F.col("here").alias("id"), F.lit(True).alias("_first")
     )
-    return items.join(firsts, "id", "left").select(
+    return items.join(by_shuffle(firsts), "id", "left").select(
         *[F.col(c) for c in items.columns], F.coalesce("_first", F.lit(False)).alias("is_first")
     )

@@ -165,8 +165,8 @@ def resolve(
 
 def with_texts(decided: DataFrame, facts: DataFrame) -> DataFrame:
     """Decided items with title and text; only the texts that are asked for move."""
-    asked = broadcast_if_small(decided.select("id", "source", "circuit", "mode", "rule_hint"))
-    return facts.select("id", "title", "text").join(asked, "id")
+    asked = broadcast_if_small(decided.select("id", "mode", "rule_hint"))
+    return facts.select("id", "source", "circuit", "title", "text").join(asked, "id")
 
 
 def stored_matches(routed: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ from gleaner.operators import admin, dedup, flow
 from gleaner.operators.dedup import mark_duplicates
 from gleaner.operators.items import drop_stale
 from gleaner.rules import RuleSet
-from gleaner.session import broadcast_if_small, cut_lineage, scratch
+from gleaner.session import broadcast_if_small, cut_lineage, scratch, with_keys_of
 from gleaner.sources import messages, sinks
 
 RAW_TABLE = schemas.RAW_ITEMS + ", ts TIMESTAMP, ingest_date DATE"
@@ -178,13 +178,8 @@ def enter(numbered: DataFrame, batch_id: int, store: str, edge: Edge) -> DataFra
     begin = on_time.agg(F.min("ts")).first()[0]
     reach = F.lit(begin).cast("timestamp") - F.make_dt_interval(days=F.lit(edge.id_days))
     known = sinks.read_table(spark, f"{store}/registered", REGISTERED, batch_id)
-    asked = broadcast_if_small(on_time.select("item_id").distinct())
-    standing = (
-        known.filter((F.col("day") >= F.to_date(reach)) & (F.col("ts") >= reach))
-        .join(asked, "item_id", "left_semi")
-        .groupBy("item_id")
-        .agg(F.max("ts").alias("ts"))
-    )
+    valid = known.filter((F.col("day") >= F.to_date(reach)) & (F.col("ts") >= reach)).select("item_id", "ts")
+    standing = with_keys_of(valid, on_time, ["item_id"]).groupBy("item_id").agg(F.max("ts").alias("ts"))
     # Registrations get negative ids of their own, so that none is mistaken for an item.
     standing = standing.withColumn("id", -1 - F.monotonically_increasing_id())
     events = cut_lineage(standing.unionByName(on_time))

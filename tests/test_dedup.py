@@ -6,6 +6,7 @@ import pytest
 
 from gleaner.operators import dedup
 from gleaner.operators.ordered import carry_last
+from gleaner.session import cut_lineage
 from pyspark.sql import functions as F
 
 T0 = dt.datetime(2024, 1, 1)
@@ -134,3 +135,17 @@ def test_counts_and_marks(spark):
     assert [tuple(r) for r in dedup.duplicate_counts(found, matches).collect()] == [(10, 1, 2)]
     items = spark.createDataFrame([(1, None), (2, "HF-1_length")], "id bigint, reject_rule string")
     assert {r.id: r.reject_rule for r in dedup.mark_duplicates(items, found).collect()} == {1: None, 2: "duplicate"}
+
+
+def test_exploded_keys_are_not_broadcast(spark):
+    """Their tables are a few kilobytes here, twenty and 2,081 times as much once exploded."""
+    rows = spark.range(200).select("id", F.timestamp_seconds("id").alias("ts"), F.xxhash64("id").alias("simhash"))
+    items = cut_lineage(rows)
+    period = dedup.period_of(F.col("ts"), 14).alias("period")
+    probes = cut_lineage(items.select("id", "ts", "simhash", F.col("ts").alias("at"), period))
+    spans = cut_lineage(dedup.near_keys(items).select("simhash", "period", "first", "last").distinct())
+    in_keys = dedup._near_in_keys(dedup._triple_keys(probes, "simhash"), dedup.near_keys(items))
+    in_crowds = dedup._near_in_crowds(probes.drop("period"), spans)
+    for met in (in_keys, in_crowds):
+        plan = met._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan

@@ -48,3 +48,25 @@ def test_broadcast_only_below_the_bound(spark):
 
     assert "strategy=broadcast" in plan(1 << 20)
     assert "strategy=broadcast" not in plan(100)
+
+
+def test_keys_of_a_large_table_are_not_broadcast(spark):
+    rows = spark.range(2_000).select((F.col("id") % 700).alias("k"), "id").withColumn("k", F.when(F.col("k") > 5, F.col("k")))
+    asked = spark.range(0, 600, 3).select(F.when(F.col("id") > 0, F.col("id")).alias("k"))
+    asked = asked.unionByName(asked)
+
+    def run(bound):
+        found = session.with_keys_of(rows, asked, ["k"], bound)
+        return found, sorted(tuple(r) for r in found.collect())
+
+    wanted = sorted((i % 700, i) for i in range(2_000) if i % 700 > 5 and i % 700 % 3 == 0 and i % 700 < 600)
+    few, by_broadcast = run(1 << 20)
+    many, by_shuffle = run(100)
+    assert by_broadcast == by_shuffle == wanted
+    assert "strategy=broadcast" in few._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in many._jdf.queryExecution().optimizedPlan().toString()  # stored, no longer laid out by key
+    # The files of 100,000 hashes would pass as small; what a broadcast of them takes does not.
+    keys = spark.range(100_000).select(F.sha2(F.col("id").cast("string"), 256).alias("k"))
+    kept = session.with_keys_of(keys.withColumn("id", F.lit(1)), keys, ["k"])
+    assert "strategy=broadcast" not in kept._jdf.queryExecution().optimizedPlan().toString()
+    assert kept.count() == 100_000
