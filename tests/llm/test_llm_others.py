@@ -57,6 +57,30 @@ def test_chat_reads_back(spark):
     assert chat.format_conversations(turns.where("false")).count() == 0
 
 
+def test_chat_examples_have_texts_and_masks_of_their_own(spark, monkeypatch):
+    rows = [(1, n, "assistant" if n % 2 else "user", f"<s>{n}" * (n + 1)) for n in range(7)]
+    turns = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+    examples = chat.expand(chat.format_conversations(turns))
+    read = examples.select(
+        "target", "chars", "text", chat.parse(F.col("text")).alias("turns"), chat.trainable_text().alias("loss")
+    )
+    found = sorted(read.collect())
+    assert [r["target"] for r in found] == [2, 4, 6, 7]
+    for r in found:
+        assert len(r["text"]) == r["chars"]
+        assert [tuple(t) for t in r["turns"]] == [row[2:] for row in rows[: r["target"]]]
+        assert r["loss"] == (rows[r["target"] - 1][3] if r["target"] % 2 == 0 else None)
+    # What the query gives is read from the examples' texts, each from its own.
+    whole, expand = queries.op2_chat(spark, DATA).where("conv_id = -1").first(), chat.expand
+
+    def damaged(formatted):
+        return expand(formatted).withColumn("text", F.regexp_replace("text", "ok", "no"))
+
+    monkeypatch.setattr(chat, "expand", damaged)
+    other = queries.op2_chat(spark, DATA).where("conv_id = -1").first()
+    assert whole["turns_sha256"] != other["turns_sha256"] and whole["loss_sha256"] != other["loss_sha256"]
+
+
 def test_chat_escape_is_reversible(spark):
     import random
 
